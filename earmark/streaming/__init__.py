@@ -1,0 +1 @@
+"""Nothing lives here: the work covered by this library has no unbounded source."""
