@@ -42,15 +42,20 @@ def ontology_closure(edges: DataFrame) -> DataFrame:
         closure = closure.unionByName(frontier)
 
 
-def ontology_lists(nodes: DataFrame, closure: DataFrame) -> DataFrame:
-    """Per node the sorted ``ancestor_names`` and ``descendant_names`` (empty at roots and leaves)."""
+def ontology_lists(nodes: DataFrame, closure: DataFrame, descendants: DataFrame | None = None) -> DataFrame:
+    """Per node the sorted ``ancestor_names`` and ``descendant_names`` (empty at roots and leaves).
+
+    For label ontologies, whose lists fit a row. Where leaves are data (millions of members under one
+    root), pass the class-level pairs as ``descendants`` and keep members in the long closure.
+    """
     def names(df, key, value, out):
         return df.groupBy(F.col(key).alias("name")).agg(F.sort_array(F.collect_set(value)).alias(out))
 
     none = F.array().cast("array<string>")
+    below = closure if descendants is None else descendants
     rows = (nodes.select("name")
             .join(names(closure, "node", "ancestor", "ancestor_names"), "name", "left")
-            .join(names(closure, "ancestor", "node", "descendant_names"), "name", "left"))
+            .join(names(below, "ancestor", "node", "descendant_names"), "name", "left"))
     return rows.withColumns({c: F.coalesce(F.col(c), none) for c in ("ancestor_names", "descendant_names")})
 
 

@@ -8,7 +8,7 @@ one call share one shuffle and one sort.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Callable
+from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -128,25 +128,44 @@ def filter_series(scores: DataFrame, specs: dict, series=SERIES, value: str = "s
 
 
 def _long_median(scores, out, n, series, value, frame, chunk):
-    """Median over many frames: numpy on chunks of at most ``chunk + n`` rows."""
+    """Median over many frames: numpy on chunks of at most ``chunk + n`` rows.
+
+    Chunks arrive sorted; complete ones of an Arrow batch are filtered, the last waits for the next batch.
+    """
     h = (n - 1) // 2
     rows = with_halo(scores, h, h, chunk, frame)
-    schema = scores.schema.simpleString()[len("struct<"):-1] + f",{out}:double"
+    rows = rows.repartition(*series, "_chunk").sortWithinPartitions(*series, "_chunk", frame)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scores.schema) + f", `{out}` double"
+    key = [*series, "_chunk"]
 
-    def median(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(frame)
-        own = (pdf[frame] // chunk == pdf["_chunk"]).to_numpy()
-        if not own.any():
-            return pdf.iloc[:0].drop(columns="_chunk").assign(**{out: pd.Series(dtype="float64")})
+    def medians(x: np.ndarray) -> np.ndarray:
+        views = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(h), x, np.zeros(h)]), n)
+        parts = np.array_split(views, max(1, views.size // 4_000_000))
+        return np.concatenate([np.median(p, axis=-1) for p in parts])
+
+    def finish(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         x = pdf[value].to_numpy(dtype="float64")
-        padded = np.concatenate([np.zeros(h), x, np.zeros(h)])
-        at = np.flatnonzero(own)
-        views = np.lib.stride_tricks.sliding_window_view(padded, n)
-        med = np.concatenate([np.median(views[part], axis=-1)
-                              for part in np.array_split(at, max(1, len(at) * n // 4_000_000))])
-        return pdf.loc[own].drop(columns="_chunk").assign(**{out: med})
-
-    return rows.groupBy(*series, "_chunk").applyInPandas(median, schema)
+        med = np.concatenate([medians(part) for part in np.split(x, starts[1:])])
+        own = (pdf[frame] // chunk == pdf["_chunk"]).to_numpy()
+        return pdf.assign(**{out: med}).loc[own].drop(columns="_chunk")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            if waiting:
+                pdf = pd.concat([*waiting, pdf], ignore_index=True)
+            ids = pdf[key]
+            starts = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy())
+            last = starts[-1]
+            if last:
+                yield finish(pdf.iloc[:last], starts[:-1])
+            waiting = [pdf.iloc[last:]]
+        if waiting:
+            yield finish(waiting[0], np.array([0]))
+
+    return rows.mapInPandas(run, schema)
 
 
 def meanfilt(scores, n, out="score", **kw):

@@ -144,10 +144,10 @@ def order_strong(spark, sf_dir) -> DataFrame:
 
 
 def order_clips(spark, sf_dir) -> DataFrame:
-    """Orders as clips of five datasets; every seventh has no length."""
+    """Orders as clips of five datasets; pending ones have no length."""
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").cast("string").alias("clip_id"), F.col("o_orderpriority").alias("dataset"),
-                    F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") / 1000.0).alias("audio_length"),
+                    F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 1000.0).alias("audio_length"),
                     F.concat(F.lit("audio/"), F.col("o_orderkey").cast("string"), F.lit(".wav")).alias("audio_path"))
 
 
@@ -230,7 +230,7 @@ VIEWS: dict = {
         FROM lineitem WHERE l_linenumber % 2 = 0"""),
     "v_orders": ((), """
         SELECT CAST(o_orderkey AS VARCHAR) AS clip_id, o_orderpriority AS dataset,
-               CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 1e3 END AS audio_length,
+               CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 1e3 END AS audio_length,
                'audio/' || CAST(o_orderkey AS VARCHAR) || '.wav' AS audio_path FROM orders"""),
     "v_ontology": ((), """
         SELECT r_name AS parent, n_name AS child FROM nation JOIN region ON n_regionkey = r_regionkey

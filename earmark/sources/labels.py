@@ -49,9 +49,9 @@ def read_strong_clip_ids(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(cut_last_part("segment_id").alias("clip_id")).distinct()
 
 
-def read_ontology(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of nodes to ``(id, name, child_ids)``."""
-    return spark.read.json(path, schema=schema.ONTOLOGY_FILE, multiLine=True)
+def read_ontology(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON array of nodes to ``(id, name, child_ids)``; ``multi_line=False`` for one array per line."""
+    return spark.read.json(path, schema=schema.ONTOLOGY_FILE, multiLine=multi_line)
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:

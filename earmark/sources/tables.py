@@ -107,8 +107,7 @@ def class_ordered_params(params: DataFrame, vocabulary: DataFrame) -> DataFrame:
     fields = [c for c in params.columns if c not in ("metric", "label")]
     rows = params.join(vocabulary.select("label", "index"), "label")
     packed = rows.groupBy("metric").agg(F.sort_array(F.collect_list(F.struct("index", "label", *fields))).alias("p"))
-    return packed.select("metric", F.transform("p", lambda x: x["label"]).alias("labels"),
-                         *[F.transform("p", lambda x, f=f: x[f]).alias(f) for f in fields])
+    return packed.select("metric", F.col("p.label").alias("labels"), *[F.col(f"p.{f}").alias(f) for f in fields])
 
 
 def write_text_report(rows: DataFrame, path: str, column: str = "audio_path") -> None:
