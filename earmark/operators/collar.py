@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from earmark.operators import curves, matching
 from earmark.operators.detect import score_intervals
+from earmark.scale import cut_lineage
 
 
 def prf_table(table: DataFrame, keys=(), beta: float = 1.0) -> DataFrame:
@@ -81,7 +82,7 @@ def collar_best_fscore(scores: DataFrame, ground_truth: DataFrame, thresholds, o
     ``keys`` are extra columns of ``scores`` (e.g. ``candidate_id``).
     """
     keys = list(keys)
-    det = score_intervals(scores, list(thresholds), series=[*keys, "clip_id", "label"])
+    det = cut_lineage(score_intervals(scores, list(thresholds), series=[*keys, "clip_id", "label"]))
     labels = scores.select(*keys, "label").distinct()
     grid = labels.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
     table = with_biases(collar_counts(det, ground_truth, onset_collar, offset_collar, offset_collar_rate,

@@ -27,22 +27,22 @@ def positives_curve(scored: DataFrame, keys=("label",), target: str = "target",
     ties = value_buckets(ties, keys, "score", rows_per_bucket)
     totals = ties.groupBy(*keys, "_bucket").agg(
         F.sum("tp_at").alias("tp"), F.sum("n_at").alias("n"), F.max("score").alias("top"))
-    w = W.partitionBy(*keys).orderBy("_bucket")
-    later, earlier = w.rowsBetween(1, W.unboundedFollowing), w.rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*keys).orderBy(F.col("_bucket").desc())  # from the highest score down
+    above = w.rowsBetween(W.unboundedPreceding, -1)
     everything = W.partitionBy(*keys)
     carried = totals.select(
         *keys, "_bucket",
-        F.coalesce(F.sum("tp").over(later), F.lit(0.0)).alias("_tp_above"),
-        F.coalesce(F.sum("n").over(later), F.lit(0)).alias("_n_above"),
-        F.max("top").over(earlier).alias("_below"),
+        F.coalesce(F.sum("tp").over(above), F.lit(0.0)).alias("_tp_above"),
+        F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_n_above"),
+        F.lead("top").over(w).alias("_below"),
         F.max("top").over(everything).alias("_top"),
         F.sum("tp").over(everything).alias("n_ref"))
-    inside = W.partitionBy(*keys, "_bucket").orderBy("score")
-    rest = inside.rowsBetween(0, W.unboundedFollowing)
-    below = F.coalesce(F.lag("score").over(inside), F.col("_below"))
+    inside = W.partitionBy(*keys, "_bucket").orderBy(F.col("score").desc())
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    below = F.coalesce(F.lead("score").over(inside), F.col("_below"))
     rows = (ties.join(carried, [*keys, "_bucket"])
-            .withColumn("tps", F.sum("tp_at").over(rest) + F.col("_tp_above"))
-            .withColumn("n_pos", F.sum("n_at").over(rest) + F.col("_n_above"))
+            .withColumn("tps", F.sum("tp_at").over(upto) + F.col("_tp_above"))
+            .withColumn("n_pos", F.sum("n_at").over(upto) + F.col("_n_above"))
             .withColumn("threshold", F.coalesce((F.col("score") + below) / 2, F.lit(-INF))))
     point = F.struct("threshold", "n_pos", "tps", "tp_at", "n_at")
     none_above = F.struct(F.lit(INF).alias("threshold"), F.lit(0).cast("bigint").alias("n_pos"),

@@ -58,7 +58,7 @@ def score_intervals(scores: DataFrame, thresholds, series=SERIES, value: str = "
             .withColumn("_chunk", chunk_of(frame, chunk)))
     # a run ends at the first end at or after its start
     rows = running(rows, ["threshold", *series], "_chunk", [frame],
-                   {"_stop": ("min", F.when(F.col("ends"), F.col("offset")))}, backward=True)
+                   {"_stop": ("min", F.when(F.col("ends"), F.col("offset")))}, backward=True, first_chunk=0)
     return rows.where("starts").select("threshold", *series, "onset", F.col("_stop").alias("offset"))
 
 

@@ -117,7 +117,7 @@ def filter_series(scores: DataFrame, specs: dict, series=SERIES, value: str = "s
         fwd = {f"_up_{out}": ("max", f"_fwd_{out}" if n > 0 else value) for out, n in boundary.items()}
         bwd = {f"_dn_{out}": ("max", f"_bwd_{out}" if n > 0 else value) for out, n in boundary.items()}
         rows = running(rows, series, "_chunk", [frame], fwd)
-        rows = running(rows, series, "_chunk", [frame], bwd, backward=True)
+        rows = running(rows, series, "_chunk", [frame], bwd, backward=True, first_chunk=0)
         for out in boundary:
             rows = rows.withColumn(out, F.least(f"_up_{out}", f"_dn_{out}"))
         rows = rows.drop(*fwd, *bwd, *[c for c in rows.columns if c.startswith(("_fwd_", "_bwd_"))])
@@ -287,5 +287,6 @@ def cumulative_targets(targets: DataFrame, series=SERIES, value: str = "target",
     """Running maximum of targets, forward (``target_fwd``) and backward (``target_bwd``)."""
     rows = with_halo(targets, 0, 0, chunk, frame)
     rows = running(rows, series, "_chunk", [frame], {"target_fwd": ("max", value)})
-    rows = running(rows, series, "_chunk", [frame], {"target_bwd": ("max", value)}, backward=True)
+    rows = running(rows, series, "_chunk", [frame], {"target_bwd": ("max", value)}, backward=True,
+                   first_chunk=0)
     return rows.drop("_chunk")

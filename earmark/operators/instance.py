@@ -117,36 +117,37 @@ def report(scored: DataFrame, instance=("clip_id",), labelwise=(), labels=None)
     if labels is not None:
         scored = scored.where(F.col("label").isin(list(labels)))
     curve = curves.positives_curve(scored)
-    p, r, f = curves.fscore_columns()
-    fbest = curves.best_fscore(curve.withColumns({"precision": p, "recall": r, "fscore": f}))
-    ref = F.greatest(F.col("n_ref"), F.lit(1.0))
-    ins, dele = F.col("n_pos") - F.col("tps"), F.col("n_ref") - F.col("tps")
-    ebest = curves.best_error_rate(curve.withColumns(
-        {"error_rate": (ins + dele) / ref, "insertion_rate": ins / ref, "deletion_rate": dele / ref}))
+    _, _, f = curves.fscore_columns()
+    n_ref, n_pos, tps = F.col("n_ref"), F.col("n_pos"), F.col("tps")
+    er = (n_pos + n_ref - tps - tps) / F.greatest(n_ref, F.lit(1.0))
+    won = (F.col("n_at") - F.col("tp_at")) * (tps - F.col("tp_at") / 2)
+    n_neg = F.max("n_pos") - F.max("n_ref")
+    # one pass over the curve gives every per-class metric
+    per_class = curve.groupBy("label").agg(
+        F.max(f).alias("fscore"), F.min(er).alias("error_rate"),
+        (F.sum(tps / F.greatest(n_pos, F.lit(1)) * F.col("tp_at")) / F.greatest(F.max("n_ref"), F.lit(1.0))).alias("ap"),
+        (F.sum(won) / F.greatest(F.max("n_ref") * n_neg, F.lit(1.0))).alias("auc"), F.max("n_ref").alias("n_ref"))
     rank = lwlrap(scored, instance)
-    ap, auc = curves.average_precision(curve), curves.roc_auc(curve)
-
-    def tall(df, name, col):
-        return df.select(F.lit(name).alias("metric"), "label", F.col(col).alias("value"))
-
-    per_class = [tall(fbest, "fscore", "fscore"), tall(ebest, "error_rate", "error_rate"),
-                 tall(rank.where(F.col("label").isNotNull()), "lwlrap", "lwlrap"),
-                 tall(ap, "ap", "average_precision"), tall(auc, "auc", "roc_auc")]
-    macro = [fbest.agg(F.avg("fscore").alias("value")).withColumn("metric", F.lit("macro_fscore")),
-             ebest.agg(F.avg("error_rate").alias("value")).withColumn("metric", F.lit("macro_error_rate")),
-             rank.where(F.col("label").isNull()).select(F.col("lwlrap").alias("value"), F.lit("lwlrap").alias("metric")),
-             ap.agg(F.avg("average_precision").alias("value"), F.min("n_ref").alias("m"))
-               .where("m > 1").select("value", F.lit("map").alias("metric")),
-             auc.agg(F.avg("roc_auc").alias("value"), F.min("n_ref").alias("m"))
-                .where("m > 1").select("value", F.lit("mauc").alias("metric"))]
-    out = None
-    for m in macro:
-        m = m.select("metric", F.lit(None).cast("string").alias("label"), "value")
-        out = m if out is None else out.unionByName(m)
-    for m, name in zip(per_class, ("fscore", "error_rate", "lwlrap", "ap", "auc")):
-        if name in labelwise:
-            out = out.unionByName(m)
-    return out
+
+    def tall(row, pairs):
+        cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), c.alias("value")) for m, c in pairs])).alias("c")
+        return row.select(*[c for c in row.columns if c == "label"], cells).select(
+            "c.metric", *[c for c in row.columns if c == "label"], "c.value")
+
+    enough = F.min("n_ref") > 1
+    means = per_class.agg(F.avg("fscore").alias("f"), F.avg("error_rate").alias("e"),
+                          F.when(enough, F.avg("ap")).alias("map"), F.when(enough, F.avg("auc")).alias("mauc"))
+    macro = tall(means, [("macro_fscore", F.col("f")), ("macro_error_rate", F.col("e")), ("map", F.col("map")),
+                         ("mauc", F.col("mauc"))]).where(F.col("value").isNotNull())
+    out = macro.unionByName(rank.where(F.col("label").isNull()).select(F.lit("lwlrap").alias("metric"), F.col("lwlrap").alias("value")))
+    out = out.withColumn("label", F.lit(None).cast("string"))
+    names = [m for m in ("fscore", "error_rate", "ap", "auc") if m in labelwise]
+    if names:
+        out = out.unionByName(tall(per_class, [(m, F.col(m)) for m in names]))
+    if "lwlrap" in labelwise:
+        out = out.unionByName(rank.where(F.col("label").isNotNull()).select(
+            F.lit("lwlrap").alias("metric"), "label", F.col("lwlrap").alias("value")))
+    return out.select("metric", "label", "value")
 
 
 def mean_scalars(rows: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

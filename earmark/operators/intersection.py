@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from earmark.operators import matching
 from earmark.operators.detect import linspace, score_intervals
-from earmark.scale import running
+from earmark.scale import cut_lineage, running
 
 HOUR = 3600.0
 # ratios are compared after rounding, so equal ratios stay equal whatever the order of the sums
@@ -17,40 +17,44 @@ def _ratio(overlap, length):
     return F.round(overlap / length, RATIO_DECIMALS)
 
 
-def detection_tolerance(detections: DataFrame, ground_truth: DataFrame, dtc_threshold: float, det_id,
-                        bin_width: float = 10.0) -> DataFrame:
-    """Add ``dtc``: the share of a detection covered by ground truth of its class is large enough."""
-    pairs = matching.overlap_pairs(detections, ground_truth, True, bin_width)
-    cover = pairs.groupBy(*det_id).agg(F.sum("overlap").alias("_cover"))
-    rows = detections.join(cover, list(det_id), "left")
-    share = _ratio(F.coalesce(F.col("_cover"), F.lit(0.0)), F.col("offset") - F.col("onset"))
-    return rows.withColumn("dtc", share >= float(dtc_threshold)).drop("_cover")
-
-
 def intersection_counts(detections: DataFrame, ground_truth: DataFrame, dtc_threshold: float,
                         gtc_threshold: float, cttc_threshold: float | None = None, keys=("threshold",),
-                        bin_width: float = 10.0, det_id=None, gt_id=("clip_id", "gt_id")):
+                        bin_width: float | None = None, det_id=None, gt_id=("clip_id", "gt_id")):
     """``(counts, cross_triggers)``.
 
     ``counts``: ``tp, fp, n_ref`` per keys and class. ``cross_triggers``: ``ct`` per keys, class and
-    other class. A detection is ``(keys, clip_id, label, onset, offset, det_id)``.
+    other class. A detection is ``(keys, clip_id, label, onset, offset, det_id)``. A detection passes if
+    ground truth of its class covers the share ``dtc_threshold`` of it, and is false otherwise; ground
+    truth is found if passing detections cover the share ``gtc_threshold``; a false detection crosses
+    into another class if that class covers the share ``cttc_threshold`` of it.
+
+    Overlapping pairs are materialised once; everything else is aggregated from them.
     """
+    if dtc_threshold <= 0 or gtc_threshold <= 0:
+        raise ValueError("tolerance thresholds must be positive")
     keys = list(keys)
     det_id = list(det_id) if det_id else [*keys, "clip_id", "label", "det_id"]
-    det = detection_tolerance(detections, ground_truth, dtc_threshold, det_id, bin_width)
-    passed = det.where("dtc").drop("dtc")
-    cover = (matching.overlap_pairs(passed, ground_truth, True, bin_width)
-             .groupBy(*keys, *gt_id, "label", "gt_onset", "gt_offset").agg(F.sum("overlap").alias("cover")))
-    share = _ratio(F.col("cover"), F.col("gt_offset") - F.col("gt_onset"))
-    tp = cover.where(share >= float(gtc_threshold)).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("tp"))
-    fp = det.groupBy(*keys, "label").agg(F.count_if(~F.col("dtc")).alias("fp"))
+    pairs = cut_lineage(matching.overlap_pairs(detections, ground_truth, True, bin_width).select(
+        *dict.fromkeys([*keys, *det_id, *gt_id, "label"]), "det_onset", "det_offset", "gt_onset", "gt_offset", "overlap"))
+    cover = pairs.groupBy(*dict.fromkeys([*det_id, *keys, "label"]), "det_onset", "det_offset").agg(F.sum("overlap").alias("cover"))
+    passed = cover.where(_ratio(F.col("cover"), F.col("det_offset") - F.col("det_onset")) >= float(dtc_threshold)).select(
+        *dict.fromkeys([*det_id, *keys, "label"]))
+    n_passed = passed.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_passed"))
+    n_sys = detections.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_sys"))
+    found = (pairs.join(passed.select(*det_id), det_id, "left_semi")
+             .groupBy(*dict.fromkeys([*keys, *gt_id, "label"]), "gt_onset", "gt_offset").agg(F.sum("overlap").alias("cover")))
+    tp = (found.where(_ratio(F.col("cover"), F.col("gt_offset") - F.col("gt_onset")) >= float(gtc_threshold))
+          .groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("tp")))
     n_ref = ground_truth.groupBy("label").agg(F.count(F.lit(1)).alias("n_ref"))
-    counts = (fp.join(tp, [*keys, "label"], "left").join(n_ref, "label", "left").na.fill(0, ["tp", "n_ref"]))
+    counts = (n_sys.join(n_passed, [*keys, "label"], "left").join(tp, [*keys, "label"], "left").join(n_ref, "label", "left")
+              .na.fill(0, ["tp", "n_ref", "n_passed"])
+              .select(*keys, "label", "tp", (F.col("n_sys") - F.col("n_passed")).alias("fp"), "n_ref"))
     crossed = None
     if cttc_threshold is not None:
-        failed = det.where(~F.col("dtc")).drop("dtc")
+        failed = detections.join(passed.select(*det_id), det_id, "left_anti")
         other = (matching.overlap_pairs(failed, ground_truth, False, bin_width)
-                 .groupBy(*det_id, "gt_label", "det_onset", "det_offset").agg(F.sum("overlap").alias("cover")))
+                 .groupBy(*dict.fromkeys([*det_id, *keys, "label"]), "gt_label", "det_onset", "det_offset")
+                 .agg(F.sum("overlap").alias("cover")))
         share = _ratio(F.col("cover"), F.col("det_offset") - F.col("det_onset"))
         crossed = (other.where(share >= float(cttc_threshold)).groupBy(*keys, "label", "gt_label")
                    .agg(F.count(F.lit(1)).alias("ct")))
@@ -141,11 +145,12 @@ def psds(roc: DataFrame, n_classes, alpha_st: float = 1.0, max_efpr: float = 100
 def approximate_psds(scores: DataFrame, ground_truth: DataFrame, seconds: DataFrame, dtc_threshold: float,
                      gtc_threshold: float, cttc_threshold: float | None = None, alpha_ct: float = 0.0,
                      alpha_st: float = 0.0, max_efpr: float = 100.0, thresholds=None, keys=(),
-                     unit: float = HOUR, bin_width: float = 10.0):
+                     unit: float = HOUR, bin_width: float | None = None):
     """``(psds, class areas)`` of a score table on a threshold grid (default: 50 points .01 to .99)."""
     keys = list(keys)
     thresholds = thresholds or linspace(0.01, 0.99, 50)
-    det = score_intervals(scores, thresholds, series=[*keys, "clip_id", "label"])
+    # intervals are few next to scores and are read several times
+    det = cut_lineage(score_intervals(scores, thresholds, series=[*keys, "clip_id", "label"]))
     return psds_from_detections(det, ground_truth, seconds, dtc_threshold, gtc_threshold, cttc_threshold,
                                 alpha_ct, alpha_st, max_efpr, keys, unit, bin_width)
 
@@ -153,7 +158,7 @@ def approximate_psds(scores: DataFrame, ground_truth: DataFrame, seconds: DataFr
 def psds_from_detections(detections: DataFrame, ground_truth: DataFrame, seconds: DataFrame,
                          dtc_threshold: float, gtc_threshold: float, cttc_threshold: float | None = None,
                          alpha_ct: float = 0.0, alpha_st: float = 0.0, max_efpr: float = 100.0, keys=(),
-                         unit: float = HOUR, bin_width: float = 10.0):
+                         unit: float = HOUR, bin_width: float | None = None):
     """Same, from detections ``(threshold, clip_id, label, onset, offset)``; runs of one series never overlap."""
     keys = list(keys)
     by = [*keys, "threshold"]
@@ -161,7 +166,8 @@ def psds_from_detections(detections: DataFrame, ground_truth: DataFrame, seconds
         detections = detections.withColumn("det_id", F.col("onset"))
     counts, crossed = intersection_counts(
         detections, ground_truth, dtc_threshold, gtc_threshold, cttc_threshold, by, bin_width)
-    rates = effective_rates(counts, crossed, ground_truth, seconds, alpha_ct, by, unit)
+    # one row per threshold and class, read by everything below
+    rates = cut_lineage(effective_rates(counts, crossed, ground_truth, seconds, alpha_ct, by, unit))
     roc = psd_roc(rates, max_efpr, keys)
     labels = ground_truth.select("label").distinct()
     n = labels.agg(F.count(F.lit(1)).alias("n_classes"))

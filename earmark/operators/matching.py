@@ -10,18 +10,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from earmark.scale import cut_lineage
 
 
-def _bin(t: Column, width: float) -> Column:
-    return F.floor(t / F.lit(float(width))).cast("bigint")
+def _bin(t: Column, width) -> Column:
+    return F.floor(t / (width if isinstance(width, Column) else F.lit(float(width)))).cast("bigint")
 
 
 def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, same_label: bool = True,
-                  bin_width: float = 10.0, keys=("clip_id",)) -> DataFrame:
+                  bin_width: float | None = None, keys=("clip_id",)) -> DataFrame:
     """Pairs with ``det_onset < gt_offset and gt_onset < det_offset`` in a clip, with ``overlap``.
 
     Inputs carry ``label, onset, offset`` and an id each: ``det_id`` / ``gt_id``. With
-    ``same_label=False`` the labels differ. Choose ``bin_width`` near the usual event length; each
-    pair is kept only in the first bin both touch, so no deduplication is needed.
+    ``same_label=False`` the labels differ. The default bin width is twice the mean ground-truth length,
+    so an event touches two bins on average. Each pair is kept only in the first bin both touch, so no
+    deduplication is needed.
     """
+    if bin_width is None:
+        mean = ground_truth.agg(F.avg(F.col("offset") - F.col("onset")).alias("w")).scalar()
+        bin_width = F.when(mean > 0, mean * 2).otherwise(F.lit(1.0))
+
     def binned(df, name):
         first = _bin(F.col(f"{name}_onset"), bin_width)
         last = _bin(F.col(f"{name}_offset"), bin_width)
@@ -85,15 +90,16 @@ def one_to_one(pairs: DataFrame, det_id, gt_id, rank=None) -> DataFrame:
     order = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)],
                      *[F.col(c).alias(f"k{i}") for i, c in enumerate(gt_id + det_id)])
     left = cut_lineage(pairs.withColumn("_rank", order))
-    chosen = None
+    done = []
     while not left.isEmpty():
         best_det = left.groupBy(*det_id).agg(F.min("_rank").alias("_best_det"))
         best_gt = left.groupBy(*gt_id).agg(F.min("_rank").alias("_best_gt"))
-        won = (left.join(best_det, det_id).join(best_gt, gt_id)
-               .where((F.col("_rank") == F.col("_best_det")) & (F.col("_rank") == F.col("_best_gt")))
-               .select(*left.columns))
-        won = cut_lineage(won)
-        chosen = won if chosen is None else chosen.unionByName(won)
+        won = cut_lineage(left.join(best_det, det_id).join(best_gt, gt_id)
+                          .where((F.col("_rank") == F.col("_best_det")) & (F.col("_rank") == F.col("_best_gt")))
+                          .select(*left.columns))
+        done.append(won)
         left = cut_lineage(left.join(won.select(*det_id), det_id, "left_anti")
                            .join(won.select(*gt_id), gt_id, "left_anti"))
-    return (left if chosen is None else chosen).drop("_rank")
+    for part in done:
+        left = left.unionByName(part)
+    return left.drop("_rank")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from earmark.operators import collar, detect, intersection, matching, pseudo, targets, tuning
 from earmark.plans import views as v
 from earmark.plans.registry import query, tidy
+from earmark.scale import cut_lineage
 
 # ---------------------------------------------------------------- collar based
 
@@ -77,7 +78,7 @@ _THRESHOLDS = [0.2, 0.4, 0.6]
 
 @query("a25_collar_best_fscore")
 def collar_best_fscore(spark, sf_dir):
-    return tidy(collar.collar_best_fscore(v.scores(spark, sf_dir), v.frame_events(spark, sf_dir), _THRESHOLDS,
+    return tidy(collar.collar_best_fscore(v.scores(spark, sf_dir), _frame_gt(spark, sf_dir), _THRESHOLDS,
                                           0.02, 0.02, 0.2))
 
 
@@ -91,7 +92,7 @@ _INTER = 'least(d."offset", g."offset") - greatest(d.onset, g.onset)'
 SELECT d.clip_id, d.label, det_id, gt_id, round({_INTER}, 6) AS overlap
 FROM v_det d JOIN v_gt g ON d.clip_id = g.clip_id AND d.label = g.label AND {_OVER}""", "v_gt", "v_det")
 def intersection_pairs(spark, sf_dir):
-    p = matching.overlap_pairs(v.detections(spark, sf_dir), v.ground_truth(spark, sf_dir), True, 24.0)
+    p = matching.overlap_pairs(v.detections(spark, sf_dir), v.ground_truth(spark, sf_dir), True)
     return tidy(p.select("clip_id", "label", "det_id", "gt_id", "overlap"))
 
 
@@ -99,7 +100,7 @@ def intersection_pairs(spark, sf_dir):
 SELECT d.clip_id, d.label, g.label AS gt_label, det_id, gt_id, round({_INTER}, 6) AS overlap
 FROM v_det d JOIN v_gt g ON d.clip_id = g.clip_id AND d.label <> g.label AND {_OVER}""", "v_gt", "v_det")
 def cross_trigger(spark, sf_dir):
-    p = matching.overlap_pairs(v.detections(spark, sf_dir), v.ground_truth(spark, sf_dir), False, 24.0)
+    p = matching.overlap_pairs(v.detections(spark, sf_dir), v.ground_truth(spark, sf_dir), False)
     return tidy(p.select("clip_id", "label", "gt_label", "det_id", "gt_id", "overlap"))
 
 
@@ -151,7 +152,7 @@ def _hours(spark, sf_dir):
 SELECT threshold, label, tp, fp, n_ref FROM cn""", "v_thr_det", "v_gt")
 def intersection_counts(spark, sf_dir):
     counts, _ = intersection.intersection_counts(v.threshold_detections(spark, sf_dir), v.ground_truth(spark, sf_dir),
-                                                 0.1, 0.1, None, bin_width=24.0)
+                                                 0.1, 0.1, None)
     return tidy(counts)
 
 
@@ -159,13 +160,13 @@ def intersection_counts(spark, sf_dir):
 SELECT threshold, label, gt_label, ct FROM ct""", "v_thr_det", "v_gt")
 def cross_trigger_counts(spark, sf_dir):
     _, crossed = intersection.intersection_counts(v.threshold_detections(spark, sf_dir), v.ground_truth(spark, sf_dir),
-                                                  0.1, 0.1, 0.3, bin_width=24.0)
+                                                  0.1, 0.1, 0.3)
     return tidy(crossed)
 
 
 def _rates(spark, sf_dir, alpha=0.5):
     gt = v.ground_truth(spark, sf_dir)
-    counts, crossed = intersection.intersection_counts(v.threshold_detections(spark, sf_dir), gt, 0.1, 0.1, 0.3, bin_width=24.0)
+    counts, crossed = intersection.intersection_counts(v.threshold_detections(spark, sf_dir), gt, 0.1, 0.1, 0.3)
     return intersection.effective_rates(counts, crossed, gt, _hours(spark, sf_dir), alpha, unit=1.0)
 
 
@@ -201,6 +202,11 @@ thr AS (SELECT clip_id, label, threshold, min(onset) AS onset, max("offset") AS
   GROUP BY clip_id, label, threshold, g)"""
 
 
+def _frame_gt(spark, sf_dir):
+    """Ground truth is a table that metrics read several times, so the derived one is written once."""
+    return cut_lineage(v.frame_events(spark, sf_dir))
+
+
 def _frame_hours(spark, sf_dir):
     s = v.scores(spark, sf_dir)
     return s.agg((F.count(F.lit(1)) * 0.02).alias("seconds"))
@@ -210,7 +216,7 @@ def _frame_hours(spark, sf_dir):
 dur AS (SELECT count(*) * 2e-2 AS h FROM v_scores), {_RATES.format(gt='v_frame_gt', alpha=0.5, m=100)}, {_PSDS.format(m=100)}
 SELECT round(sum(greatest(mu - 1e0 * sd, 0e0) * (nx - x)) / 100e0, 6) AS psds FROM mt""", "v_scores", "v_frame_gt")
 def approximate_psds(spark, sf_dir):
-    p, _ = intersection.approximate_psds(v.scores(spark, sf_dir), v.frame_events(spark, sf_dir), _frame_hours(spark, sf_dir),
+    p, _ = intersection.approximate_psds(v.scores(spark, sf_dir), _frame_gt(spark, sf_dir), _frame_hours(spark, sf_dir),
                                          0.5, 0.5, 0.3, 0.5, 1.0, unit=1.0)
     return tidy(p)
 
@@ -337,7 +343,7 @@ def winning_scores(spark, sf_dir):
 def tune_events(spark, sf_dir):
     """Collar-based F and PSD area over medians and tag masking."""
     s, tags = _grid_scores(spark, sf_dir)
-    gt = v.frame_events(spark, sf_dir)
+    gt = _frame_gt(spark, sf_dir)
     grid = tuning.candidate_grid([1, 3], tag_masked=(False, True))
     metrics = {"f": tuning.f_collar(gt, [0.2, 0.5], True, onset_collar=0.02, offset_collar=0.02),
                "auc": tuning.psd_auc(gt, _frame_hours(spark, sf_dir), [0.2, 0.5], dtc_threshold=0.5, gtc_threshold=0.5, unit=1.0)}

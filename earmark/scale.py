@@ -43,9 +43,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise on shared storage; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to shared storage and read back.
+
+    Survives the loss of executors, computes a result used several times only once, and gives the
+    planner the true size of what follows.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # ---------------------------------------------------------------- frame chunks
@@ -87,33 +92,40 @@ _COMBINE = {
 
 
 def running(df: DataFrame, keys, chunk: str, order, specs: dict, backward: bool = False,
-            strict: bool = False) -> DataFrame:
+            strict: bool = False, first_chunk: int | None = None) -> DataFrame:
     """Running aggregates per ``keys`` in ``order``, exact, one chunk per task unit.
 
     ``specs`` maps output name to ``(kind, column)`` with kind ``sum``, ``max`` or ``min``.
-    ``chunk`` must be monotone in ``order``. ``backward`` aggregates from the row to the end.
-    ``strict`` leaves the current row out.
+    ``chunk`` must be monotone in the column names ``order``. ``backward`` aggregates from the row to
+    the end.
+    ``strict`` leaves the current row out. With ``first_chunk`` (the lowest possible chunk) a backward
+    run skips the totals nobody needs; for series of one chunk that is all of them.
     """
     keys = list(keys)
     tmp = {name: f"_in_{i}" for i, name in enumerate(specs)}
     rows = df
     for name, (_, col) in specs.items():
         rows = rows.withColumn(tmp[name], F.col(col) if isinstance(col, str) else col)
-    totals = rows.groupBy(*keys, chunk).agg(*[
+    summed = rows.where(F.col(chunk) > first_chunk) if backward and first_chunk is not None else rows
+    totals = summed.groupBy(*keys, chunk).agg(*[
         getattr(F, kind)(tmp[name]).alias(f"_tot{tmp[name]}") for name, (kind, _) in specs.items()])
-    across = W.partitionBy(*keys).orderBy(chunk)
-    across = (across.rowsBetween(1, W.unboundedFollowing) if backward
-              else across.rowsBetween(W.unboundedPreceding, -1))
+    # backward means descending order: a frame that ends at "unbounded following" is quadratic in Spark
+    def way(c):
+        return F.col(c).desc() if backward else F.col(c).asc()
+
+    if backward and first_chunk is not None:
+        # the first chunk receives a carry but gives none: add an empty row for it
+        head = totals.select(*keys).distinct().withColumn(chunk, F.lit(first_chunk).cast(df.schema[chunk].dataType))
+        totals = totals.unionByName(head, allowMissingColumns=True)
+    across = W.partitionBy(*keys).orderBy(way(chunk)).rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(*keys, chunk, *[
         getattr(F, kind)(f"_tot{tmp[name]}").over(across).alias(f"_carry{tmp[name]}")
         for name, (kind, _) in specs.items()])
+    # only series of several chunks carry anything, so this side is small
+    carried = carried.where(" or ".join(f"_carry{t} is not null" for t in tmp.values()))
     rows = rows.join(carried, [*keys, chunk], "left")
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
-    inside = W.partitionBy(*keys, chunk).orderBy(*order)
-    if backward:
-        inside = inside.rowsBetween(1 if strict else 0, W.unboundedFollowing)
-    else:
-        inside = inside.rowsBetween(W.unboundedPreceding, -1 if strict else 0)
+    inside = W.partitionBy(*keys, chunk).orderBy(*[way(o) for o in order])
+    inside = inside.rowsBetween(W.unboundedPreceding, -1 if strict else 0)
     for name, (kind, _) in specs.items():
         value = _COMBINE[kind](getattr(F, kind)(tmp[name]).over(inside), F.col(f"_carry{tmp[name]}"))
         rows = rows.withColumn(name, value)
