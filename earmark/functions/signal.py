@@ -137,14 +137,15 @@ def _frames(x: np.ndarray, shift: int, window: int) -> np.ndarray:
 
 
 def spectrum_frames(clips: DataFrame, wave: str = "wave", shift: int = 320, window: int = 960, size: int = 1024,
-                    n_mels: int | None = None, rate: int = 16000, keys=("clip_id",)) -> DataFrame:
+                    n_mels: int | None = None, rate: int = 16000, keys=("clip_id",),
+                    number: str = "float") -> DataFrame:
     """Long frame features ``(keys, frame, features)``: power spectrum, or log-mel with ``n_mels`` bands.
 
     Frame t is centred on samples ``t * shift .. (t + 1) * shift``, ``ceil(samples / shift)`` frames.
     """
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in clips.schema}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", frame bigint, features array<float>"
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", frame bigint, features array<{number}>"
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         taper = np.hanning(window + 1)[:window]
@@ -161,6 +162,6 @@ def spectrum_frames(clips: DataFrame, wave: str = "wave", shift: int = 320, wind
                         power = np.log(np.maximum(power @ bank, 1e-10))
                     yield pd.DataFrame({**{k: row[k] for k in keys},
                                         "frame": np.arange(first, first + len(part)),
-                                        "features": list(power.astype("float32"))})
+                                        "features": list(power.astype("float32" if number == "float" else "float64"))})
 
     return clips.select(*keys, wave).mapInPandas(compute, schema)

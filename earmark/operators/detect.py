@@ -41,10 +41,6 @@ def score_intervals(scores: DataFrame, thresholds, series=SERIES, value: str = "
             thr = F.array(F.lit(float(thresholds)))
         rows = scores.withColumn("_thr", thr)
     rows = rows.select(*series, frame, "onset", "offset", F.col(value).alias("_s"), "_thr")
-    rows = with_halo(rows, 1, 1, chunk, frame)
-    w = chunk_window(series, frame)
-    rows = rows.withColumns({"_prev": F.lag("_s").over(w), "_next": F.lead("_s").over(w)})
-    rows = own_rows(rows, chunk, frame)
     s, prev, nxt = F.col("_s"), F.col("_prev"), F.col("_next")
 
     def edge(t):
@@ -52,13 +48,20 @@ def score_intervals(scores: DataFrame, thresholds, series=SERIES, value: str = "
                         (prev.isNull() | (prev <= t)).alias("starts"),
                         (nxt.isNull() | (nxt <= t)).alias("ends"))
 
-    edges = F.filter(F.transform(F.filter("_thr", lambda t: s > t), edge), lambda e: e.starts | e.ends)
-    rows = (rows.select(*series, frame, "onset", "offset", F.explode(edges).alias("_e"))
-            .select(*series, frame, "onset", "offset", "_e.*")
-            .withColumn("_chunk", chunk_of(frame, chunk)))
-    # a run ends at the first end at or after its start
-    rows = running(rows, ["threshold", *series], "_chunk", [frame],
-                   {"_stop": ("min", F.when(F.col("ends"), F.col("offset")))}, backward=True, first_chunk=0)
+    def edges(part):
+        part = with_halo(part, 1, 1, chunk, frame)
+        w = chunk_window(series, frame)
+        part = own_rows(part.withColumns({"_prev": F.lag("_s").over(w), "_next": F.lead("_s").over(w)}), chunk, frame)
+        found = F.filter(F.transform(F.filter("_thr", lambda t: s > t), edge), lambda e: e.starts | e.ends)
+        return (part.select(*series, frame, "onset", "offset", F.explode(found).alias("_e"))
+                .select(*series, frame, "onset", "offset", "_e.*")
+                .withColumn("_chunk", chunk_of(frame, chunk)))
+
+    # a run ends at the first end at or after its start; this filter reaches the scan, so only series
+    # longer than a chunk are read a second time
+    later = edges(rows.where(F.col(frame) >= chunk - 1)).where("_chunk > 0")
+    rows = running(edges(rows), ["threshold", *series], "_chunk", [frame],
+                   {"_stop": ("min", F.when(F.col("ends"), F.col("offset")))}, backward=True, later=later)
     return rows.where("starts").select("threshold", *series, "onset", F.col("_stop").alias("offset"))
 
 

@@ -76,7 +76,40 @@ def collar_fscore(spark, sf_dir):
 _THRESHOLDS = [0.2, 0.4, 0.6]
 
 
-@query("a25_collar_best_fscore")
+def _frame_greedy_sql(det, key, collar_, rate, rounds=6):
+    """Closest-first matching of ``det`` with the frame ground truth, separately for each ``key``."""
+    parts = [f"""p0 AS (SELECT *, row_number() OVER (PARTITION BY {key}, clip_id, label ORDER BY abs(od) + abs(fd), abs(od), g_on, g_off, d_on, d_off) AS rk FROM (
+        SELECT d.{key}, d.clip_id, d.label, d.onset - g.onset AS od, d."offset" - g."offset" AS fd, d.onset AS d_on, d."offset" AS d_off,
+               g.onset AS g_on, g."offset" AS g_off FROM {det} d JOIN v_frame_gt g ON d.clip_id = g.clip_id AND d.label = g.label
+        WHERE abs(d.onset - g.onset) <= {collar_}e0 AND abs(d."offset" - g."offset") <= greatest({collar_}e0, {rate}e0 * (g."offset" - g.onset))))"""]
+    by = f"{key}, clip_id, label"
+    for i in range(rounds):
+        parts.append(f"""w{i} AS (SELECT * EXCLUDE (md, mg) FROM (SELECT *, min(rk) OVER (PARTITION BY {by}, d_on) AS md,
+            min(rk) OVER (PARTITION BY {by}, g_on) AS mg FROM p{i}) WHERE rk = md AND rk = mg)""")
+        parts.append(f"""p{i + 1} AS (SELECT p.* FROM p{i} p ANTI JOIN w{i} w ON p.{key} = w.{key} AND p.clip_id = w.clip_id AND p.label = w.label
+            AND (p.d_on = w.d_on OR p.g_on = w.g_on))""")
+    parts.append("m AS (" + " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(rounds)) + ")")
+    return ",\n".join(parts)
+
+
+_BEST_COLLAR = """
+cc AS (SELECT g.{key}, g.label, coalesce(t.tp, 0) AS tp, coalesce(s.n, 0) AS n_sys, coalesce(r.n, 0) AS n_ref, coalesce(os, 0e0) AS os, coalesce(fs, 0e0) AS fs
+       FROM {grid} g LEFT JOIN (SELECT {key}, label, count(*) AS tp, sum(od) AS os, sum(fd) AS fs FROM m GROUP BY 1, 2) t ON t.{key} = g.{key} AND t.label = g.label
+       LEFT JOIN (SELECT {key}, label, count(*) AS n FROM {det} GROUP BY 1, 2) s ON s.{key} = g.{key} AND s.label = g.label
+       LEFT JOIN (SELECT label, count(*) AS n FROM v_frame_gt GROUP BY 1) r ON r.label = g.label),
+fc AS (SELECT *, 2e0 * p * r / greatest(p + r, 1e-15) AS f FROM (
+       SELECT *, CAST(tp AS DOUBLE) / greatest(n_sys, 1) AS p, CAST(tp AS DOUBLE) / greatest(n_ref, 1) AS r FROM cc))"""
+_THR3 = """
+td AS (SELECT clip_id, label, threshold, min(onset) AS onset, max("offset") AS "offset" FROM (
+  SELECT s.*, t.threshold, frame - row_number() OVER (PARTITION BY t.threshold, clip_id, label ORDER BY frame) AS g
+  FROM v_scores s JOIN (VALUES (0.2e0), (0.4e0), (0.6e0)) t(threshold) ON s.score > t.threshold) GROUP BY clip_id, label, threshold, g),
+tgrid AS (SELECT DISTINCT label, threshold FROM v_scores, (VALUES (0.2e0), (0.4e0), (0.6e0)) t(threshold))"""
+
+
+@query("a25_collar_best_fscore", f"""WITH {_THR3}, {_frame_greedy_sql('td', 'threshold', 0.02, 0.2)}, {_BEST_COLLAR.format(key='threshold', grid='tgrid', det='td')}
+SELECT label, threshold, round(f, 6) AS fscore, round(p, 6) AS precision, round(r, 6) AS recall,
+       round(os / greatest(tp, 1), 6) AS onset_bias, round(fs / greatest(tp, 1), 6) AS offset_bias FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY f DESC, threshold DESC) AS rn FROM fc) WHERE rn = 1""", "v_scores", "v_frame_gt")
 def collar_best_fscore(spark, sf_dir):
     return tidy(collar.collar_best_fscore(v.scores(spark, sf_dir), _frame_gt(spark, sf_dir), _THRESHOLDS,
                                           0.02, 0.02, 0.2))
@@ -339,7 +372,32 @@ def winning_scores(spark, sf_dir):
     return tidy(out.select("clip_id", "label", "frame", "score"))
 
 
-@query("j16_tune_events")
+# key = 10 * candidate + threshold
+_TUNE_DET = """
+td AS (SELECT clip_id, label, threshold, min(onset) AS onset, max("offset") AS "offset", min(onset) AS det_id FROM (
+  SELECT s.*, candidate_id * 10 + t.x AS threshold, frame * 2e-2 AS onset, frame * 2e-2 + 2e-2 AS "offset",
+         frame - row_number() OVER (PARTITION BY candidate_id, t.x, clip_id, label ORDER BY frame) AS g
+  FROM cand s JOIN (VALUES (0.2e0), (0.5e0)) t(x) ON s.score > t.x WHERE candidate_id < 4) GROUP BY clip_id, label, threshold, g),
+tgrid AS (SELECT DISTINCT label, candidate_id * 10 + t.x AS threshold FROM cand, (VALUES (0.2e0), (0.5e0)) t(x) WHERE candidate_id IN (1, 3))"""
+_TUNE_AUC = """
+dur AS (SELECT count(*) * 2e-2 AS h FROM v_scores),
+rt AS (SELECT CAST(floor(threshold / 10) AS INTEGER) AS candidate_id, label, tp / greatest(n_ref, 1e0) AS tpr, fp / (SELECT h FROM dur) AS efpr FROM cn),
+roc AS (SELECT candidate_id, label, efpr, max(tpr) OVER (PARTITION BY candidate_id, label ORDER BY efpr) AS tpr,
+               coalesce(lead(efpr) OVER (PARTITION BY candidate_id, label ORDER BY efpr), 100e0) AS until
+        FROM (SELECT candidate_id, label, efpr, max(tpr) AS tpr FROM rt WHERE efpr <= 100 GROUP BY 1, 2, 3)),
+au AS (SELECT candidate_id, label, sum(tpr * (until - efpr)) / 100e0 AS value FROM roc GROUP BY 1, 2)"""
+
+
+@query("j16_tune_events", f"""WITH {_WS}, {_MED}, {_TUNE_DET}, {_frame_greedy_sql('td', 'threshold', 0.02, 0.2)},
+{_BEST_COLLAR.format(key='threshold', grid='tgrid', det='td')}, {_stats_sql('td', 'v_frame_gt', 0.5, 0.5, 2)}, {_TUNE_AUC},
+bf AS (SELECT *, CAST(floor(threshold / 10) AS INTEGER) AS candidate_id, threshold % 10 AS x, row_number() OVER (
+       PARTITION BY CAST(floor(threshold / 10) AS INTEGER), label ORDER BY f DESC, threshold DESC) AS rn FROM fc),
+rs AS (SELECT 'f' AS metric, label, f AS value, candidate_id, x AS threshold, os / greatest(tp, 1) AS ob, fs / greatest(tp, 1) AS fb FROM bf WHERE rn = 1
+       UNION ALL SELECT 'auc', label, value, candidate_id, NULL, NULL, NULL FROM au)
+SELECT metric, label, round(value, 6) AS value, candidate_id, n AS medfilt_length, masked AS tag_masked, round(threshold, 6) AS threshold,
+       round(ob, 6) AS onset_bias, round(fb, 6) AS offset_bias FROM (
+  SELECT *, row_number() OVER (PARTITION BY metric, label ORDER BY value DESC, candidate_id DESC) AS rn FROM rs) JOIN grid USING (candidate_id)
+WHERE rn = 1""", "v_scores", "v_clip_scores", "v_frame_gt")
 def tune_events(spark, sf_dir):
     """Collar-based F and PSD area over medians and tag masking."""
     s, tags = _grid_scores(spark, sf_dir)
@@ -347,7 +405,8 @@ def tune_events(spark, sf_dir):
     grid = tuning.candidate_grid([1, 3], tag_masked=(False, True))
     metrics = {"f": tuning.f_collar(gt, [0.2, 0.5], True, onset_collar=0.02, offset_collar=0.02),
                "auc": tuning.psd_auc(gt, _frame_hours(spark, sf_dir), [0.2, 0.5], dtc_threshold=0.5, gtc_threshold=0.5, unit=1.0)}
-    return tidy(tuning.tune(s, grid, metrics, tags, {"f": True, "auc": "?"}))
+    out = tuning.tune(s, grid, metrics, tags, {"f": True, "auc": "?"})
+    return tidy(out.drop("stepfilt_length", "window_length", "window_shift"))
 
 
 @query("j16_tune_boundaries", f"""

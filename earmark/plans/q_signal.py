@@ -66,7 +66,9 @@ def union_events(spark, sf_dir):
     return tidy(e.select("vec_id", "e.label", "e.start", "e.stop"))
 
 
-@query("u6_gain_function")
+@query("u6_gain_function", """
+SELECT CAST(vec_id AS VARCHAR) AS clip_id, round(CASE WHEN p > 0.3e0 THEN p * 0.5e0 ELSE p END, 6) AS peak FROM (
+  SELECT vec_id, list_max(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS p FROM embeddings)""")
 def gain_function(spark, sf_dir):
     @F.pandas_udf("double")
     def half_if_loud(peak: pd.Series) -> pd.Series:
@@ -76,15 +78,26 @@ def gain_function(spark, sf_dir):
     return tidy(w.select("clip_id", F.array_max(signal.scale_wave("wave", "gain")).alias("peak")))
 
 
-@query("f10_power_spectrum")
+# frames of 24 samples every 8, windowed, transformed with size 32: 17 bins
+_DFT = """
+fr AS (SELECT CAST(vec_id AS VARCHAR) AS clip_id, frame, n, CAST(embedding[frame * 8 - 8 + n + 1] AS DOUBLE) * (0.5e0 - 0.5e0 * cos(2 * pi() * n / 24)) AS x
+       FROM embeddings, (SELECT unnest(range(8)) AS frame), (SELECT unnest(range(24)) AS n)
+       WHERE frame * 8 - 8 + n BETWEEN 0 AND 63),
+pw AS (SELECT clip_id, frame, k, sum(x * cos(2 * pi() * k * n / 32)) ** 2 + sum(x * sin(2 * pi() * k * n / 32)) ** 2 AS p
+       FROM fr, (SELECT unnest(range(17)) AS k) GROUP BY 1, 2, 3)"""
+
+
+@query("f10_power_spectrum", f"""WITH {_DFT} SELECT clip_id, frame, k AS bin, round(p, 6) AS power FROM pw""")
 def power_spectrum(spark, sf_dir):
-    w = v.waves(spark, sf_dir)
-    out = signal.spectrum_frames(w, shift=8, window=24, size=32)
-    return tidy(out.select("clip_id", "frame", F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("energy")), 4)
+    out = signal.spectrum_frames(v.waves(spark, sf_dir), shift=8, window=24, size=32, number="double")
+    return tidy(out.select("clip_id", "frame", F.posexplode("features").alias("bin", "power")))
 
 
-@query("f11_log_mel")
+@query("f11_log_mel", f"""WITH {_DFT},
+edge AS (SELECT i, 700 * (10 ** (i * 2595 * log10(1 + 8000 / 700e0) / 9 / 2595) - 1) AS f FROM (SELECT unnest(range(10)) AS i)),
+bank AS (SELECT b.i AS band, k, greatest(least((k * 500 - a.f) / (b.f - a.f), (c.f - k * 500) / (c.f - b.f)), 0) AS w
+         FROM edge a JOIN edge b ON b.i = a.i + 1 JOIN edge c ON c.i = a.i + 2, (SELECT unnest(range(17)) AS k))
+SELECT clip_id, frame, band - 1 AS band, round(ln(greatest(sum(p * w), 1e-10)), 6) AS value FROM pw JOIN bank USING (k) GROUP BY 1, 2, 3""")
 def log_mel(spark, sf_dir):
-    w = v.waves(spark, sf_dir)
-    out = signal.spectrum_frames(w, shift=8, window=24, size=32, n_mels=8, rate=16000)
-    return tidy(out.select("clip_id", "frame", F.posexplode("features").alias("band", "value")), 4)
+    out = signal.spectrum_frames(v.waves(spark, sf_dir), shift=8, window=24, size=32, n_mels=8, number="double")
+    return tidy(out.select("clip_id", "frame", F.posexplode("features").alias("band", "value")))

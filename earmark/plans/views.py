@@ -22,9 +22,9 @@ def _series(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("clip_id"), F.col("event_type").alias("label"),
         "ts", "event_id", "value", F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"))
-    # frame numbers: position inside the day plus the rows of earlier days
-    e = e.withColumn("_day", F.to_date("ts"))
-    return running_index(e, ["clip_id", "label"], "_day", ["ts", "event_id"], "frame").drop("_day")
+    # frame numbers: position inside the week plus the rows of earlier weeks
+    e = e.withColumn("_week", F.trunc("ts", "week"))
+    return running_index(e, ["clip_id", "label"], "_week", ["ts", "event_id"], "frame").drop("_week")
 
 
 def scores(spark, sf_dir) -> DataFrame:

@@ -92,30 +92,30 @@ _COMBINE = {
 
 
 def running(df: DataFrame, keys, chunk: str, order, specs: dict, backward: bool = False,
-            strict: bool = False, first_chunk: int | None = None) -> DataFrame:
+            strict: bool = False, later: DataFrame | None = None) -> DataFrame:
     """Running aggregates per ``keys`` in ``order``, exact, one chunk per task unit.
 
     ``specs`` maps output name to ``(kind, column)`` with kind ``sum``, ``max`` or ``min``.
     ``chunk`` must be monotone in the column names ``order``. ``backward`` aggregates from the row to
     the end.
-    ``strict`` leaves the current row out. With ``first_chunk`` (the lowest possible chunk) a backward
-    run skips the totals nobody needs; for series of one chunk that is all of them.
+    ``strict`` leaves the current row out. A backward run needs the totals of later chunks only: ``later``
+    may give ``df`` without chunk 0, made from pruned input, so that short series cost nothing.
     """
     keys = list(keys)
     tmp = {name: f"_in_{i}" for i, name in enumerate(specs)}
-    rows = df
-    for name, (_, col) in specs.items():
-        rows = rows.withColumn(tmp[name], F.col(col) if isinstance(col, str) else col)
-    summed = rows.where(F.col(chunk) > first_chunk) if backward and first_chunk is not None else rows
-    totals = summed.groupBy(*keys, chunk).agg(*[
+    def inputs(rows):
+        return rows.withColumns({tmp[name]: F.col(col) if isinstance(col, str) else col for name, (_, col) in specs.items()})
+
+    rows = inputs(df)
+    totals = (rows if later is None else inputs(later)).groupBy(*keys, chunk).agg(*[
         getattr(F, kind)(tmp[name]).alias(f"_tot{tmp[name]}") for name, (kind, _) in specs.items()])
     # backward means descending order: a frame that ends at "unbounded following" is quadratic in Spark
     def way(c):
         return F.col(c).desc() if backward else F.col(c).asc()
 
-    if backward and first_chunk is not None:
-        # the first chunk receives a carry but gives none: add an empty row for it
-        head = totals.select(*keys).distinct().withColumn(chunk, F.lit(first_chunk).cast(df.schema[chunk].dataType))
+    if later is not None:
+        # chunk 0 receives a carry but gives none: add an empty row for it
+        head = totals.select(*keys).distinct().withColumn(chunk, F.lit(0).cast(df.schema[chunk].dataType))
         totals = totals.unionByName(head, allowMissingColumns=True)
     across = W.partitionBy(*keys).orderBy(way(chunk)).rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(*keys, chunk, *[
