@@ -95,14 +95,15 @@ def effective_rates(counts: DataFrame, crossed: DataFrame | None, ground_truth:
 def psd_roc(rates: DataFrame, max_efpr: float = 100.0, keys=()) -> DataFrame:
     """Staircase per class: highest ``tpr`` at or below each ``efpr`` up to ``max_efpr``.
 
-    Windows hold one point per threshold of a class.
+    Windows hold one point per threshold of a class. The few points are written once: areas and PSDS
+    both read them.
     """
     keys = [*keys, "label"]
     points = rates.where(F.col("efpr") <= float(max_efpr)).groupBy(*keys, "efpr").agg(F.max("tpr").alias("tpr"))
     w = W.partitionBy(*keys).orderBy("efpr")
-    return points.select(
+    return cut_lineage(points.select(
         *keys, "efpr", F.max("tpr").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("tpr"),
-        F.coalesce(F.lead("efpr").over(w), F.lit(float(max_efpr))).alias("until"))
+        F.coalesce(F.lead("efpr").over(w), F.lit(float(max_efpr))).alias("until")))
 
 
 def staircase_auc(roc: DataFrame, max_efpr: float = 100.0, keys=(), labels: DataFrame | None = None) -> DataFrame:

@@ -115,9 +115,15 @@ def ordered_index(rows: DataFrame, order: str, ids=(), keys=("dataset",), name:
     return running_index(rows, keys, "_b", [order, *ids], name).drop("_b")
 
 
-def intersperse(rows: DataFrame, source: str = "dataset", index: str = "index", name: str = "position") -> DataFrame:
-    """Even interleaving of sources: row i of n sits at ``(i + 1) / n``; ties by source."""
-    sizes = rows.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
+def intersperse(rows: DataFrame, source: str = "dataset", index: str = "index", name: str = "position",
+                sizes: DataFrame | None = None) -> DataFrame:
+    """Even interleaving of sources: row i of n sits at ``(i + 1) / n``; ties by source.
+
+    ``sizes (source, n)`` saves counting the indexed rows again.
+    """
+    if sizes is None:
+        sizes = rows.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select(source, F.col("n").alias("_n"))
     rows = rows.join(sizes, source)
     return rows.withColumn(name, (F.col(index) + 1) / F.col("_n")).drop("_n")
 
@@ -129,10 +135,11 @@ def oversample(clips: DataFrame, min_counts, seed: int = 0, epoch: int = 0) -> D
     """
     reps = label_repetitions(label_counts(clips), min_counts)
     per_clip = clip_repetitions(clips, reps)
+    per_clip = per_clip.withColumn("group", F.concat_ws("/", F.col("dataset"), F.col("reps").cast("string")))
+    sizes = per_clip.groupBy("group").agg(F.sum("reps").alias("n"))
     tiled = tile(clips.join(per_clip, ["dataset", "clip_id"]))
-    tiled = tiled.withColumn("group", F.concat_ws("/", F.col("dataset"), F.col("reps").cast("string")))
     indexed = shuffled_index(tiled, ["clip_id", "copy"], seed, epoch, keys=["group"])
-    return intersperse(indexed, "group").drop("index", "dataset_reps")
+    return intersperse(indexed, "group", sizes=sizes).drop("index", "dataset_reps")
 
 
 def mixing_pairs(rows: DataFrame, partners: DataFrame, interval: float = 1.5, index: str = "index",
@@ -147,12 +154,14 @@ def mixing_pairs(rows: DataFrame, partners: DataFrame, interval: float = 1.5, in
     x = F.lit(float(interval))
     i = F.col(index)
     mixed = (i - F.floor(i / x) * x) < 1
-    rows = rows.withColumn("_p", F.when(mixed, F.floor(i / x).cast("bigint")))
+    rows = rows.withColumns({"_last": rows.agg(F.max(index).alias("n")).scalar(),
+                             "_last_partner": partners.agg(F.max(index).alias("n")).scalar()})
+    too_few = F.coalesce("_last_partner", F.lit(-1)) < F.col("_last")
+    partner = (F.when(too_few, F.raise_error(F.lit("fewer partners than rows")).cast("bigint"))
+               .when(mixed, F.floor(i / x).cast("bigint")))
+    rows = rows.withColumn("_p", partner).drop("_last", "_last_partner")
     other = partners.select(F.col(index).alias("_p"), *[F.col(c).alias(f"mix_{c}") for c in columns])
-    counts = F.when(F.col("_n") > F.col("_m"), F.raise_error(F.lit("fewer partners than rows")).cast("bigint"))
-    sizes = rows.agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_m", partners.agg(F.count(F.lit(1)).alias("m")).scalar()).select(counts.alias("c"))
-    return rows.join(other, "_p", "left").where(sizes.scalar().isNull()).drop("_p")
+    return rows.join(other, "_p", "left").drop("_p")
 
 
 def length_bucket(length, max_padding_rate: float = 0.1) -> Column:

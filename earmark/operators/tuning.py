@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from earmark.operators import collar, curves, intersection
 from earmark.operators.detect import mask_by_tags
 from earmark.operators.filters import filter_series
-from earmark.scale import CHUNK
+from earmark.scale import CHUNK, cut_lineage
 
 PARAMS = ("medfilt_length", "stepfilt_length", "window_length", "window_shift", "tag_masked")
 
@@ -135,4 +135,4 @@ def tune(scores: DataFrame, grid: list[dict], metrics: dict, tags: DataFrame | N
         part = fn(mine).withColumn("metric", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     out = out.join(candidate_params(grid, scores.sparkSession), "candidate_id")
-    return leaderboard(out, minimize)
+    return cut_lineage(leaderboard(out, minimize))  # one row per metric and class

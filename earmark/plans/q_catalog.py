@@ -6,6 +6,7 @@ from earmark.functions import labels as lab
 from earmark.operators import catalog
 from earmark.plans import views as v
 from earmark.plans.registry import query, tidy
+from earmark.scale import cut_lineage
 from earmark.sources import audio
 
 
@@ -77,7 +78,7 @@ LEFT JOIN (SELECT node AS name, string_agg(ancestor, ',' ORDER BY ancestor) AS a
 LEFT JOIN (SELECT ancestor AS name, string_agg(node, ',' ORDER BY node) AS d FROM v_closure
            WHERE node LIKE 'NATION%' GROUP BY 1) USING (name)""", "v_closure")
 def ontology_lists(spark, sf_dir):
-    edges = v.ontology(spark, sf_dir)
+    edges = cut_lineage(v.ontology(spark, sf_dir))
     nodes = edges.select(F.col("parent").alias("name")).union(edges.select("child")).distinct()
     closure = catalog.ontology_closure(edges)
     # lists are for class nodes; leaves stay in the long closure, their ancestors are few
@@ -94,7 +95,7 @@ SELECT clip_id, onset, "offset", label, label_type FROM v_cust_events
 UNION SELECT clip_id, onset, "offset", ancestor, label_type FROM v_cust_events JOIN v_closure ON node = label
 WHERE ancestor IN (SELECT label FROM cls)""", "v_cust_events", "v_closure")
 def ancestor_events(spark, sf_dir):
-    edges = v.ontology(spark, sf_dir)
+    edges = cut_lineage(v.ontology(spark, sf_dir))
     classes = edges.select(F.col("parent").alias("label")).union(edges.where(F.col("child").startswith("Customer")).select("child")).distinct()
     return tidy(catalog.add_ancestor_events(v.customer_events(spark, sf_dir), catalog.ontology_closure(edges), classes))
 

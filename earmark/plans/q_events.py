@@ -464,7 +464,8 @@ UNION ALL SELECT k || '_rate', round(avg(CASE WHEN label_type = k THEN 1e0 ELSE
 FROM ps, (VALUES ('weak'), ('boundaries'), ('strong')) t(k) GROUP BY k""", "v_scores", "v_clip_scores")
 def pseudo_label_statistics(spark, sf_dir):
     clips, tags, det = _pseudo_inputs(spark, sf_dir)
-    return tidy(pseudo.pseudo_label_statistics(clips, pseudo.pseudo_label(clips, tags.where("tag"), tags, det)))
+    labels = cut_lineage(pseudo.pseudo_label(clips, tags.where("tag"), tags, det))
+    return tidy(pseudo.pseudo_label_statistics(clips, labels))
 
 
 @query("j12_replace_labels", f"""WITH {_DETS}

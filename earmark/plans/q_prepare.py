@@ -92,8 +92,9 @@ def tile(spark, sf_dir):
 SELECT dataset, clip_id, round((row_number() OVER (PARTITION BY dataset ORDER BY doc_id)) / CAST(count(*) OVER (PARTITION BY dataset) AS DOUBLE), 6) AS position
 FROM v_clips""", "v_clips")
 def intersperse(spark, sf_dir):
-    rows = prepare.ordered_index(v.clips(spark, sf_dir).select("dataset", "clip_id", "doc_id"), "doc_id")
-    return tidy(prepare.intersperse(rows).select("dataset", "clip_id", "position"))
+    clips = v.clips(spark, sf_dir).select("dataset", "clip_id", "doc_id")
+    sizes = clips.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    return tidy(prepare.intersperse(prepare.ordered_index(clips, "doc_id"), sizes=sizes).select("dataset", "clip_id", "position"))
 
 
 @query("u3s_oversampling", f"""WITH {_BAL}, t AS (SELECT dataset || '/' || reps AS g, clip_id, unnest(range(reps)) AS copy FROM cr)
@@ -105,6 +106,16 @@ def oversampling(spark, sf_dir):
                                          F.max("position").alias("last"), F.count_distinct("clip_id").alias("clips")))
 
 
+@query("k6_shuffle_positions", """
+SELECT dataset, count(*) AS n, 0 AS first, count(*) - 1 AS last, count(*) AS positions, count(DISTINCT clip_id) AS clips FROM v_clips GROUP BY 1""", "v_clips")
+def shuffle_positions(spark, sf_dir):
+    """A shuffle per dataset is a permutation: every position once."""
+    rows = prepare.shuffled_index(v.clips(spark, sf_dir).select("dataset", "clip_id"), ["clip_id"], seed=7, keys=["dataset"])
+    return tidy(rows.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.min("index").alias("first"), F.max("index").alias("last"),
+        F.count_distinct("index").alias("positions"), F.count_distinct("clip_id").alias("clips")))
+
+
 @query("k6_shuffle")
 def shuffle(spark, sf_dir):
     rows = v.clips(spark, sf_dir).select("clip_id")
@@ -141,6 +152,16 @@ def batch_quota(spark, sf_dir):
     return tidy(out.groupBy("bucket", "batch").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("k7_batch_diversity_totals", """
+WITH b AS (SELECT CAST(floor(ln(seq_len) / -ln(1 - 0.1e0)) AS BIGINT) AS bucket, clip_id FROM v_clips)
+SELECT bucket, count(*) AS n_clips, count(DISTINCT CAST(label AS VARCHAR)) > 0 AS any_label FROM b LEFT JOIN (
+  SELECT clip_id, min(label) AS label FROM v_clip_labels GROUP BY 1) USING (clip_id) GROUP BY 1""", "v_clips", "v_clip_labels")
+def batch_diversity_totals(spark, sf_dir):
+    rows = v.clips(spark, sf_dir).select("clip_id", "seq_len", "events")
+    per_batch = prepare.batch_diversity(prepare.batches(rows, 8))
+    return tidy(per_batch.groupBy("bucket").agg(F.sum("n_clips").alias("n_clips"), (F.max("n_labels") > 0).alias("any_label")))
+
+
 @query("k7_batch_diversity")
 def batch_diversity(spark, sf_dir):
     rows = v.clips(spark, sf_dir).select("clip_id", "seq_len", "events")

@@ -24,6 +24,14 @@ def mono_mix(spark, sf_dir):
     return tidy(w.select("clip_id", F.posexplode(signal.mono(F.array("wave", F.reverse("wave")))).alias("i", "x")))
 
 
+@query("f8_gain_bounds", """
+SELECT CAST(vec_id AS VARCHAR) AS clip_id, true AS bounded, true AS scaled FROM embeddings""")
+def gain_bounds(spark, sf_dir):
+    w = v.waves(spark, sf_dir).withColumn("gain", signal.random_gain("clip_id", seed=5))
+    ratio = F.array_max(signal.scale_wave("wave", "gain")) - F.array_max("wave") * F.col("gain")
+    return w.select("clip_id", F.col("gain").between(1 / 3 - 1e-9, 3 + 1e-9).alias("bounded"), (F.abs(ratio) < 1e-9).alias("scaled"))
+
+
 @query("f8_random_gain")
 def random_gain(spark, sf_dir):
     w = v.waves(spark, sf_dir).withColumn("gain", signal.random_gain("clip_id", seed=5))
@@ -44,6 +52,20 @@ def superpose(spark, sf_dir):
         F.aggregate("wave", F.lit(0.0), lambda a, x: a + x).alias("total")))
 
 
+@query("f9_superpose_shape", """
+WITH w AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS clip_id, 44 + vec_id % 20 AS n FROM embeddings)
+SELECT a.clip_id || '+' || b.clip_id AS clip_id, true AS enough_overlap, true AS one_starts_at_zero, 2 AS n_events
+FROM w a JOIN w b ON b.vec_id + 1 = a.vec_id""")
+def superpose_shape(spark, sf_dir):
+    """At least half of the shorter clip overlaps, and the mixture starts with one of the clips."""
+    p = _pairs(spark, sf_dir).withColumn("n", F.size("wave"))
+    ids = p.select(F.concat_ws("+", "clip_id", "mix_clip_id").alias("clip_id"), "n")
+    out = signal.superpose(p, 0.5, seed=1).join(ids, "clip_id")
+    shared = F.least(F.col("start") + F.col("n"), F.col("mix_start") + 64) - F.greatest("start", "mix_start")
+    return tidy(out.select("clip_id", (shared >= F.ceil(F.least(F.col("n"), F.lit(64)) / 2)).alias("enough_overlap"),
+                           (F.least("start", "mix_start") == 0).alias("one_starts_at_zero"), F.size("events").alias("n_events")))
+
+
 @query("f9_superpose_full_overlap", """
 WITH w AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS clip_id, CASE WHEN vec_id % 3 = 0 THEN 'a' ELSE 'b' END AS dataset, vec_id % 5 = 0 AS u, embedding AS e FROM embeddings)
 SELECT a.clip_id || '+' || b.clip_id AS clip_id, CASE WHEN a.dataset = b.dataset THEN a.dataset ELSE 'a+b' END AS dataset, a.u OR b.u AS unlabeled,
