@@ -60,7 +60,8 @@ def collar_counts(detections: DataFrame, ground_truth: DataFrame, onset_collar:
     if grid is None:
         grid = n_sys.select(*keys, "label") if keys else n_sys.select("label").union(n_ref.select("label")).distinct()
     rows = (grid.join(n_sys, [*keys, "label"], "left").join(n_ref, "label", "left").join(tp, [*keys, "label"], "left"))
-    return rows.na.fill(0, ["tp", "n_sys", "n_ref"]).na.fill(0.0, ["onset_dist_sum", "offset_dist_sum"])
+    # one row per keys and class, read by every average
+    return cut_lineage(rows.na.fill(0, ["tp", "n_sys", "n_ref"]).na.fill(0.0, ["onset_dist_sum", "offset_dist_sum"]))
 
 
 def with_biases(table: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def intersection_counts(detections: DataFrame, ground_truth: DataFrame, dtc_thre
     truth is found if passing detections cover the share ``gtc_threshold``; a false detection crosses
     into another class if that class covers the share ``cttc_threshold`` of it.
 
-    Overlapping pairs are materialised once; everything else is aggregated from them.
+    Overlapping pairs and passing detections are materialised once; the rest is aggregated from them.
     """
     if dtc_threshold <= 0 or gtc_threshold <= 0:
         raise ValueError("tolerance thresholds must be positive")
@@ -37,8 +37,9 @@ def intersection_counts(detections: DataFrame, ground_truth: DataFrame, dtc_thre
     pairs = cut_lineage(matching.overlap_pairs(detections, ground_truth, True, bin_width).select(
         *dict.fromkeys([*keys, *det_id, *gt_id, "label"]), "det_onset", "det_offset", "gt_onset", "gt_offset", "overlap"))
     cover = pairs.groupBy(*dict.fromkeys([*det_id, *keys, "label"]), "det_onset", "det_offset").agg(F.sum("overlap").alias("cover"))
-    passed = cover.where(_ratio(F.col("cover"), F.col("det_offset") - F.col("det_onset")) >= float(dtc_threshold)).select(
-        *dict.fromkeys([*det_id, *keys, "label"]))
+    passed = cut_lineage(cover.where(
+        _ratio(F.col("cover"), F.col("det_offset") - F.col("det_onset")) >= float(dtc_threshold)).select(
+        *dict.fromkeys([*det_id, *keys, "label"])))
     n_passed = passed.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_passed"))
     n_sys = detections.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_sys"))
     found = (pairs.join(passed.select(*det_id), det_id, "left_semi")

@@ -59,9 +59,9 @@ def collar_pairs(detections: DataFrame, ground_truth: DataFrame, onset_collar: f
     det = (detections.withColumnsRenamed({"onset": "det_onset", "offset": "det_offset"})
            .withColumn("_bin", _bin(F.col("det_onset"), width)))
     g = F.col("gt_onset")
-    # one more bin on each side keeps pairs at the very edge of the collar
+    reach = F.lit(width * 1.001)  # the margin keeps pairs at the very edge of the collar
     gt = (ground_truth.withColumnsRenamed({"onset": "gt_onset", "offset": "gt_offset"})
-          .withColumn("_bin", F.explode(F.sequence(_bin(g - F.lit(width), width) - 1, _bin(g + F.lit(width), width) + 1))))
+          .withColumn("_bin", F.explode(F.sequence(_bin(g - reach, width), _bin(g + reach, width)))))
     pairs = det.join(gt, [*keys, "_bin"]).drop("_bin")
     pairs = pairs.withColumns({"onset_dist": F.col("det_onset") - F.col("gt_onset"),
                                "offset_dist": F.col("det_offset") - F.col("gt_offset")})

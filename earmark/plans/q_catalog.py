@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from earmark.functions import labels as lab
 from earmark.operators import catalog
+from earmark.operators.prepare import ordered_index
 from earmark.plans import views as v
 from earmark.plans.registry import query, tidy
 from earmark.scale import cut_lineage
@@ -255,9 +256,10 @@ def sort_events(spark, sf_dir):
 SELECT name, row_number() OVER (ORDER BY n, name) - 1 AS pos FROM (
   SELECT source || '.wav' AS name, min(CAST(regexp_extract(source, '[0-9]+', 0) AS INTEGER)) AS n FROM documents GROUP BY 1)""")
 def natural_order(spark, sf_dir):
-    names = v.table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".wav")).alias("clip_id")).distinct()
-    ordered = names.agg(F.sort_array(F.collect_set(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(lab.natural_key("clip_id"))]))).alias("o"))
-    return tidy(ordered.select(F.posexplode("o").alias("pos", "k")).select(F.col("k.k2").alias("name"), "pos"))
+    names = v.table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".wav")).alias("name")).distinct()
+    text, number, _ = lab.natural_key("name")
+    rows = names.withColumns({"text": text, "number": number})
+    return tidy(ordered_index(rows, "number", ["name"], keys=["text"], name="pos").select("name", "pos"))
 
 
 @query("f1_id_parsing", """
