@@ -56,3 +56,10 @@ def op9(spark, sf_dir):
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_minhash_near_dedup")
+def op3(spark, sf_dir):
+    """Near-duplicate components of documents on four-word shingles."""
+    from earmark.llm.near_dups import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
