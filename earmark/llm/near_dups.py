@@ -6,10 +6,6 @@
 3. Classes that share a bucket are candidates. Their similarity is estimated from the matching lanes of the packed
    signatures, corrected for chance matches, and by set sizes; what may reach the threshold is confirmed on full sets.
 4. Links become components.
-
-A bucket is never unfolded into all its pairs. First every member meets one hub of its bucket; then members outside the
-bucket's largest component meet another hub in it. Only members that are still apart meet all others of their bucket, in
-blocks: a pair of one component need not be compared to find the components.
 """
 
 from __future__ import annotations
@@ -18,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from earmark.llm.graph import connected_components
+from earmark.llm.buckets import link_classes, linked_sets
 from earmark.llm.store import settle
 from earmark.llm.text import Words, distinct_sets, mix, pieces
 
@@ -28,7 +24,6 @@ PERMUTATIONS = BANDS * ROWS
 LANES = 64 // BITS
 #: Six standard deviations of the estimate at similarity 0.8 are 0.23.
 MARGIN = 0.25
-BLOCK = 1024          # members of a bucket that meet in one block
 _SEED = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 FACTOR, SHIFT = _SEED[:PERMUTATIONS] | np.uint64(1), _SEED[PERMUTATIONS:]
 _BAND_SALT = mix(np.arange(7, 7 + BANDS, dtype=np.uint64))
@@ -116,38 +111,11 @@ def estimate(x, y):
     return (1.0 - differ / F.lit(float(PERMUTATIONS)) - chance) / (1.0 - chance)
 
 
-class _Search:
-    """Candidate pairs of classes and their confirmed links."""
-
-    def __init__(self, documents, classes, shingle, percent):
-        self.documents, self.classes, self.shingle, self.percent = documents, classes, shingle, percent
-        self.near = percent / 100.0 - MARGIN
-
-    def _may_link(self, n1, n2, p1, p2):
-        sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * self.percent
-        return sizes & (estimate(p1, p2) >= self.near)
-
-    def estimated(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that may reach the threshold by set sizes and packed signatures."""
-        sides = self.classes.select(F.col("rep"), F.col("n_shingles").alias("n"), "packed")
-        for end in ("a", "b"):
-            pairs = pairs.join(sides.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"),
-                                            F.col("packed").alias(f"p_{end}")), end)
-        return pairs.where(self._may_link(F.col("n_a"), F.col("n_b"), F.col("p_a"), F.col("p_b"))).select("a", "b")
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Links among ``pairs`` by their full sets."""
-        pairs = settle(pairs.where("a < b").distinct())
-        if pairs.isEmpty():
-            return pairs
-        wanted = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-        sets = settle(shingle_sets(self.documents.join(wanted, "id", "left_semi"), self.shingle))
-        # the set of b travels with its pair to the set of a, which is sent once
-        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        both = both.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        union = F.size("set_a") + F.size("set_b") - common
-        return settle(both.where(common * 100 >= union * self.percent).select("a", "b").distinct())
+def confirmed(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links among ``pairs`` of ids ``a, b`` by the full shingle sets of ``documents`` (``id, text``)."""
+    wanted = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = settle(shingle_sets(documents.join(wanted, "id", "left_semi"), shingle))
+    return linked_sets(pairs, sets, percent)
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -166,34 +134,17 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, i
         F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("packed").alias("packed")))
     members = settle(known.select("id", "key1", "key2", "n_shingles").join(
         classes.select("key1", "key2", "n_shingles", "rep"), ["key1", "key2", "n_shingles"]).select("id", "rep"))
-    search = _Search(texts, classes, shingle, percent)
-
-    entries = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    # the order of ids under an exclusive or differs by salt, so that a group has several hubs
-    salts = F.array(*[F.lit(int(s)) for s in _BAND_SALT[:4] >> np.uint64(16)])
-    entries = entries.withColumn("salt", F.get(salts, F.col("band") % 4))
-    hubs = entries.groupBy("key", "salt").agg(
-        F.min(F.col("rep").bitwiseXOR(F.col("salt"))).alias("hub"), F.count(F.lit(1)).alias("members"))
-    shared = settle(entries.select("key", "rep").join(
-        settle(hubs.where("members > 1").select("key", F.col("hub").bitwiseXOR(F.col("salt")).alias("hub"), "members")), "key"))
-    star = shared.where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = search.confirmed(search.estimated(star))
+    near = percent / 100.0 - MARGIN
+
+    def may_link(p, q):
+        sizes = F.least(p("n"), q("n")) * 100 >= F.greatest(p("n"), q("n")) * percent
+        return sizes & (estimate(p("packed"), q("packed")) >= near)
 
     # an id with several texts stands in several classes: they are one node
     several = members.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     same = members.join(several, "id").where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    links = links.unionByName(same)
-    found = _components(links)
-
-    for last in (False, True):
-        apart = _apart(shared, found)
-        if apart.isEmpty():
-            break
-        pairs = _blocks(apart, search) if last else _second_hub(apart)
-        more = search.confirmed(pairs if last else search.estimated(pairs))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = _components(links)
+    found = link_classes(classes.withColumnRenamed("n_shingles", "n"),
+                         lambda pairs: confirmed(pairs, texts, shingle, percent), may_link, same)
 
     named = members.join(found, members.rep == found.node, "left").select(
         "id", F.coalesce("component", "rep").alias("component"))
@@ -203,38 +154,3 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, i
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
                       F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
-
-def _components(links: DataFrame) -> DataFrame:
-    return settle(connected_components(links))
-
-
-def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components, with the largest component of their bucket as ``main``."""
-    named = settle(shared.select("key", "rep", "members").join(found, shared.rep == found.node, "left").select(
-        "key", "rep", "members", F.coalesce("component", "rep").alias("component")))
-    parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top"))
-    mixed = settle(parts.where("parts > 1").select("key", F.col("top.component").alias("main")))
-    return settle(named.join(mixed, "key"))
-
-
-def _second_hub(apart: DataFrame) -> DataFrame:
-    """Each member outside the main component with a member of it; another hub in every bucket."""
-    salt = F.shiftrightunsigned(F.xxhash64("key"), 8)
-    hubs = apart.where("component = main").groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(salt)).alias("hub"))
-    hubs = settle(hubs.select("key", F.col("hub").bitwiseXOR(salt).alias("hub")))
-    out = apart.where("component != main").select("key", "rep").join(hubs, "key")
-    return out.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-
-
-def _blocks(apart: DataFrame, search: _Search) -> DataFrame:
-    """All pairs of different components with an end outside the main one; a bucket is cut into blocks of members."""
-    sides = search.classes.select("rep", F.col("n_shingles").alias("n"), "packed")
-    rows = settle(apart.join(sides, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")))
-    left = rows.where("component != main").select(
-        "key", *[F.col(c).alias(f"l_{c}") for c in ("rep", "component", "n", "packed")],
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks", "members", "main")
-    near = search._may_link(F.col("l_n"), F.col("n"), F.col("l_packed"), F.col("packed"))
-    pairs = left.join(right, ["key", "block"]).where((F.col("l_component") != F.col("component")) & near)
-    return pairs.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct()

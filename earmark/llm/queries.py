@@ -63,3 +63,11 @@ def op3(spark, sf_dir):
     """Near-duplicate components of documents on four-word shingles."""
     from earmark.llm.near_dups import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query("op2_paragraph_dedup")
+def op2(spark, sf_dir):
+    """Repeated paragraphs that go, each with the document that keeps it."""
+    from earmark.llm.paragraphs import repeated_paragraphs
+    found = repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "n_words", F.col("kept_id").alias("kept_doc_id"), "kept_start", "component")
