@@ -71,3 +71,10 @@ def op2(spark, sf_dir):
     from earmark.llm.paragraphs import repeated_paragraphs
     found = repeated_paragraphs(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", "n_words", F.col("kept_id").alias("kept_doc_id"), "kept_start", "component")
+
+
+@query("op7_decontamination")
+def op7(spark, sf_dir):
+    """Benchmark items that documents repeat."""
+    from earmark.llm.decontaminate import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
