@@ -78,3 +78,10 @@ def op7(spark, sf_dir):
     """Benchmark items that documents repeat."""
     from earmark.llm.decontaminate import contaminated
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    """Toxicity of documents by their nearest labelled examples."""
+    from earmark.llm.toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
