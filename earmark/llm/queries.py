@@ -85,3 +85,10 @@ def op4(spark, sf_dir):
     """Toxicity of documents by their nearest labelled examples."""
     from earmark.llm.toxicity import toxicity
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_quality_rules")
+def op8(spark, sf_dir):
+    """Quality of documents by rules over their statistics."""
+    from earmark.llm.quality import quality
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
