@@ -92,3 +92,11 @@ def op8(spark, sf_dir):
     """Quality of documents by rules over their statistics."""
     from earmark.llm.quality import quality
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_kmeans_tree_search")
+def op6(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth one."""
+    from earmark.llm.vectors import nearest
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
