@@ -100,3 +100,21 @@ def op6(spark, sf_dir):
     from earmark.llm.vectors import nearest
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+@query("op10_arc_to_warc", """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > min(page_id) OVER (PARTITION BY coalesce(html, ''))
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > min(page_id) OVER (PARTITION BY coalesce(html, ''))
+            THEN min(page_id) OVER (PARTITION BY coalesce(html, '')) END AS refers_to
+FROM pages""")
+def op10(spark, sf_dir):
+    """Pages as read back from WARC files that were converted from ARC files."""
+    from earmark.llm.archives import arc_to_warc, read_warc, write_arc
+    from earmark.llm.store import settle
+    arc = write_arc(table(spark, sf_dir, "pages"))
+    found = settle(read_warc(arc_to_warc(arc)))
+    first = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to"))
+    return found.join(first, "refers_to_id", "left").select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
