@@ -1,11 +1,69 @@
-"""A pipeline over documents: stages that each apply one operator of ``earmark.llm``."""
+"""From raw documents to token ids: five stages, each with one operator of ``earmark.llm``.
+
+A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; what it returns is written as Parquet and read again as the
+next stage's ``docs``. Every stage but the last returns the columns of ``docs``. Rows with a NULL id or text pass all filters;
+extra columns travel along.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from earmark.llm import bpe, decontaminate, near_dups, paragraphs, toxicity as toxic
+from earmark.llm.queries import table, tokenizer_file
+from earmark.llm.store import settle
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of .5 or more go."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null")
+    model = toxic.fit(texts, toxic.training_labels(table(spark, sf_dir, "labels"), "toxic"))
+    kept = docs.columns
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(kept))])      # no column can clash with the score
+    scored = toxic.score_texts(renamed, model, renamed.columns, renamed.columns[kept.index("text")], evidence=False)
+    return scored.where("score < .5").drop("score").toDF(*kept)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates on five-word shingles the document with the smallest id stays, once."""
+    found = near_dups.near_duplicates(docs, shingle=5, percent=80)
+    gone = settle(found.where("doc_id is not null and not kept").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti")
+    twice = settle(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not twice.isEmpty():
+        kept = kept.join(twice, "doc_id", "left_anti").unionByName(
+            kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go but for their first occurrence; ``n_chars`` follows the text."""
+    out = paragraphs.without_repeats(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
+    return out
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window that repeats a benchmark item go."""
+    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of the token ids of every document that is left, and digest of the decoded text."""
+    coded = bpe.round_trip(docs, tokenizer_file())
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup),
+          ("decontamination", decontamination), ("bpe", encoding)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
