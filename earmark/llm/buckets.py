@@ -1,18 +1,25 @@
 """Links between members of hash buckets, without all pairs of a bucket.
 
-First every member meets one hub of its bucket; then members outside the bucket's largest component meet another hub in it.
-Only members that are still apart meet all others of their bucket, in blocks: a pair within one component need not be
+First every member meets the hub that it shares most buckets with; then, in ``ROUNDS`` rounds, members outside the largest
+component of a bucket meet a few members of it. Only members that are still apart meet all others that they can be reached
+from through buckets, in blocks that compare full sets and give the links alone: a pair within one component need not be
 compared to find the components.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from earmark.llm.graph import connected_components
-from earmark.llm.store import settle
+from earmark.llm.store import forget, settle
 
-BLOCK = 1024          # members of a bucket that meet in one block
+BLOCK = 1024          # members that meet in one block
+BLOCK_SET = 1 << 20   # elements of all their sets
+COLUMNS = 2048        # shared elements that are compared at a time
+ROUNDS = 2
+HUBS = 2              # members of the largest component that each member outside meets in a round
 #: The order of ids under an exclusive or differs by salt, so that one group has several hubs.
 SALTS = [0x2545F4914F6C, 0x1B873593CC9E, 0x385495AB38B3, 0x5BD1E9955BD1]
 
@@ -27,12 +34,14 @@ def linked_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= union * percent).select("a", "b").distinct()
 
 
-def link_classes(classes: DataFrame, confirm, may_link=None, known: DataFrame | None = None) -> DataFrame:
+def link_classes(classes: DataFrame, sets_of, percent: int, may_link=None, known: DataFrame | None = None,
+                 bands: list[list[int]] | None = None) -> DataFrame:
     """``(node, component)`` of all classes with a link.
 
-    ``classes``: ``rep`` (long), ``bands`` (array of bucket keys) and what ``may_link`` looks at. ``may_link(p, q)`` gives
-    a condition from two functions that name columns of either side; ``confirm(pairs)`` keeps the linked pairs ``a < b``.
-    ``known``: links that hold in any case.
+    ``classes``: ``rep`` (long), ``bands`` (array of bucket keys) and what ``may_link`` looks at. ``sets_of(ids)`` gives
+    ``id, set`` for a table of ``id``; sets link when they overlap in ``percent`` of their union. ``may_link(p, q)`` gives a
+    condition that all links fulfil, from two functions that name columns of either side. ``known``: links that hold in any
+    case. ``bands``: which bands are handled together, all by default; more groups need less disk at a time.
     """
     looked_at = [c for c in classes.columns if c not in ("rep", "bands")] if may_link is not None else []
 
@@ -44,31 +53,59 @@ def link_classes(classes: DataFrame, confirm, may_link=None, known: DataFrame |
                                                   *[F.col(c).alias(f"{end}_{c}") for c in looked_at]), end)
             pairs = pairs.where(may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b").distinct()
         pairs = settle(pairs)
-        return None if pairs.isEmpty() else settle(confirm(pairs))
-
-    shared = _shared(classes)
-    star = shared.where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-    links = [x for x in (confirmed(star), known) if x is not None]
+        if pairs.isEmpty():
+            return None
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = settle(sets_of(settle(ends)))
+        out = settle(linked_sets(pairs, sets, percent))
+        forget(sets)
+        return out
+
+    shared = _shared(classes, bands)
+    links = [x for x in (confirmed(_chosen(shared.where("rep != hub"), 1)), known) if x is not None]
     found = _components(links, shared)
-    for all_members in (False, True):
+    for r in range(ROUNDS + 1):
         apart = _apart(shared, found)
-        if apart.isEmpty():
+        largest = apart.agg(F.max("members")).first()[0]
+        if largest is None:
             break
-        more = confirmed(_blocks(apart, classes, may_link, looked_at) if all_members else _second_hub(apart))
+        # small buckets need no rounds: their members can meet at once
+        last = r == ROUNDS or largest <= BLOCK
+        more = _all_members(apart, sets_of, percent) if last else confirmed(_other_hubs(apart, r))
         if more is not None:
             links.append(more)
             found = _components(links, shared)
+        forget(apart)
+        if last:
+            break
+    forget(shared)
     return found
 
 
-def _shared(classes: DataFrame) -> DataFrame:
+def _chosen(pairs: DataFrame, n: int) -> DataFrame:
+    """For each ``rep`` the ``n`` hubs that it shares most buckets with; a member has no more hubs than bands."""
+    counted = pairs.groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("buckets"))
+    best = counted.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("buckets", "hub")), False), 1, n).alias("best"))
+    best = best.select("rep", F.explode("best.hub").alias("hub"))
+    return best.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+
+
+def _shared(classes: DataFrame, bands: list[list[int]] | None) -> DataFrame:
     """``key, rep, hub, members`` of all buckets with two members or more."""
-    entries = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    salt = F.get(F.array(*[F.lit(s) for s in SALTS]), F.col("band") % len(SALTS))
-    hubs = entries.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(salt)).alias("hub"), F.min(salt).alias("salt"),
-                                      F.count(F.lit(1)).alias("members"))
-    hubs = settle(hubs.where("members > 1").select("key", F.col("hub").bitwiseXOR(F.col("salt")).alias("hub"), "members"))
-    return settle(entries.select("key", "rep").join(hubs, "key"))
+    out = None
+    for group in bands or [None]:
+        if group is None:
+            entries = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+        else:
+            entries = classes.select("rep", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.get("bands", F.lit(b)).alias("key"))
+                                                                for b in group])).alias("e")).select("rep", "e.*")
+        # the salt follows from the key, so that all members of a bucket have the same
+        salt = F.get(F.array(*[F.lit(s) for s in SALTS]), F.pmod("key", F.lit(len(SALTS))).cast("int"))
+        hubs = entries.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(salt)).alias("hub"), F.count(F.lit(1)).alias("members"))
+        hubs = settle(hubs.where("members > 1").select("key", F.col("hub").bitwiseXOR(salt).alias("hub"), "members"))
+        part = settle(entries.select("key", "rep").join(hubs, "key"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _components(links: list[DataFrame], shared: DataFrame) -> DataFrame:
@@ -90,28 +127,85 @@ def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
     return settle(named.join(mixed, "key"))
 
 
-def _second_hub(apart: DataFrame) -> DataFrame:
-    """Each member outside the main component with a member of it, another one in every bucket."""
-    salt = F.shiftrightunsigned(F.xxhash64("key"), 8)
+def _other_hubs(apart: DataFrame, r: int) -> DataFrame:
+    """Each member outside the main component with HUBS members of it, others in every bucket and round."""
+    salt = F.shiftrightunsigned(F.xxhash64("key", F.lit(r)), 8)
     hubs = apart.where("component = main").groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(salt)).alias("hub"))
     hubs = settle(hubs.select("key", F.col("hub").bitwiseXOR(salt).alias("hub")))
-    out = apart.where("component != main").select("key", "rep").join(hubs, "key")
-    return out.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-
-
-def _blocks(apart: DataFrame, classes: DataFrame, may_link, looked_at: list[str]) -> DataFrame:
-    """All pairs of different components with an end outside the main one; a bucket is cut into blocks of members."""
-    rows = apart.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    if looked_at:
-        rows = rows.join(classes.select("rep", *looked_at), "rep")
-    rows = settle(rows)
-    left = rows.where("component != main").select(
-        "key", *[F.col(c).alias(f"l_{c}") for c in ("rep", "component", *looked_at)],
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = rows.select("key", "rep", "component", *looked_at,
-                        F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    near: Column = F.col("l_component") != F.col("component")
-    if may_link is not None:
-        near = near & may_link(lambda c: F.col(f"l_{c}"), F.col)
-    pairs = left.join(right, ["key", "block"]).where(near)
-    return pairs.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b"))
+    return _chosen(apart.where("component != main").select("key", "rep").join(hubs, "key"), HUBS)
+
+
+def _all_members(apart: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links between different components among all members that buckets connect, enough to join the components."""
+    first = apart.groupBy("key").agg(F.min("rep").alias("first"))
+    ties = apart.join(first, "key").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    clusters = settle(connected_components(ties))
+    named = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    members = settle(apart.select("rep", "component").distinct().join(named, "rep"))
+    sets = sets_of(members.select(F.col("rep").alias("id")).distinct())
+    rows = settle(members.join(sets, members.rep == sets.id).select("cluster", "rep", "component", "set"))
+    sizes = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("set")) / BLOCK_SET))
+                                        .cast("int").alias("blocks"))
+    rows = rows.join(settle(sizes), "cluster").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(11)), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
+                       "rep", "component", "set")
+
+    def meet(table: pa.Table) -> pa.Table:
+        low, high = (table.column(c)[0].as_py() for c in ("low", "high"))
+        a, b = block_links(table.sort_by("rep"), low, high, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return settle(rows.groupBy("cluster", "low", "high").applyInArrow(meet, "a long, b long"))
+
+
+def block_links(table: pa.Table, low: int, high: int, percent: int) -> tuple[list, list]:
+    """Links that join different components, among the members of one block or between those of two."""
+    block = table.column("block").to_numpy()
+    rep, component = table.column("rep").to_numpy(), table.column("component").to_numpy()
+    sets = table.column("set").combine_chunks()
+    offsets, values = sets.offsets.to_numpy(), sets.flatten().to_numpy()
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(rep)), size)
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    # elements of one set only add nothing to an intersection
+    several = times[column] > 1
+    row, column = row[several], np.unique(column[several], return_inverse=True)[1]
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    place = np.full(len(rep), -1)
+    common = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, [start, start + COLUMNS])
+        sides = []
+        for side in (left, right):
+            place[:] = -1
+            place[side] = np.arange(len(side))
+            own = place[row[x:y]]
+            has = own >= 0
+            flags = np.zeros((len(side), COLUMNS), np.float32)
+            flags[own[has], column[x:y][has] - start] = 1
+            sides.append(flags)
+        common += sides[0] @ sides[1].T
+    union = size[left][:, None] + size[right][None, :] - common
+    linked = (common * 100 >= union * percent) & (component[left][:, None] != component[right][None, :])
+    if low == high:
+        linked &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+    names = {}
+
+    def find(c):
+        while names.setdefault(c, c) != c:
+            names[c] = names[names[c]]
+            c = names[c]
+        return c
+
+    a, b = [], []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+        p, q = find(component[left[i]].item()), find(component[right[j]].item())
+        if p != q:
+            names[max(p, q)] = min(p, q)
+            x, y = rep[left[i]].item(), rep[right[j]].item()
+            a.append(min(x, y))
+            b.append(max(x, y))
+    return a, b

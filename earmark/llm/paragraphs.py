@@ -16,8 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from earmark.llm.buckets import link_classes, linked_sets
-from earmark.llm.store import settle
+from earmark.llm.buckets import link_classes
+from earmark.llm.store import forget, settle
 from earmark.llm.text import BREAK, Words, mix, pieces, span_hashes, window_shingles
 
 REACH = 6
@@ -27,18 +27,14 @@ SHINGLE = 5
 PERCENT = 80
 
 
-def tune_bands(similarity: float, recall: float, most: int = 64) -> tuple[int, int]:
-    """``(bands, rows)`` that reach the recall at this similarity with the fewest bucket entries, then the most rows."""
-    options = []
-    for rows in range(1, 9):
+def tune_bands(similarity: float, recall: float, most: int = 5) -> tuple[int, int]:
+    """``(bands, rows)`` with the most rows, hence the most selective buckets, that reach the recall at this similarity with
+    at most ``most`` bands."""
+    for rows in range(8, 0, -1):
         for bands in range(1, most + 1):
             if 1 - (1 - similarity ** rows) ** bands >= recall:
-                options.append((bands, -rows))
-                break
-    if not options:
-        raise ValueError("no banding reaches this recall")
-    bands, rows = min(options)
-    return bands, -rows
+                return bands, rows
+    raise ValueError("no banding reaches this recall")
 
 
 def paragraph_starts(words: Words, data: np.ndarray) -> np.ndarray:
@@ -158,17 +154,18 @@ def repeated_paragraphs(documents: DataFrame, min_run: int = MIN_RUN, recall: fl
     bands, rows = tune_bands(PERCENT / 100, recall)
     classes = settle(_classes(texts, bands, rows))
 
-    def confirm(pairs):
-        ends = settle(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
-        docs = settle(classes.join(ends, "rep", "left_semi").select(F.col("doc").alias("id")).distinct())
+    def sets_of(ids):
+        docs = settle(classes.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").select(F.col("doc").alias("id")).distinct())
         sets = _sets(texts.join(docs, "id", "left_semi"))
-        sets = settle(sets.join(ends.withColumnRenamed("rep", "id"), "id", "left_semi").dropDuplicates(["id"]))
-        return linked_sets(pairs, sets, PERCENT)
+        return sets.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-    found = link_classes(classes.select("rep", "bands"), confirm)
+    # a band at a time: there are many paragraphs
+    found = link_classes(classes.select("rep", "bands"), sets_of, PERCENT, bands=[[b] for b in range(bands)])
     repeated = classes.where("copies > 1").select(F.col("rep").alias("node")).join(found, "node", "full_outer").select(
         F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
-    places = settle(_places(texts).join(settle(repeated), "rep").distinct())
+    repeated = settle(repeated)
+    forget(classes)
+    places = settle(_places(texts).join(repeated, "rep").distinct())
 
     first = places.groupBy("component").agg(F.min(F.struct("id", "copy", "at", "start")).alias("kept"))
     others = places.join(settle(first), "component").where(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earmark.scale import cut_lineage, scratch_path
+from earmark.scale import cut_lineage, scratch_path, shared_dir
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -14,6 +14,17 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the shared files behind tables of ``settle`` that ``df`` reads, once all that needs them is settled itself."""
+    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+    shared = shared_dir(spark).rstrip("/")
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if shared.removeprefix("file:").lstrip("/") in folder and path.getName().startswith("step-"):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files go when the driver has collected the plans that made them; ask for it now."""
     spark.sparkContext._jvm.System.gc()
