@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from earmark.llm.store import settle
-from earmark.llm.text import BREAK, LOWER, Words, mix, pieces, span_hashes, _BYTE
+from earmark.llm.text import BREAK, LOWER, Words, mix, pieces, _BYTE
 
 GRAMS = (4, 5)
 #: Labelled rows of each class that the model may look at, by the order of a hash.
@@ -30,18 +30,40 @@ BLOCK = 64            # examples of a block of the index
 _SALT = np.array([0x51ED270B, 0x7A3C9E15, 0x2F6B4D83], np.uint64)
 
 
-def document_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word and every 4- and 5-gram of bytes inside a word; a word starts with its own mark."""
+def document_terms(data: np.ndarray, offsets: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word and every 4- and 5-gram of bytes inside a word; a word starts with its own mark.
+    ``seen``: a table over the low bits of hashes; terms that it does not hold are left out early."""
     words = Words(data, offsets, BREAK)
-    parts, rows = [words.hash ^ _SALT[0]], [words.doc]
-    size = words.end - words.start
+
+    def kept(hashes):
+        return np.flatnonzero(seen[(hashes & np.uint64(len(seen) - 1)).astype(np.int64)]) if seen is not None else slice(None)
+
+    hashes = words.hash ^ _SALT[0]
+    some = kept(hashes)
+    parts, rows = [hashes[some]], [words.doc[some]]
+    # bytes that go on with a word
+    inside = np.zeros(len(data) + 1, np.int32)
+    inside[words.start] += 1
+    inside[words.end] -= 1
+    inside = np.cumsum(inside)[:-1] > 0
+    onward = inside.copy()
+    onward[words.start] = False
     values = _BYTE[LOWER[data]]
     for n, salt in zip(GRAMS, _SALT[1:]):
-        count = np.maximum(size - n + 1, 0)
-        word = np.repeat(np.arange(len(size)), count)
-        at = words.start[word] + np.arange(len(word)) - (np.cumsum(count) - count)[word]
-        parts.append(span_hashes(values, at, at + n) ^ salt)
-        rows.append(words.doc[word])
+        size = len(data) - n + 1
+        if size <= 0:
+            continue
+        whole, hashes = inside[:size].copy(), np.zeros(size, np.uint64)
+        for k in range(n):
+            if k:
+                whole &= onward[k:k + size]
+            hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + values[k:k + size]
+        hashes = hashes ^ (hashes >> np.uint64(29)) ^ salt
+        at = np.flatnonzero(whole)
+        hashes = mix(hashes[at])
+        some = kept(hashes)
+        parts.append(hashes[some])
+        rows.append(np.searchsorted(offsets, at[some], "right") - 1)
     return np.concatenate(parts), np.concatenate(rows)
 
 
@@ -63,9 +85,7 @@ class Vocabulary:
 
     def counts(self, data, offsets):
         """``(row, term number, occurrences)`` of the vocabulary's terms in each row."""
-        hashes, rows = document_terms(data, offsets)
-        some = np.flatnonzero(self.seen[(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
-        hashes, rows = hashes[some], rows[some]
+        hashes, rows = document_terms(data, offsets, self.seen)
         at = np.minimum(np.searchsorted(self.terms, hashes), max(len(self.terms) - 1, 0))
         hit = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
         key, n = np.unique(rows[hit] * np.int64(len(self.terms) + 1) + at[hit], return_counts=True)
