@@ -1,7 +1,7 @@
 """Links between members of hash buckets, without all pairs of a bucket.
 
 First every member meets the hub that it shares most buckets with; then, in ``ROUNDS`` rounds, members outside the largest
-component of a bucket meet a few members of it. Only members that are still apart meet all others that they can be reached
+component of a very large bucket meet a few members of it. Only members that are still apart meet all others that they can be reached
 from through buckets, in blocks that compare full sets and give the links alone: a pair within one component need not be
 compared to find the components.
 """
@@ -18,6 +18,7 @@ from earmark.llm.store import forget, settle
 BLOCK = 1024          # members that meet in one block
 BLOCK_SET = 1 << 20   # elements of all their sets
 COLUMNS = 2048        # shared elements that are compared at a time
+MANY = 16 * BLOCK     # members of a bucket from which on rounds come before blocks
 ROUNDS = 2
 HUBS = 2              # members of the largest component that each member outside meets in a round
 #: The order of ids under an exclusive or differs by salt, so that one group has several hubs.
@@ -70,7 +71,7 @@ def link_classes(classes: DataFrame, sets_of, percent: int, may_link=None, known
         if largest is None:
             break
         # small buckets need no rounds: their members can meet at once
-        last = r == ROUNDS or largest <= BLOCK
+        last = r == ROUNDS or largest <= MANY
         more = _all_members(apart, sets_of, percent) if last else confirmed(_other_hubs(apart, r))
         if more is not None:
             links.append(more)

@@ -83,6 +83,7 @@ def test_components_match_brute_force(spark):
 
 def test_rounds_and_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(buckets, "BLOCK", 6)        # groups of copies need rounds and several blocks
+    monkeypatch.setattr(buckets, "MANY", 8)
     monkeypatch.setattr(buckets, "COLUMNS", 64)
     rows = [r for r in small_corpus() if r[0] is None or r[0] < 1000]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
