@@ -51,11 +51,15 @@ def clean_class_name(label) -> Column:
 
 
 def natural_key(clip_id) -> list[Column]:
-    """Order columns for natural sorting: text before the first number, the number, the id."""
+    """Order columns for natural sorting: text in which every number, of any length, is led by its number of digits; the id."""
     c = _c(clip_id)
-    digits = F.regexp_extract(c, r"(\d{1,18})", 1)
-    number = F.when(digits != "", digits).cast("bigint")
-    return [F.regexp_extract(c, r"^(\D*)", 1), F.coalesce(number, F.lit(-1)), c]
+
+    def part(x):
+        digits = F.ltrim(x, F.lit("0"))
+        return F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(x)
+
+    parts = F.regexp_extract_all(c, F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    return [F.array_join(F.transform(parts, part), ""), c]
 
 
 def label_state(clips: DataFrame, labels: str = "labels", starts: str = "starts", stops: str = "stops",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from earmark.scale import ROWS_PER_BUCKET, value_buckets
+from earmark.scale import ROWS_PER_BUCKET, join_same, value_buckets
 
 INF = float("inf")
 
@@ -40,7 +40,7 @@ def positives_curve(scored: DataFrame, keys=("label",), target: str = "target",
     inside = W.partitionBy(*keys, "_bucket").orderBy(F.col("score").desc())
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     below = F.coalesce(F.lead("score").over(inside), F.col("_below"))
-    rows = (ties.join(carried, [*keys, "_bucket"])
+    rows = (join_same(ties, carried, [*keys, "_bucket"])
             .withColumn("tps", F.sum("tp_at").over(upto) + F.col("_tp_above"))
             .withColumn("n_pos", F.sum("n_at").over(upto) + F.col("_n_above"))
             .withColumn("threshold", F.coalesce((F.col("score") + below) / 2, F.lit(-INF))))

@@ -77,14 +77,14 @@ def effective_rates(counts: DataFrame, crossed: DataFrame | None, ground_truth:
     """
     keys = list(keys)
     rows = counts.withColumn("seconds", seconds.scalar())
-    fpr = F.col("fp") / (F.col("seconds") / F.lit(unit))
+    fpr = F.try_divide(F.col("fp"), F.col("seconds") / F.lit(unit))
     if crossed is not None and alpha_ct:
         length = ground_truth.groupBy(F.col("label").alias("gt_label")).agg(
             (F.sum(F.col("offset") - F.col("onset")) / F.lit(unit)).alias("gt_units"))
         n_other = F.greatest(F.count(F.lit(1)) - 1, F.lit(1))
         others = length.agg(n_other.alias("n_other")).scalar()
         ctr = (crossed.join(length, "gt_label").groupBy(*keys, "label")
-               .agg(F.sum(F.col("ct") / F.col("gt_units")).alias("ctr_sum")))
+               .agg(F.sum(F.try_divide(F.col("ct"), F.col("gt_units"))).alias("ctr_sum")))
         rows = rows.join(ctr, [*keys, "label"], "left").withColumn("n_other", others)
         efpr = fpr + F.lit(float(alpha_ct)) * F.coalesce(F.col("ctr_sum"), F.lit(0.0)) / F.col("n_other")
     else:

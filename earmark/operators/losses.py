@@ -90,7 +90,7 @@ def weak_log_loss(frames: DataFrame, weak_targets: DataFrame, label_smoothing: f
     if class_weights:
         lookup = F.create_map(*[F.lit(v) for kv in sorted(class_weights.items()) for v in kv])
         weight = weight * lookup[F.col("label")]
-    return per.agg((F.sum(loss * weight) / F.sum(weight)).alias("loss"))
+    return per.agg(F.try_divide(F.sum(loss * weight), F.sum(weight)).alias("loss"))   # NULL if no target is known
 
 
 def strong_log_loss(frames: DataFrame, score: str = "score", target: str = "target") -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from earmark.scale import hash_bucket, hash_order, running_index, value_buckets
+from earmark.scale import hash_bucket, hash_order, join_same, running_index, value_buckets
 
 MIN_AUDIO_LENGTH = 1.0  # seconds, fixed default
 
@@ -165,9 +165,9 @@ def mixing_pairs(rows: DataFrame, partners: DataFrame, interval: float = 1.5, in
 
 
 def length_bucket(length, max_padding_rate: float = 0.1) -> Column:
-    """Bucket number; lengths in one bucket differ by at most the padding rate."""
+    """Bucket number; lengths in one bucket differ by at most the padding rate. NULL for no length, or none above 0."""
     c = F.col(length) if isinstance(length, str) else length
-    return F.floor(F.ln(c) / F.lit(-math.log(1.0 - max_padding_rate))).cast("bigint")
+    return F.when(c > 0, F.floor(F.ln(c) / F.lit(-math.log(1.0 - max_padding_rate))).cast("bigint"))
 
 
 def batches(rows: DataFrame, batch_size: int, length: str = "seq_len", max_padding_rate: float = 0.1,
@@ -176,25 +176,16 @@ def batches(rows: DataFrame, batch_size: int, length: str = "seq_len", max_paddi
     """Assign rows of similar length to batches: ``bucket, batch, batch_pos`` (longest first).
 
     A bucket may hold most rows (all clips equally long), so positions in a bucket come from hash
-    buckets, not from one window. ``min_dataset_examples`` gives each listed dataset a fixed number of
-    slots per batch, filled in the dataset's own order; the other rows fill the remaining slots.
+    buckets, not from one window. ``min_dataset_examples`` reserves slots of every full batch for listed
+    datasets as long as they have rows; all other rows, of these datasets too, fill the slots that are left.
+    Only the last batch of a bucket is smaller. Rows without a length above 0 make a bucket of their own (NULL).
     """
     rows = rows.withColumn("bucket", length_bucket(length, max_padding_rate))
     if not min_dataset_examples:
         rows = shuffled_index(rows, ids, seed, epoch, keys=["bucket"], name="_i")
         rows = rows.withColumn("batch", F.floor(F.col("_i") / batch_size).cast("bigint")).drop("_i")
     else:
-        quota = {d: int(q) for d, q in min_dataset_examples.items()}
-        free = batch_size - sum(quota.values())
-        if free < 0:
-            raise ValueError("quotas exceed the batch size")
-        lane = F.when(F.col("dataset").isin(sorted(quota)), F.col("dataset")).otherwise(F.lit(""))
-        slots = F.create_map(*[F.lit(x) for kv in sorted(quota.items()) for x in kv])
-        rows = rows.withColumn("_lane", lane)
-        rows = shuffled_index(rows, ids, seed, epoch, keys=["bucket", "_lane"], name="_i")
-        # with no free slot the other datasets get batches of their own size, after the quota ones
-        size = F.coalesce(F.try_element_at(slots, F.col("_lane")), F.lit(free or batch_size))
-        rows = rows.withColumn("batch", F.floor(F.col("_i") / size).cast("bigint")).drop("_i", "_lane")
+        rows = _with_quotas(rows, {d: int(q) for d, q in min_dataset_examples.items()}, batch_size, ids, seed, epoch)
     one = W.partitionBy("bucket", "batch")  # at most batch_size rows
     rows = rows.withColumn("batch_pos", F.row_number().over(one.orderBy(F.col(length).desc(), *ids)) - 1)
     if drop_incomplete:
@@ -202,6 +193,39 @@ def batches(rows: DataFrame, batch_size: int, length: str = "seq_len", max_paddi
     return rows
 
 
+def _with_quotas(rows: DataFrame, quota: dict, batch_size: int, ids, seed: int, epoch: int) -> DataFrame:
+    """Add ``batch``: reserved slots of full batches first, then the free slots in order."""
+    if sum(quota.values()) > batch_size:
+        raise ValueError("quotas exceed the batch size")
+    slots = F.create_map(*[F.lit(x) for kv in sorted(quota.items()) for x in kv])
+    listed = F.col("dataset").isin(sorted(quota))
+    sizes = rows.groupBy("bucket").agg(
+        F.floor(F.count(F.lit(1)) / batch_size).cast("bigint").alias("_full"),
+        *[F.count_if(F.col("dataset") == d).alias(f"_n{k}") for k, d in enumerate(sorted(quota))])
+    rows = rows.withColumn("_lane", F.when(listed, F.col("dataset")).otherwise(F.lit("")))
+    rows = shuffled_index(rows, ids, seed, epoch, keys=["bucket", "_lane"], name="_i")
+    rows = join_same(rows, sizes.select("bucket", "_full"), ["bucket"])
+    share = F.try_element_at(slots, F.col("_lane"))
+    rows = rows.withColumn("batch", F.when(listed & (share > 0) & (F.col("_i") < share * F.col("_full")),
+                                           F.floor(F.col("_i") / share).cast("bigint")))
+    reserved = rows.where("batch is not null").drop("_i", "_lane", "_full")
+    rest = shuffled_index(rows.where("batch is null").drop("_i", "_lane", "batch"), ids, seed, epoch, keys=["bucket"], name="_i")
+
+    def free_before(k):
+        """Free slots of all full batches before batch ``k``."""
+        taken = F.lit(0).cast("bigint")
+        for j, d in enumerate(sorted(quota)):
+            taken = taken + F.least(F.col(f"_n{j}"), k * quota[d])
+        return k * batch_size - taken
+
+    full = sizes.where("_full > 0").withColumn("batch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_full") - 1)))
+    low, high = free_before(F.col("batch")), free_before(F.col("batch") + 1)
+    free = full.where(high > low).select("bucket", "batch", F.explode(F.sequence(low, high - 1)).alias("_i"))
+    filled = join_same(rest, free, ["bucket", "_i"], "left")
+    filled = filled.withColumn("batch", F.coalesce("batch", "_full")).drop("_i", "_full")
+    return reserved.unionByName(filled.select(*reserved.columns))
+
+
 def batch_diversity(batched: DataFrame, events: str = "events") -> DataFrame:
     """Rows and distinct labels of each batch."""
     rows = batched.select("bucket", "batch", "clip_id", F.explode_outer(clip_labels(batched, events)).alias("label"))

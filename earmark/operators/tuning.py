@@ -61,7 +61,7 @@ def candidate_params(grid: list[dict], spark) -> DataFrame:
 
 
 def leaderboard(results: DataFrame, minimize: bool | list | dict = False) -> DataFrame:
-    """Best candidate per metric and class; ties go to the later candidate.
+    """Best candidate per metric and class; ties go to the later candidate, and no value or NaN never beats a number.
 
     ``results (metric, label, value, candidate_id, ...)``. Merging leaderboards is the same call on
     their union.
@@ -73,7 +73,7 @@ def leaderboard(results: DataFrame, minimize: bool | list | dict = False) -> Dat
     else:
         sign = F.lit(-1.0 if minimize else 1.0)
     rest = [c for c in results.columns if c not in ("metric", "label")]
-    best = F.max_by(F.struct(*rest), F.struct((F.col("value") * sign).alias("v"), "candidate_id"))
+    best = F.max_by(F.struct(*rest), F.struct(F.when(~F.isnan("value"), F.col("value") * sign).alias("v"), "candidate_id"))
     return results.groupBy("metric", "label").agg(best.alias("b")).select("metric", "label", "b.*")
 
 

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from earmark.functions import labels as lab
 from earmark.operators import catalog
-from earmark.operators.prepare import ordered_index
 from earmark.plans import views as v
 from earmark.plans.registry import query, tidy
 from earmark.scale import cut_lineage
@@ -48,11 +47,12 @@ def strong_dataset_name(spark, sf_dir):
 
 
 def _nodes(spark, sf_dir):
-    """Ontology nodes with child ids: regions and nations list their nations and customers by row-local arrays."""
+    """Ontology nodes with child ids: regions list their nations."""
     n = v.table(spark, sf_dir, "nation")
-    r = v.table(spark, sf_dir, "region")
-    kids = F.filter(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.when(i % 5 == F.col("r_regionkey"), F.concat(F.lit("/m/n"), i.cast("string")))),
-                    lambda x: x.isNotNull())
+    below = n.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(
+        F.sort_array(F.collect_list(F.concat(F.lit("/m/n"), F.col("n_nationkey").cast("string")))).alias("kids"))
+    r = v.table(spark, sf_dir, "region").join(below, "r_regionkey", "left")
+    kids = F.col("kids")
     top = r.select(F.concat(F.lit("/m/r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), kids.alias("child_ids"))
     low = n.select(F.concat(F.lit("/m/n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"),
                    F.array().cast("array<string>").alias("child_ids"))
@@ -60,7 +60,7 @@ def _nodes(spark, sf_dir):
 
 
 @query("j4_ontology_edges", """
-SELECT r_name AS parent, n_name AS child FROM region JOIN nation ON n_nationkey % 5 = r_regionkey""")
+SELECT r_name AS parent, n_name AS child FROM region JOIN nation ON n_regionkey = r_regionkey""")
 def ontology_edges(spark, sf_dir):
     return catalog.ontology_edges(_nodes(spark, sf_dir))
 
@@ -253,13 +253,15 @@ def sort_events(spark, sf_dir):
 
 
 @query("k5_natural_order", """
-SELECT name, row_number() OVER (ORDER BY n, name) - 1 AS pos FROM (
-  SELECT source || '.wav' AS name, min(CAST(regexp_extract(source, '[0-9]+', 0) AS INTEGER)) AS n FROM documents GROUP BY 1)""")
+SELECT name, string_agg(CASE WHEN part ~ '^[0-9]' THEN lpad(CAST(length(ltrim(part, '0')) AS VARCHAR), 6, '0') || ltrim(part, '0') ELSE part END,
+                        '' ORDER BY i) AS key FROM (
+  SELECT name, unnest(regexp_extract_all(name, '[0-9]+|[^0-9]+')) AS part, generate_subscripts(regexp_extract_all(name, '[0-9]+|[^0-9]+'), 1) AS i
+  FROM (SELECT source || '_' || doc_id * 7919 || '_' || n_chars || '.wav' AS name FROM documents)) GROUP BY 1""")
 def natural_order(spark, sf_dir):
-    names = v.table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".wav")).alias("name")).distinct()
-    text, number, _ = lab.natural_key("name")
-    rows = names.withColumns({"text": text, "number": number})
-    return tidy(ordered_index(rows, "number", ["name"], keys=["text"], name="pos").select("name", "pos"))
+    """Names with three numbers and the key they are sorted by."""
+    names = v.table(spark, sf_dir, "documents").select(F.concat(
+        "source", F.lit("_"), (F.col("doc_id") * 7919).cast("string"), F.lit("_"), F.col("n_chars").cast("string"), F.lit(".wav")).alias("name"))
+    return names.withColumn("key", lab.natural_key("name")[0])
 
 
 @query("f1_id_parsing", """

@@ -211,7 +211,7 @@ def report(spark, sf_dir):
 
 
 @query("p15_label_subset", f"""WITH {_RANK}
-SELECT clip_id, label, round(score, 6) AS score FROM v_rank WHERE label IN ('c1', 'c4', 'c7')""", "v_rank")
+SELECT clip_id, label, round(score, 6) AS score FROM v_rank WHERE label IN ('c01', 'c04', 'c07')""", "v_rank")
 def label_subset(spark, sf_dir):
     from earmark.operators.prepare import vocabulary
     rows = v.ranked(spark, sf_dir)

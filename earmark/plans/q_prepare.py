@@ -142,14 +142,23 @@ def batches(spark, sf_dir):
 
 
 @query("k7_batch_quota", """
-WITH b AS (SELECT CAST(floor(ln(seq_len) / -ln(1 - 0.3e0)) AS BIGINT) AS bucket, CASE WHEN dataset IN ('src1', 'src2') THEN dataset ELSE '' END AS lane FROM v_clips),
-c AS (SELECT bucket, lane, count(*) AS n, CASE lane WHEN 'src1' THEN 2 WHEN 'src2' THEN 1 ELSE 5 END AS q FROM b GROUP BY 1, 2),
-x AS (SELECT bucket, lane, q, n, unnest(range(CAST(ceil(n / CAST(q AS DOUBLE)) AS BIGINT))) AS batch FROM c)
-SELECT bucket, batch, CAST(sum(least(q, n - batch * q)) AS BIGINT) AS n FROM x GROUP BY 1, 2""", "v_clips")
+WITH b AS (SELECT CAST(floor(ln(seq_len) / -ln(1 - 0.3e0)) AS BIGINT) AS bucket, dataset FROM v_clips),
+c AS (SELECT bucket, count(*) AS n, count(*) FILTER (dataset = 'src1') AS a, count(*) FILTER (dataset = 'src2') AS b FROM b GROUP BY 1),
+x AS (SELECT *, unnest(range(CAST(ceil(n / 8e0) AS BIGINT))) AS batch FROM c)
+SELECT bucket, batch, least(8, n - batch * 8) AS n, CASE WHEN n >= batch * 8 + 8 THEN greatest(0, least(2, a - batch * 2)) ELSE 0 END AS least1,
+       CASE WHEN n >= batch * 8 + 8 THEN greatest(0, least(1, b - batch)) ELSE 0 END AS least2 FROM x""", "v_clips")
 def batch_quota(spark, sf_dir):
     rows = v.clips(spark, sf_dir).select("clip_id", "dataset", "seq_len")
     out = prepare.batches(rows, 8, max_padding_rate=0.3, min_dataset_examples={"src1": 2, "src2": 1})
-    return tidy(out.groupBy("bucket", "batch").agg(F.count(F.lit(1)).alias("n")))
+    # what the quotas ask of a batch, as far as the batch has it
+    rows = rows.withColumn("bucket", prepare.length_bucket("seq_len", 0.3))
+    have = rows.groupBy("bucket").agg(F.count_if(F.col("dataset") == "src1").alias("a"), F.count_if(F.col("dataset") == "src2").alias("b"))
+    out = out.groupBy("bucket", "batch").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("dataset") == "src1").alias("n1"),
+                                             F.count_if(F.col("dataset") == "src2").alias("n2")).join(have, "bucket")
+    def asked(n, have, q):
+        return F.when(F.col("n") == 8, F.least(n, F.greatest(F.lit(0), F.least(F.lit(q), have - F.col("batch") * q)))).otherwise(0)
+    return tidy(out.select("bucket", "batch", "n", asked(F.col("n1"), F.col("a"), 2).alias("least1"),
+                           asked(F.col("n2"), F.col("b"), 1).alias("least2")))
 
 
 @query("k7_batch_diversity_totals", """

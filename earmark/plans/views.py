@@ -93,12 +93,12 @@ def threshold_detections(spark, sf_dir) -> DataFrame:
 
 
 def ranked(spark, sf_dir) -> DataFrame:
-    """Ten class scores per vector with two positive classes."""
+    """A class score per vector component with two positive classes."""
     e = table(spark, sf_dir, "embeddings")
     rows = e.select(F.col("vec_id").cast("string").alias("clip_id"), F.col("label").alias("y"),
-                    F.posexplode(F.slice("embedding", 1, 10)).alias("c", "s"))
-    hit = (F.col("c") == F.col("y")) | (F.col("c") == (F.col("y") + 3) % 10)
-    return rows.select("clip_id", F.concat(F.lit("c"), F.col("c").cast("string")).alias("label"),
+                    F.posexplode("embedding").alias("c", "s"))
+    hit = (F.col("c") % 10 == F.col("y")) | (F.col("c") % 10 == (F.col("y") + 3) % 10)
+    return rows.select("clip_id", F.concat(F.lit("c"), F.lpad(F.col("c").cast("string"), 2, "0")).alias("label"),
                        F.col("s").cast("double").alias("score"), hit.cast("double").alias("target"))
 
 
@@ -209,10 +209,10 @@ VIEWS: dict = {
         SELECT d.*, t.threshold FROM v_det d JOIN events e ON e.event_id = d.det_id
         JOIN (VALUES (0e0), (20e0), (50e0)) t(threshold) ON e.value > t.threshold"""),
     "v_rank": ((), """
-        SELECT CAST(vec_id AS VARCHAR) AS clip_id, 'c' || CAST(c AS VARCHAR) AS label,
+        SELECT CAST(vec_id AS VARCHAR) AS clip_id, 'c' || lpad(CAST(c AS VARCHAR), 2, '0') AS label,
                CAST(embedding[c + 1] AS DOUBLE) AS score,
-               CASE WHEN c = label OR c = (label + 3) % 10 THEN 1e0 ELSE 0e0 END AS target
-        FROM embeddings, (SELECT unnest(range(10)) AS c)"""),
+               CASE WHEN c % 10 = label OR c % 10 = (label + 3) % 10 THEN 1e0 ELSE 0e0 END AS target
+        FROM (SELECT *, unnest(range(len(embedding))) AS c FROM embeddings)"""),
     "v_clips": ((), """
         SELECT source AS dataset, CAST(d.doc_id AS VARCHAR) AS clip_id, d.doc_id, n_chars / 1e2 AS audio_length,
                n_chars AS seq_len, l.doc_id IS NOT NULL AS labeled,

@@ -84,6 +84,13 @@ def chunk_window(series, frame: str = "frame"):
 
 # ---------------------------------------------------------------- running aggregates
 
+def join_same(rows: DataFrame, other: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys, so that no row is lost; the keys come once, from ``rows``."""
+    other = other.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = [rows[k].eqNullSafe(other[f"_same_{k}"]) for k in keys]
+    return rows.join(other, same, how).drop(*[f"_same_{k}" for k in keys])
+
+
 _COMBINE = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
     "max": F.greatest,   # greatest/least skip NULL
@@ -123,7 +130,7 @@ def running(df: DataFrame, keys, chunk: str, order, specs: dict, backward: bool
         for name, (kind, _) in specs.items()])
     # only series of several chunks carry anything, so this side is small
     carried = carried.where(" or ".join(f"_carry{t} is not null" for t in tmp.values()))
-    rows = rows.join(carried, [*keys, chunk], "left")
+    rows = join_same(rows, carried, [*keys, chunk], "left")
     inside = W.partitionBy(*keys, chunk).orderBy(*[way(o) for o in order])
     inside = inside.rowsBetween(W.unboundedPreceding, -1 if strict else 0)
     for name, (kind, _) in specs.items():
@@ -141,7 +148,7 @@ def running_index(df: DataFrame, keys, chunk: str, order, name: str = "index") -
         F.sum("_n").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
     inside = W.partitionBy(*keys, chunk).orderBy(
         *[F.col(o) if isinstance(o, str) else o for o in order])
-    return (df.join(offsets, [*keys, chunk])
+    return (join_same(df, offsets, [*keys, chunk])
             .withColumn(name, (F.row_number().over(inside) - 1 + F.col("_offset")).cast("bigint"))
             .drop("_offset"))
 
@@ -182,7 +189,7 @@ def value_buckets(df: DataFrame, keys, value: str, rows_per_bucket: int = ROWS_P
     bounds = bounds.where(hot).select(*keys, "_q", heads.alias("_heads"))
     x = F.col(value)
     # separate columns, so that neither search is evaluated twice
-    rows = df.join(bounds, keys, "left").withColumn("_head", F.size(F.filter("_heads", lambda b: b <= x)))
+    rows = join_same(df, bounds, keys, "left").withColumn("_head", F.size(F.filter("_heads", lambda b: b <= x)))
     rows = rows.withColumn("_tail", F.size(F.filter(
         F.slice("_q", F.col("_head") * SPLIT + 1, F.lit(SPLIT)), lambda b: b <= x)))
     bucket = F.when(F.col("_q").isNull(), F.lit(0)).otherwise(F.col("_head") * SPLIT + F.col("_tail"))

@@ -247,3 +247,39 @@ def test_running_index_over_days(spark):
     df = spark.createDataFrame([(k, d, i) for k in "ab" for d in range(3) for i in range(4)], "k string, d int, i int")
     got = running_index(df, ["k"], "d", ["d", "i"]).collect()
     assert all(r["index"] == r.d * 4 + r.i for r in got)
+
+
+def test_no_row_is_lost_without_length_or_key(spark):
+    df = spark.createDataFrame([("a", 10), ("b", 0), ("c", None), ("d", 12)], "clip_id string, seq_len long")
+    rows = prepare.batches(df, 2).collect()
+    assert sorted(r.clip_id for r in rows) == ["a", "b", "c", "d"]
+    keyed = spark.createDataFrame([("x", 1.0), (None, 2.0)], "dataset string, value double")
+    assert prepare.ordered_index(keyed, "value").count() == 2
+
+
+def test_quotas_are_minima(spark):
+    rows = [(f"q{i}", "src1", 50) for i in range(90)] + [(f"o{i}", "src2", 50) for i in range(10)]
+    df = spark.createDataFrame(rows, "clip_id string, dataset string, seq_len long")
+    got = prepare.batches(df, 8, min_dataset_examples={"src2": 2}, drop_incomplete=True).collect()
+    assert len(got) == 96 and len({r.clip_id for r in got}) == 96
+    per = {}
+    for r in got:
+        per.setdefault(r.batch, []).append(r.dataset)
+    assert sorted(len(v) for v in per.values()) == [8] * 12
+    assert sum(v.count("src2") >= 2 for v in per.values()) == 5
+    assert prepare.batches(df, 8, min_dataset_examples={"src1": 2}).count() == 100
+
+
+def test_natural_order_of_all_numbers(spark):
+    names = ["f1_10", "f1_2", "f1_9", "f10_1", "f2_1", "f" + "9" * 30, "f" + "1" * 31, "f1_30.000_40.000", "f1_30.000_5.000"]
+    df = spark.createDataFrame([(n,) for n in names], "clip_id string")
+    assert [r.clip_id for r in df.orderBy(*lab.natural_key("clip_id")).collect()] == [
+        "f1_2", "f1_9", "f1_10", "f1_30.000_5.000", "f1_30.000_40.000", "f2_1", "f10_1", "f" + "9" * 30, "f" + "1" * 31]
+
+
+def test_nan_never_wins(spark):
+    from earmark.operators import tuning
+    rows = [("m", "a", float("nan"), 3), ("m", "a", .2, 1), ("m", "a", .1, 2), ("m", "a", None, 4)]
+    df = spark.createDataFrame(rows, "metric string, label string, value double, candidate_id int")
+    assert [r.candidate_id for r in tuning.leaderboard(df).collect()] == [1]
+    assert [r.candidate_id for r in tuning.leaderboard(df, minimize=True).collect()] == [2]

@@ -78,7 +78,12 @@ def test_audio_tree(spark, tmp_path):
     wav(root / "validation" / "validation" / "b.wav", .25, channels=1)
     wav(root / "train" / "weak" / "empty.wav", 0)
     write(root / "train" / "weak" / "broken.wav", "no audio")
-    files = audio.read_audio(spark, str(root))
+    files = audio.list_audio(spark, str(root))
+    # a data chunk behind a long other chunk
+    raw = (root / "validation" / "validation" / "b.wav").read_bytes()
+    (tmp_path / "far.wav").write_bytes(raw[:36] + b"LIST" + (5000).to_bytes(4, "little") + b"x" * 5000 + raw[36:])
+    far = audio.list_audio(spark, str(tmp_path / "far.wav"))
+    assert [r.audio_length for r in audio.probe_durations(far).collect()] == [.25]
     length = {r.audio_path.rsplit("/", 1)[1]: r.audio_length for r in audio.probe_durations(files).collect()}
     assert length == {"a.wav": 1.5, "b.wav": .25, "empty.wav": 0.0, "broken.wav": 0.0}
     listing = audio.list_audio(spark, str(root))
