@@ -5,6 +5,8 @@ Both joins add a time bin to the equi key, so a clip with very many events sprea
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from earmark.scale import cut_lineage
@@ -14,39 +16,60 @@ def _bin(t: Column, width) -> Column:
     return F.floor(t / (width if isinstance(width, Column) else F.lit(float(width)))).cast("bigint")
 
 
+GROW = 16.0           # each level of bins is so many times wider than the one before
+
+
 def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, same_label: bool = True,
                   bin_width: float | None = None, keys=("clip_id",)) -> DataFrame:
     """Pairs with ``det_onset < gt_offset and gt_onset < det_offset`` in a clip, with ``overlap``.
 
     Inputs carry ``label, onset, offset`` and an id each: ``det_id`` / ``gt_id``. With
-    ``same_label=False`` the labels differ. The default bin width is twice the mean ground-truth length,
-    so an event touches two bins on average. Each pair is kept only in the first bin both touch, so no
-    deduplication is needed.
-    """
-    if bin_width is None:
-        mean = ground_truth.agg(F.avg(F.col("offset") - F.col("onset")).alias("w")).scalar()
-        bin_width = F.when(mean > 0, mean * 2).otherwise(F.lit(1.0))
+    ``same_label=False`` the labels differ.
 
-    def binned(df, name):
-        first = _bin(F.col(f"{name}_onset"), bin_width)
-        last = _bin(F.col(f"{name}_offset"), bin_width)
-        return df.withColumn("_first_" + name, first).withColumn("_bin", F.explode(F.sequence(first, last)))
+    Bins come in levels. An interval belongs to the first level whose bins are as long as itself, so it touches two bins
+    there however long it is; it also stands in the bins of coarser levels, of which there are a few. A pair meets at the
+    coarser of its two levels, in the first bin both touch, so rows follow the number of intervals and no pair comes twice.
+    The finest bins are ``bin_width`` wide, by default twice the mean ground-truth length.
+    """
+    length = F.col("offset") - F.col("onset")
+    some = ground_truth.where(length > 0).agg(F.struct(
+        F.avg(length).alias("mean"), F.max(length).alias("longest"), F.min("onset").alias("low"), F.max("offset").alias("high")
+    ).alias("s")).scalar()
+    width = F.lit(float(bin_width)) if bin_width is not None else some["mean"] * 2
+
+    def level(span):
+        return F.greatest(F.lit(0), F.ceil(F.log(span / width) / math.log(GROW)).cast("int"))
+
+    top = level(some["high"] - some["low"])
+
+    def binned(df, name, highest):
+        """``df`` in the bins of its own level ``_own_<name>`` and of all coarser ones up to ``highest``."""
+        # what lies outside the ground truth overlaps nothing: it needs no bins
+        on, off = F.greatest(F.col(f"{name}_onset"), some["low"]), F.least(F.col(f"{name}_offset"), some["high"])
+        df = df.withColumns({"_on": on, "_off": off}).where("_off > _on")
+        own = F.least(level(F.col("_off") - F.col("_on")), top)
+        df = df.withColumn(f"_own_{name}", own)
+        df = df.withColumn("_level", F.explode(F.sequence(F.col(f"_own_{name}"), F.greatest(F.col(f"_own_{name}"), highest))))
+        size = width * F.pow(F.lit(GROW), F.col("_level"))
+        first, last = (F.floor((F.col(c) - some["low"]) / size).cast("bigint") for c in ("_on", "_off"))
+        return df.withColumn(f"_first_{name}", first).withColumn("_bin", F.explode(F.sequence(first, last))).drop("_on", "_off")
 
     det = detections.withColumnsRenamed({"onset": "det_onset", "offset": "det_offset"}).where("det_offset > det_onset")
     gt = ground_truth.withColumnsRenamed({"onset": "gt_onset", "offset": "gt_offset"}).where("gt_offset > gt_onset")
     keys = list(keys)
     if same_label:
-        on = [*keys, "label", "_bin"]
+        on = [*keys, "label", "_level", "_bin"]
     else:
         gt = gt.withColumnRenamed("label", "gt_label")
-        on = [*keys, "_bin"]
-    pairs = binned(det, "det").join(binned(gt, "gt"), on)
+        on = [*keys, "_level", "_bin"]
+    pairs = binned(det, "det", F.least(level(some["longest"]), top)).join(binned(gt, "gt", top), on)
     keep = ((F.col("det_onset") < F.col("gt_offset")) & (F.col("gt_onset") < F.col("det_offset"))
-            & (F.col("_bin") == F.greatest("_first_det", "_first_gt")))
+            & (F.col("_level") == F.greatest("_own_det", "_own_gt")) & (F.col("_bin") == F.greatest("_first_det", "_first_gt")))
     if not same_label:
         keep = keep & (F.col("label") != F.col("gt_label"))
     overlap = F.least("det_offset", "gt_offset") - F.greatest("det_onset", "gt_onset")
-    return pairs.where(keep).withColumn("overlap", overlap).drop("_bin", "_first_det", "_first_gt")
+    return pairs.where(keep).withColumn("overlap", overlap).drop(
+        "_level", "_bin", "_first_det", "_first_gt", "_own_det", "_own_gt")
 
 
 def collar_pairs(detections: DataFrame, ground_truth: DataFrame, onset_collar: float, offset_collar: float,

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -127,3 +128,15 @@ def test_leaderboard_ties_take_the_later_candidate(spark):
     assert {r.label: r.candidate_id for r in merged.collect()} == {"a": 2, "b": 7}
     macro = tuning.macro_average(tuning.leaderboard(df)).where("label = 'macro_average'").first()
     assert macro.value == pytest.approx(.3)
+
+
+def test_long_runs_stay_in_few_bins(spark):
+    det = spark.createDataFrame([("c", "a", 0.0, 1e6, 1), ("c", "a", 10.0, 10.2, 2)], "clip_id string, label string, onset double, offset double, det_id int")
+    gt = spark.createDataFrame([("c", "a", float(i), i + .1, i) for i in range(0, 1000, 10)],
+                               "clip_id string, label string, onset double, offset double, gt_id int")
+    got = matching.overlap_pairs(det, gt)
+    assert sorted((r.det_id, r.gt_id) for r in got.collect()) == [(1, i) for i in range(0, 1000, 10)] + [(2, 10)]
+    # rows that the join reads: at most three bins on each level, whatever the length of a run
+    levels = math.ceil(math.log(1000 / .2, matching.GROW)) + 1
+    spread = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in spread and levels <= 5
