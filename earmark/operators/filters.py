@@ -134,6 +134,8 @@ def _long_median(scores, out, n, series, value, frame, chunk):
     """
     h = (n - 1) // 2
     rows = with_halo(scores, h, h, chunk, frame)
+    # as in short medians, no value counts as 0 and NaN as the largest value
+    rows = rows.withColumn("_x", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
     rows = rows.repartition(*series, "_chunk").sortWithinPartitions(*series, "_chunk", frame)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scores.schema) + f", `{out}` double"
     key = [*series, "_chunk"]
@@ -141,13 +143,13 @@ def _long_median(scores, out, n, series, value, frame, chunk):
     def medians(x: np.ndarray) -> np.ndarray:
         views = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(h), x, np.zeros(h)]), n)
         parts = np.array_split(views, max(1, views.size // 4_000_000))
-        return np.concatenate([np.median(p, axis=-1) for p in parts])
+        return np.concatenate([np.partition(p, h, axis=-1)[:, h] for p in parts])
 
     def finish(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        x = pdf[value].to_numpy(dtype="float64")
+        x = pdf["_x"].to_numpy(dtype="float64")
         med = np.concatenate([medians(part) for part in np.split(x, starts[1:])])
         own = (pdf[frame] // chunk == pdf["_chunk"]).to_numpy()
-        return pdf.assign(**{out: med}).loc[own].drop(columns="_chunk")
+        return pdf.assign(**{out: med}).loc[own].drop(columns=["_chunk", "_x"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []

@@ -159,7 +159,8 @@ def mixing_pairs(rows: DataFrame, partners: DataFrame, interval: float = 1.5, in
     too_few = F.coalesce("_last_partner", F.lit(-1)) < F.col("_last")
     partner = (F.when(too_few, F.raise_error(F.lit("fewer partners than rows")).cast("bigint"))
                .when(mixed, F.floor(i / x).cast("bigint")))
-    rows = rows.withColumn("_p", partner).drop("_last", "_last_partner")
+    # rows without a partner get keys of their own below 0, which match nothing and spread evenly
+    rows = rows.withColumn("_p", F.coalesce(partner, -1 - i)).drop("_last", "_last_partner")
     other = partners.select(F.col(index).alias("_p"), *[F.col(c).alias(f"mix_{c}") for c in columns])
     return rows.join(other, "_p", "left").drop("_p")
 

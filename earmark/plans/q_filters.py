@@ -265,14 +265,16 @@ def tag_masking(spark, sf_dir):
     return _out(detect.mask_by_tags(s, tags, mask))
 
 
-@query("j11_tag_condition", """
-SELECT clip_id, bool_or(label = 'click' AND score > 0.7e0) AS click, bool_or(label = 'view' AND score > 0.7e0) AS "view"
-FROM v_clip_scores GROUP BY 1""", "v_clip_scores")
+_CLASSES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("j11_tag_condition", "SELECT clip_id, " + ", ".join(
+    f"bool_or(label = '{c}' AND score > 0.7e0) AS \"{c}\"" for c in _CLASSES) + " FROM v_clip_scores GROUP BY 1", "v_clip_scores")
 def tag_condition(spark, sf_dir):
     from earmark.operators.tags import condition_vectors
     tags = detect.clip_tags(detect.clip_scores(v.scores(spark, sf_dir)), 0.7)
-    vec = condition_vectors(tags, ["click", "view"])
-    return vec.select("clip_id", F.get("tag_condition", F.lit(0)).alias("click"), F.get("tag_condition", F.lit(1)).alias("view"))
+    vec = condition_vectors(tags, _CLASSES)
+    return vec.select("clip_id", *[F.get("tag_condition", F.lit(i)).alias(c) for i, c in enumerate(_CLASSES)])
 
 
 def _islands(src, threshold):

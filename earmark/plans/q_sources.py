@@ -133,12 +133,13 @@ def score_sink(spark, sf_dir):
     return tidy(tables.read_scores(spark, path).select("run", "clip_id", "label", "frame", "score"))
 
 
-@query("s11_wide_scores", """
-SELECT clip_id, frame, round(max(CASE WHEN label = 'click' THEN score END), 6) AS click, round(max(CASE WHEN label = 'view' THEN score END), 6) AS "view"
-FROM v_scores WHERE label IN ('click', 'view') GROUP BY 1, 2""", "v_scores")
+_CLASSES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("s11_wide_scores", "SELECT clip_id, frame, " + ", ".join(
+    f"round(max(CASE WHEN label = '{c}' THEN score END), 6) AS \"{c}\"" for c in _CLASSES) + " FROM v_scores GROUP BY 1, 2", "v_scores")
 def wide_scores(spark, sf_dir):
-    s = v.scores(spark, sf_dir).where(F.col("label").isin("click", "view"))
-    return tidy(tables.wide_scores(s, ["click", "view"]).drop("onset", "offset"))
+    return tidy(tables.wide_scores(v.scores(spark, sf_dir), _CLASSES).drop("onset", "offset"))
 
 
 @query("s12_detection_sink", """

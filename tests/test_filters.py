@@ -169,3 +169,13 @@ def test_ensemble_needs_all_frames(spark):
     df = spark.createDataFrame([("x", 0, "a", .1), ("x", 0, "a", .3), ("x", 1, "a", .3)], "clip_id string, frame bigint, label string, score double")
     with pytest.raises((PySparkException, Py4JError), match="models differ"):
         ensemble.ensemble_mean(df, 2).collect()
+
+
+def test_medians_of_all_lengths_follow_one_rule(spark, monkeypatch):
+    rows = [("c", "a", i, None if i == 20 else float("nan") if i == 40 else (i * 7 % 11) / 10) for i in range(60)]
+    df = spark.createDataFrame(rows, "clip_id string, label string, frame long, score double")
+    out = []
+    for limit in (51, 5):
+        monkeypatch.setattr(filters, "LONG_MEDIAN", limit)
+        out.append([repr(r.m) for r in filters.filter_series(df, {"m": ("median", 9)}).orderBy("frame").collect()])
+    assert out[0] == out[1]
