@@ -77,13 +77,12 @@ def ontology_closure(spark, sf_dir):
 SELECT name, a AS ancestors, d AS descendants FROM (SELECT DISTINCT parent AS name FROM v_ontology UNION SELECT child FROM v_ontology)
 LEFT JOIN (SELECT node AS name, string_agg(ancestor, ',' ORDER BY ancestor) AS a FROM v_closure GROUP BY 1) USING (name)
 LEFT JOIN (SELECT ancestor AS name, string_agg(node, ',' ORDER BY node) AS d FROM v_closure
-           WHERE node LIKE 'NATION%' GROUP BY 1) USING (name)""", "v_closure")
+           GROUP BY 1) USING (name)""", "v_closure")
 def ontology_lists(spark, sf_dir):
     edges = cut_lineage(v.ontology(spark, sf_dir))
     nodes = edges.select(F.col("parent").alias("name")).union(edges.select("child")).distinct()
     closure = catalog.ontology_closure(edges)
-    # lists are for class nodes; leaves stay in the long closure, their ancestors are few
-    lists = catalog.ontology_lists(nodes, closure, descendants=closure.where(F.col("node").startswith("NATION")))
+    lists = catalog.ontology_lists(nodes, closure)
 
     def text(c):
         return F.when(F.size(c) > 0, F.array_join(c, ","))
