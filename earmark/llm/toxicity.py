@@ -27,6 +27,7 @@ SUPPORT = .01         # share of toxic examples that hold a term, at least
 LIFT = 5.0            # times as often among toxic examples as among others
 NEIGHBOURS = 15
 BLOCK = 64            # examples of a block of the index
+TOGETHER = 8          # blocks that are looked at before bounds are compared again
 _SALT = np.array([0x51ED270B, 0x7A3C9E15, 0x2F6B4D83], np.uint64)
 
 
@@ -115,22 +116,28 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1):
         """The ``k`` most similar examples of similarity over 0, ties to the smaller number: numbers and similarities."""
         bounds = weights @ self.top[terms]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
         best = np.zeros(0), np.zeros(0, np.int64)
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            full = len(best[0]) >= k
-            if bounds[block] <= 0 or full and bounds[block] + 1e-12 < best[0][-1]:
+        for at in range(0, len(order), TOGETHER):
+            if len(best[0]) >= k and bounds[order[at]] + 1e-9 < best[0][-1]:
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                a, b = self.pointer[t * self.blocks + block], self.pointer[t * self.blocks + block + 1]
-                scores[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
-            own = np.flatnonzero(scores > 0)
-            number = own + block * BLOCK
-            keep = number != skip
-            score = np.concatenate([best[0], np.round(scores[own][keep], 12)])
-            number = np.concatenate([best[1], number[keep]])
-            order = np.lexsort((number, -score))[:k]
-            best = score[order], number[order]
+            cells = (terms[:, None] * self.blocks + order[at:at + TOGETHER]).ravel()
+            size = self.pointer[cells + 1] - self.pointer[cells]
+            until = np.cumsum(size)
+            posting = np.repeat(self.pointer[cells] - until + size, size) + np.arange(until[-1])
+            part = np.repeat(np.repeat(weights, len(cells) // len(terms)), size) * self.weight[posting]
+            scores = np.round(np.bincount(self.example[posting], weights=part, minlength=self.examples), 12)
+            if skip >= 0:
+                scores[skip] = 0
+            number = np.flatnonzero(scores > 0)
+            score = np.concatenate([best[0], scores[number]])
+            number = np.concatenate([best[1], number])
+            if len(score) > 4 * k:      # no need to sort what cannot be among the nearest
+                some = score >= np.partition(score, len(score) - k)[len(score) - k]
+                score, number = score[some], number[some]
+            first = np.lexsort((number, -score))[:k]
+            best = score[first], number[first]
         return best[1], best[0]
 
 
