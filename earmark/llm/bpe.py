@@ -131,11 +131,11 @@ def _grow(vocabulary, symbols, first, sizes, n):
 class Codec:
     """Encode whole documents and decode ids, as the tokenizers library does with this file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = 600_000):
         from tokenizers import Tokenizer
         self.vocabulary = Vocabulary(path)
         self.splitter = Tokenizer.from_file(path).pre_tokenizer     # only for characters that the fast split leaves out
-        self.encoder = BatchEncoder(self.words, self.text, tuple(self.vocabulary.special))
+        self.encoder = BatchEncoder(self.words, self.text, tuple(self.vocabulary.special), cached)
 
     def words(self, words: list[str]):
         raw = [w.encode() for w in words]
@@ -162,15 +162,17 @@ class Codec:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def round_trip(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+               cached: int = 600_000) -> DataFrame:
     """``id_col``, ``ids`` and ``decoded`` text of every row; whole texts, in one pass without a shuffle.
 
     A NULL or empty text has no ids and decodes to an empty text; a NULL id stays NULL; repeated rows are coded each for
-    themselves. Other columns of ``documents`` are not read. ``path`` must be readable on the executors.
+    themselves. Other columns of ``documents`` are not read. ``path`` must be readable on the executors. A task keeps the ids of at most
+    ``cached`` pretokens, some 300 bytes each.
     """
     def run(batches):
-        codec = Codec(path)
-        for batch, data, offsets in pieces(batches, limit=2 << 20):
+        codec = Codec(path, cached)
+        for batch, data, offsets in pieces(batches):
             ids, borders = codec.encode(data, offsets)
             flat = ids.tolist()
             texts = [codec.decode(flat[a:b]) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]

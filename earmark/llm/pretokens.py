@@ -120,8 +120,8 @@ class BatchEncoder:
     """Ids of whole documents. ``encode_words(list of str)`` returns the ids and the number of ids of every word;
     ``encode_text(str)`` the ids of a document that the fast split does not cover."""
 
-    def __init__(self, encode_words, encode_text, specials=("<|endoftext|>",)):
-        self.cache, self.encode_text, self.specials = IdCache(encode_words), encode_text, specials
+    def __init__(self, encode_words, encode_text, specials=("<|endoftext|>",), cached: int = 600_000):
+        self.cache, self.encode_text, self.specials = IdCache(encode_words, cached), encode_text, specials
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the UTF-8 texts ``data[offsets[i]:offsets[i + 1]]`` one after another, and their offsets."""
