@@ -15,6 +15,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,9 +36,21 @@ PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 # ---------------------------------------------------------------- bytes
 
-def plain(raw: bytes) -> bytes:
-    """Contents of a file, whether or not its records are gzip members."""
-    return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+def plain(raw: bytes, step: int = 1 << 14) -> bytes:
+    """Contents of a file, whether or not its records are gzip members. Members are fed in steps, so that what is left over
+    behind a member's end is short however long the file is."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    out, at, view = [], 0, memoryview(raw)
+    while at < len(raw):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            some = view[at:at + step]
+            if not some:
+                raise EOFError("a gzip member is cut off")
+            out.append(member.decompress(some))
+            at += len(some) - len(member.unused_data)
+    return b"".join(out)
 
 
 def arc_version_block(name: str, version: int, date: str) -> bytes:
