@@ -22,6 +22,7 @@ SAMPLE = 20_000         # rows that the tree is fitted on
 PROBES = 256            # queries with exact neighbours for calibration
 RECALL = .97            # share of exact neighbours in the visited leaves
 BRANCHES, LEAF, STEPS = 8, 48, 8
+LEAVES = 128            # leaves get larger with the sample beyond about so many, so that visits follow the queries
 BLOCK = 2048            # rows of a leaf that meet a group of visits
 VISITS = 4096           # visits of a leaf in a group, about
 
@@ -40,10 +41,10 @@ class Tree:
     def fit(x: np.ndarray, seed: int = 7) -> "Tree":
         rng = np.random.default_rng(seed)
         center, radius, first, count = [x.mean(0)], [_radius(x, x.mean(0))], [0], [0]
-        work = [(0, x)]
+        work, leaf = [(0, x)], max(LEAF, len(x) // LEAVES)
         while work:
             node, own = work.pop()
-            if len(own) <= LEAF:
+            if len(own) <= leaf:
                 continue
             start, group = _kmeans(own, BRANCHES, rng)
             if len(start) < 2:
