@@ -2,7 +2,7 @@
 
 Paragraphs are lines, cut further at places that depend on the words alone: where the hash of two neighbouring words is the
 smallest among ``REACH`` on both sides. A passage therefore falls into the same paragraphs wherever it is put, also in the
-middle of a longer line. Bands are tuned for recall, members of a bucket are confirmed by the exact Jaccard similarity of
+middle of a longer line. Successive lines of fewer than ``MIN_WORDS`` words (verse, lists, code) count as one line. Bands are tuned for recall, members of a bucket are confirmed by the exact Jaccard similarity of
 their word shingles, and components decide which occurrence stays: the first by document id and place.
 
 A paragraph goes only as part of a run of at least ``min_run`` words that occur elsewhere, so that phrases and short
@@ -37,28 +37,34 @@ def tune_bands(similarity: float, recall: float, most: int = 5) -> tuple[int, in
     raise ValueError("no banding reaches this recall")
 
 
-def paragraph_starts(words: Words, data: np.ndarray) -> np.ndarray:
-    """First word of every paragraph."""
+def paragraph_starts(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word of every paragraph, and of every block: a line, or successive lines of fewer than MIN_WORDS words."""
     n = len(words.hash)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pair = mix(words.hash * np.uint64(3) + np.append(words.hash[1:], np.uint64(0)))
     low = np.ones(n, bool)
     for k in range(1, REACH + 1):
         same = words.doc[k:] == words.doc[:-k]
         low[k:] &= ~same | (pair[k:] < pair[:-k])
         low[:-k] &= ~same | (pair[:-k] <= pair[k:])
-    start = low
-    lines = np.concatenate([[0], np.cumsum(data == 10)])[words.start]
-    start[0] = True
-    start[1:] |= (lines[1:] != lines[:-1]) | (words.doc[1:] != words.doc[:-1])
-    return np.flatnonzero(start)
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])[words.start]
+    line = np.flatnonzero(np.append(True, (breaks[1:] != breaks[:-1]) | (words.doc[1:] != words.doc[:-1])))
+    short = np.diff(np.append(line, n)) < MIN_WORDS
+    joined = np.append(False, short[1:] & short[:-1] & (words.doc[line[1:]] == words.doc[line[:-1]]))
+    block = line[~joined]
+    size = np.diff(np.append(block, n))
+    # a cut near a border of its block would leave a stump, and would depend on words outside
+    place = np.arange(n) - np.repeat(block, size)
+    low &= (place >= MIN_WORDS) & (np.repeat(size, size) - place >= MIN_WORDS)
+    low[block] = True
+    return np.flatnonzero(low), block
 
 
 def _cut(data, offsets):
     """Words and long paragraphs: first word, word after the last, hash of the words."""
     words = Words(data, offsets, BREAK)
-    first = paragraph_starts(words, data)
+    first, _ = paragraph_starts(words, data)
     end = np.append(first[1:], len(words.hash))
     keep = end - first >= MIN_WORDS
     first, end = first[keep], end[keep]

@@ -69,6 +69,23 @@ def test_near_copies_of_a_paragraph(spark):
     assert {(r.doc_id, r.kept_id) for r in rows} == {(2, 1)}
 
 
+def test_passages_in_short_lines(spark):
+    docs = []
+    for k in (5, 6, 7):
+        passage = prose(60).split()
+        verse = "\n".join(" ".join(passage[i:i + k]) for i in range(0, 60, k))
+        docs += [(10 * k + 1, prose(30) + "\n" + verse + "\n" + prose(30)), (10 * k + 2, verse),
+                 (10 * k + 3, prose(20) + "\n\n" + verse + "\n" + prose(25)),
+                 (10 * k + 4, "A list\n" + verse.replace("\n", "\n\n") + "\nof lines\n" + prose(20)),
+                 (10 * k + 5, "one\ntwo\n\nthree words here")]
+    words = {}
+    for r in paragraphs.repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert r.kept_id < r.doc_id
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.n_words
+    assert set(words) == {10 * k + i for k in (5, 6, 7) for i in (2, 3, 4)}
+    assert all(words[10 * k + 2] == words[10 * k + 3] == 60 and words[10 * k + 4] >= 30 for k in (5, 6, 7))
+
+
 def test_band_tuning():
     bands, rows = paragraphs.tune_bands(.8, .99)
     assert 1 - (1 - .8 ** rows) ** bands >= .99 and bands <= 5
