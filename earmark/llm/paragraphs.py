@@ -2,7 +2,10 @@
 
 Paragraphs are lines, cut further at places that depend on the words alone: where the hash of two neighbouring words is the
 smallest among ``REACH`` on both sides. A passage therefore falls into the same paragraphs wherever it is put, also in the
-middle of a longer line. Successive lines of fewer than ``MIN_WORDS`` words (verse, lists, code) count as one line. Bands are tuned for recall, members of a bucket are confirmed by the exact Jaccard similarity of
+middle of a longer line. Successive lines of fewer than ``MIN_WORDS`` words (verse, lists, code) count as one line.
+
+Such lines are compared whole as well, so that an edit inside a line does not hide its near copy: an edited piece shares few
+shingles with the other, the lines share most. A matched line goes whole; of the others the matched pieces go. Bands are tuned for recall, members of a bucket are confirmed by the exact Jaccard similarity of
 their word shingles, and components decide which occurrence stays: the first by document id and place.
 
 A paragraph goes only as part of a run of at least ``min_run`` words that occur elsewhere, so that phrases and short
@@ -25,6 +28,7 @@ MIN_WORDS = 8         # shorter paragraphs go only between two that go
 MIN_RUN = 16
 SHINGLE = 5
 PERCENT = 80
+PIECE, BLOCK = 1, 2   # levels of a paragraph
 
 
 def tune_bands(similarity: float, recall: float, most: int = 5) -> tuple[int, int]:
@@ -62,23 +66,32 @@ def paragraph_starts(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _cut(data, offsets):
-    """Words and long paragraphs: first word, word after the last, hash of the words."""
+    """Words and long paragraphs: first word, word after the last, hash of the words, first word of the block, level.
+
+    Blocks that are cut follow after the pieces. The level is PIECE, BLOCK, or both for a block of one piece.
+    """
     words = Words(data, offsets, BREAK)
-    first, _ = paragraph_starts(words, data)
-    end = np.append(first[1:], len(words.hash))
+    n = len(words.hash)
+    first, block = paragraph_starts(words, data)
+    end, stop = np.append(first[1:], n), np.append(block[1:], n)
+    own = np.searchsorted(block, first, "right") - 1
+    cuts = np.bincount(own, minlength=len(block))
+    level = np.where(cuts[own] > 1, PIECE, PIECE | BLOCK)
+    several = cuts > 1
+    first, end = np.concatenate([first, block[several]]), np.concatenate([end, stop[several]])
+    within = np.concatenate([block[own], block[several]])
+    level = np.concatenate([level, np.full(several.sum(), BLOCK)])
     keep = end - first >= MIN_WORDS
-    first, end = first[keep], end[keep]
-    return words, first, end, span_hashes(words.hash, first, end)
+    first, end, within, level = first[keep], end[keep], within[keep], level[keep]
+    return words, first, end, span_hashes(words.hash, first, end), within, level
 
 
 def _shingles(words, first, end):
-    """Shingles of the chosen paragraphs and the paragraph each belongs to."""
-    size = end - first
-    group = np.repeat(np.arange(len(first)), size)
-    begin = np.concatenate([[0], np.cumsum(size)])
-    own = words.hash[np.arange(begin[-1]) - begin[group] + first[group]]
-    hashes, at = window_shingles(own, group, size, begin, SHINGLE)
-    return hashes, group[at]
+    """Hash of the shingle at each word, and of every paragraph its first shingle and the one after its last."""
+    hashes, at = words.shingles(SHINGLE)
+    out = np.zeros(len(words.hash), np.uint64)
+    out[at] = hashes
+    return out, first, end - SHINGLE + 1
 
 
 def _classes(documents: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -88,16 +101,17 @@ def _classes(documents: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         for batch, data, offsets in pieces(batches):
-            words, first, end, key = _cut(data, offsets)
+            words, first, end, key, _, _ = _cut(data, offsets)
             if not len(first):
                 continue
-            hashes, group = _shingles(words, first, end)
-            starts = np.searchsorted(group, np.arange(len(first)))
+            hashes, low, high = _shingles(words, first, end)
+            # of every two borders the first begins a paragraph
+            borders = np.column_stack([low, high]).ravel()
             columns = [batch.column(0).take(pa.array(words.doc[first])), pa.array(key.view(np.int64))]
             for b in range(bands):
                 value = np.full(len(first), mix(np.array([b + 1], np.uint64))[0])
                 for r in range(b * rows, (b + 1) * rows):
-                    value = mix(value + np.minimum.reduceat(hashes * factor[r] + shift[r], starts))
+                    value = mix(value + np.minimum.reduceat(hashes * factor[r] + shift[r], borders)[::2])
                 columns.append(pa.array(value.view(np.int64)))
             yield pa.RecordBatch.from_arrays(columns, names=["id", "rep", *names])
 
@@ -111,24 +125,28 @@ def _classes(documents: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(documents: DataFrame) -> DataFrame:
-    """``id`` (hash of the words) and ``set`` of every long paragraph of ``documents``."""
+    """``id`` (hash of the words) and ``set`` of the paragraphs of ``documents`` (``text``, ``wanted``) with a wanted hash."""
     def run(batches):
         for batch, data, offsets in pieces(batches):
-            words, first, end, key = _cut(data, offsets)
+            words, first, end, key, _, _ = _cut(data, offsets)
+            chosen = np.isin(key.view(np.int64), batch.column(1).flatten().to_numpy())
+            first, end, key = first[chosen], end[chosen], key[chosen]
             if len(first):
-                hashes, group = _shingles(words, first, end)
-                borders = np.searchsorted(group, np.arange(len(first) + 1))
+                hashes, low, high = _shingles(words, first, end)
+                borders = np.concatenate([[0], np.cumsum(high - low)])
+                own = hashes[np.arange(borders[-1]) + np.repeat(low - borders[:-1], high - low)]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.ListArray.from_arrays(
-                    pa.array(borders, pa.int32()), pa.array(hashes.view(np.int64)))], names=["id", "set"])
+                    pa.array(borders, pa.int32()), pa.array(own.view(np.int64)))], names=["id", "set"])
 
-    return documents.select("text").mapInArrow(run, "id long, set array<long>").withColumn("set", F.array_distinct("set"))
+    return documents.select("text", "wanted").mapInArrow(run, "id long, set array<long>").withColumn("set", F.array_distinct("set"))
 
 
 def _places(documents: DataFrame) -> DataFrame:
-    """``id, copy, at, until, start, end, rep`` of every long paragraph: words and characters from and to."""
+    """``id, copy, at, until, start, end, rep, block, level`` of every long paragraph: words and characters from and to, first
+    word of its block."""
     def run(batches):
         for batch, data, offsets in pieces(batches):
-            words, first, end, key = _cut(data, offsets)
+            words, first, end, key, within, level = _cut(data, offsets)
             if not len(first):
                 continue
             doc = words.doc[first]
@@ -141,11 +159,43 @@ def _places(documents: DataFrame) -> DataFrame:
                 batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)),
                 pa.array((first - words.first[doc]).astype(np.int32)), pa.array((end - words.first[doc]).astype(np.int32)),
                 pa.array((chars[words.start[first]] - base).astype(np.int32)),
-                pa.array((chars[stop] - base).astype(np.int32)), pa.array(key.view(np.int64))],
-                names=["id", "copy", "at", "until", "start", "end", "rep"])
+                pa.array((chars[stop] - base).astype(np.int32)), pa.array(key.view(np.int64)),
+                pa.array((within - words.first[doc]).astype(np.int32)), pa.array(level.astype(np.int32))],
+                names=["id", "copy", "at", "until", "start", "end", "rep", "block", "level"])
 
     rows = documents.where("id is not null").select("id", F.xxhash64("text").alias("copy"), "text")
-    return rows.mapInArrow(run, "id long, copy long, at int, until int, start int, end int, rep long")
+    return rows.mapInArrow(run, "id long, copy long, at int, until int, start int, end int, rep long, block int, level int")
+
+
+def _firsts(places: DataFrame) -> DataFrame:
+    """The place of every component that stays."""
+    return settle(places.groupBy("component").agg(F.min(F.struct("id", "copy", "at", "start")).alias("kept")))
+
+
+def _later(places: DataFrame) -> DataFrame:
+    """``component, id, copy, block, at, until, start, end, kept`` of paragraphs that go: whole blocks first, of others pieces.
+
+    A piece is kept only where its block stays. A block that goes is told by its pieces with the places that keep these, as
+    far as they are earlier, and by what is left between them with the place that keeps the block.
+    """
+    key, span = ["id", "copy", "block"], ["at", "until", "start", "end"]
+    place = F.struct("id", "copy", "at", "start")
+    blocks = places.where(F.col("level").bitwiseAND(BLOCK) != 0)
+    blocks = settle(blocks.join(_firsts(blocks), "component").where(place != F.col("kept")))
+    parts = places.where(F.col("level").bitwiseAND(PIECE) != 0)
+    parts = settle(parts.join(blocks.select(*key, F.lit(True).alias("gone")), key, "left"))
+    parts = parts.join(_firsts(parts.where("gone is null")), "component").where(place > F.col("kept"))
+    columns = ["component", *key, *span, "kept"]
+    parts = settle(parts.select(*columns, "gone"))
+
+    found = parts.where("gone").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*span))).alias("parts"))
+    rest = blocks.join(found, key, "left").withColumn(
+        "parts", F.coalesce("parts", F.expr("cast(array() as array<struct<at:int,until:int,start:int,end:int>>)")))
+    low = F.concat(F.array(F.struct("at", "start")), F.transform("parts", lambda x: F.struct(x["until"].alias("at"), x["end"].alias("start"))))
+    high = F.concat(F.transform("parts", lambda x: F.struct(x["at"], x["start"])), F.array(F.struct(F.col("until").alias("at"), F.col("end").alias("start"))))
+    gaps = F.zip_with(low, high, lambda x, y: F.struct(x["at"].alias("at"), y["at"].alias("until"), x["start"].alias("start"), y["start"].alias("end")))
+    rest = rest.select("component", *key, "kept", F.explode(gaps).alias("gap")).where("gap.at < gap.until")
+    return parts.select(*columns).unionByName(rest.select("component", *key, "gap.*", "kept"))
 
 
 def repeated_paragraphs(documents: DataFrame, min_run: int = MIN_RUN, recall: float = .99, id_col: str = "doc_id",
@@ -161,9 +211,10 @@ def repeated_paragraphs(documents: DataFrame, min_run: int = MIN_RUN, recall: fl
     classes = settle(_classes(texts, bands, rows))
 
     def sets_of(ids):
-        docs = settle(classes.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").select(F.col("doc").alias("id")).distinct())
-        sets = _sets(texts.join(docs, "id", "left_semi"))
-        return sets.join(ids, "id", "left_semi").dropDuplicates(["id"])
+        # each set from one document, and no others
+        wanted = classes.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").select(F.col("doc").alias("id"), "rep")
+        wanted = settle(wanted.groupBy("id").agg(F.collect_list("rep").alias("wanted")))
+        return _sets(texts.join(wanted, "id")).dropDuplicates(["id"])
 
     # a band at a time: there are many paragraphs
     found = link_classes(classes.select("rep", "bands"), sets_of, PERCENT, bands=[[b] for b in range(bands)])
@@ -173,9 +224,7 @@ def repeated_paragraphs(documents: DataFrame, min_run: int = MIN_RUN, recall: fl
     forget(classes)
     places = settle(_places(texts).join(repeated, "rep").distinct())
 
-    first = places.groupBy("component").agg(F.min(F.struct("id", "copy", "at", "start")).alias("kept"))
-    others = places.join(settle(first), "component").where(
-        F.struct("id", "copy", "at") != F.struct("kept.id", "kept.copy", "kept.at"))
+    others = _later(places)
     # runs: neighbours with fewer than MIN_WORDS words between them
     row = W.partitionBy("id", "copy").orderBy("at")
     gap = F.col("at") - F.lag("until").over(row)

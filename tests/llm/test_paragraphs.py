@@ -86,6 +86,29 @@ def test_passages_in_short_lines(spark):
     assert all(words[10 * k + 2] == words[10 * k + 3] == 60 and words[10 * k + 4] >= 30 for k in (5, 6, 7))
 
 
+def test_edited_lines_go_whole(spark):
+    docs = []
+    for i in range(40):
+        n, at = ((24, 23), (30, 29), (50, 25), (60, 30))[i % 4]
+        line = prose(n)
+        changed = line.split()
+        changed[at] = f"edited{i}"
+        docs += [(2 * i, line + "\n" + prose(20)), (2 * i + 1, prose(20) + "\n" + " ".join(changed))]
+    # an edited line goes, so its own words are kept by a later document that repeats them
+    line = prose(80).split()
+    docs += [(100, " ".join(line)), (101, " ".join(line[:40] + ["edited"] + line[41:])),
+             (102, prose(30) + " " + " ".join(line[20:40] + ["edited"] + line[41:60]) + " " + prose(30))]
+    words, spans = {}, []
+    for r in paragraphs.repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert r.kept_id < r.doc_id
+        words[r.doc_id, r.kept_id] = words.get((r.doc_id, r.kept_id), 0) + r.n_words
+        spans += [(r.start, r.end)] if r.doc_id == 102 else []
+    whole = [words.get((2 * i + 1, 2 * i)) == (24, 30, 50, 60)[i % 4] for i in range(40)]
+    assert sum(whole) >= 38
+    at = docs[-1][1].index("edited")
+    assert words[101, 100] == 80 and all(not start <= at < end for start, end in spans)
+
+
 def test_band_tuning():
     bands, rows = paragraphs.tune_bands(.8, .99)
     assert 1 - (1 - .8 ** rows) ** bands >= .99 and bands <= 5
