@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from earmark.llm import oracles
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -118,3 +120,25 @@ def op10(spark, sf_dir):
     first = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to"))
     return found.join(first, "refers_to_id", "left").select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_source_mixing", oracles.MIXING)
+def op11(spark, sf_dir):
+    """How many words of every document a mix of the sources takes."""
+    from earmark.llm.mixing import mixture
+    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op12_conversation_repair", oracles.REPAIR)
+def op12(spark, sf_dir):
+    """Faults of every damaged conversation and its cheapest repair."""
+    from earmark.llm.conversations import audited, damaged
+    rows = table(spark, sf_dir, "conversations")
+    return audited(rows, damaged(rows))
+
+
+@query("op13_spelling_variants", oracles.SPELLING)
+def op13(spark, sf_dir):
+    """Words with their near words and the form they are a variant of."""
+    from earmark.llm.spelling import spelling_variants
+    return spelling_variants(table(spark, sf_dir, "documents"))
