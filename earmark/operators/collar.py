@@ -51,7 +51,7 @@ def collar_counts(detections: DataFrame, ground_truth: DataFrame, onset_collar:
     """
     keys = list(keys)
     pairs = matching.collar_pairs(detections, ground_truth, onset_collar, offset_collar, offset_collar_rate)
-    matched = matching.one_to_one(pairs, [*keys, *det_id], [*keys, *gt_id])
+    matched = matching.one_to_one(pairs, [*keys, *det_id], [*keys, *gt_id], [*keys, "clip_id", "label"])
     tp = matched.groupBy(*keys, "label").agg(
         F.count(F.lit(1)).alias("tp"), F.sum("onset_dist").alias("onset_dist_sum"),
         F.sum("offset_dist").alias("offset_dist_sum"))

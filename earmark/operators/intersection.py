@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from earmark.operators import matching
 from earmark.operators.detect import linspace, score_intervals
 from earmark.scale import cut_lineage, running
 
 HOUR = 3600.0
-# ratios are compared after rounding, so equal ratios stay equal whatever the order of the sums
-RATIO_DECIMALS = 9
 
 
-def _ratio(overlap, length):
-    return F.round(overlap / length, RATIO_DECIMALS)
+def _length() -> Column:
+    return matching.ticks(F.col("offset")) - matching.ticks(F.col("onset"))
+
+
+def covers(share: float) -> Column:
+    """Whether ``cover`` is at least the share of the row's own length; intervals without length are never covered."""
+    return (_length() > 0) & (F.col("cover") >= F.lit(float(share)) * _length())
 
 
 def intersection_counts(detections: DataFrame, ground_truth: DataFrame, dtc_threshold: float,
                         gtc_threshold: float, cttc_threshold: float | None = None, keys=("threshold",),
-                        bin_width: float | None = None, det_id=None, gt_id=("clip_id", "gt_id")):
+                        det_id=None, gt_id=("clip_id", "gt_id")):
     """``(counts, cross_triggers)``.
 
     ``counts``: ``tp, fp, n_ref`` per keys and class. ``cross_triggers``: ``ct`` per keys, class and
@@ -28,40 +31,41 @@ def intersection_counts(detections: DataFrame, ground_truth: DataFrame, dtc_thre
     truth is found if passing detections cover the share ``gtc_threshold``; a false detection crosses
     into another class if that class covers the share ``cttc_threshold`` of it.
 
-    Overlapping pairs and passing detections are materialised once; the rest is aggregated from them.
+    Covered lengths are differences of running sums along the time line, once from the detections' view and once from the
+    events'; no pairs are formed, so work follows the number of intervals however many of them overlap.
     """
     if dtc_threshold <= 0 or gtc_threshold <= 0:
         raise ValueError("tolerance thresholds must be positive")
     keys = list(keys)
     det_id = list(det_id) if det_id else [*keys, "clip_id", "label", "det_id"]
-    pairs = cut_lineage(matching.overlap_pairs(detections, ground_truth, True, bin_width).select(
-        *dict.fromkeys([*keys, *det_id, *gt_id, "label"]), "det_onset", "det_offset", "gt_onset", "gt_offset", "overlap"))
-    cover = pairs.groupBy(*dict.fromkeys([*det_id, *keys, "label"]), "det_onset", "det_offset").agg(F.sum("overlap").alias("cover"))
-    passed = cut_lineage(cover.where(
-        _ratio(F.col("cover"), F.col("det_offset") - F.col("det_onset")) >= float(dtc_threshold)).select(
-        *dict.fromkeys([*det_id, *keys, "label"])))
-    n_passed = passed.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_passed"))
-    n_sys = detections.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_sys"))
-    found = (pairs.join(passed.select(*det_id), det_id, "left_semi")
-             .groupBy(*dict.fromkeys([*keys, *gt_id, "label"]), "gt_onset", "gt_offset").agg(F.sum("overlap").alias("cover")))
-    tp = (found.where(_ratio(F.col("cover"), F.col("gt_offset") - F.col("gt_onset")) >= float(gtc_threshold))
-          .groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("tp")))
+    series = ["clip_id", "label"]
+    ids = list(dict.fromkeys([*det_id, *keys, *series, "onset", "offset"]))
+    judged = cut_lineage(matching.covered(detections, ground_truth, series, ids).withColumn("passed", covers(dtc_threshold)))
+    passed = judged.where("passed")
+    n_sys = judged.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_sys"), F.count(F.when(F.col("passed"), 1)).alias("n_passed"))
+    # events are looked at once for every key under which some detection passes in their clip and class
+    asked = ground_truth.join(passed.select(*keys, *series).distinct(), series)
+    by = [*keys, *series]
+    found = matching.covered(asked, passed.drop("cover", "passed"), by, list(dict.fromkeys([*by, *gt_id, "onset", "offset"])))
+    tp = found.where(covers(gtc_threshold)).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("tp"))
     n_ref = ground_truth.groupBy("label").agg(F.count(F.lit(1)).alias("n_ref"))
-    counts = (n_sys.join(n_passed, [*keys, "label"], "left").join(tp, [*keys, "label"], "left").join(n_ref, "label", "left")
-              .na.fill(0, ["tp", "n_ref", "n_passed"])
+    counts = (n_sys.join(tp, [*keys, "label"], "left").join(n_ref, "label", "left").na.fill(0, ["tp", "n_ref"])
               .select(*keys, "label", "tp", (F.col("n_sys") - F.col("n_passed")).alias("fp"), "n_ref"))
     crossed = None
     if cttc_threshold is not None:
-        failed = detections.join(passed.select(*det_id), det_id, "left_anti")
-        other = (matching.overlap_pairs(failed, ground_truth, False, bin_width)
-                 .groupBy(*dict.fromkeys([*det_id, *keys, "label"]), "gt_label", "det_onset", "det_offset")
-                 .agg(F.sum("overlap").alias("cover")))
-        share = _ratio(F.col("cover"), F.col("det_offset") - F.col("det_onset"))
-        crossed = (other.where(share >= float(cttc_threshold)).groupBy(*keys, "label", "gt_label")
-                   .agg(F.count(F.lit(1)).alias("ct")))
+        crossed = crossing(judged.where("not passed").drop("cover", "passed"), ground_truth, cttc_threshold)
+        crossed = crossed.groupBy(*keys, "label", "gt_label").agg(F.count(F.lit(1)).alias("ct"))
     return counts, crossed
 
 
+def crossing(failed: DataFrame, ground_truth: DataFrame, cttc_threshold: float) -> DataFrame:
+    """Rows of ``failed`` once for every other class, as ``gt_label``, that covers the share ``cttc_threshold`` of them."""
+    there = ground_truth.select("clip_id", F.col("label").alias("gt_label")).distinct()
+    asks = failed.join(there, "clip_id").where("label <> gt_label")
+    gt = ground_truth.withColumnRenamed("label", "gt_label")
+    return matching.covered(asks, gt, ["clip_id", "gt_label"], asks.columns).where(covers(cttc_threshold))
+
+
 def total_duration(clips: DataFrame, length: str = "audio_length") -> DataFrame:
     """One row ``seconds``: the summed length of all clips that have one."""
     return clips.where(F.col(length).isNotNull()).agg(F.sum(length).alias("seconds"))
@@ -124,8 +128,10 @@ def psds(roc: DataFrame, n_classes, alpha_st: float = 1.0, max_efpr: float = 100
     """
     keys = list(keys)
     w = W.partitionBy(*keys, "label").orderBy("efpr")
-    before = F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    steps = roc.withColumns({"d1": F.col("tpr") - before, "d2": F.col("tpr") * F.col("tpr") - before * before})
+    before = F.col("before") if "before" in roc.columns else F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
+    # whole billionths: sums are exact, so the deviation of equal heights is 0 and not a rounding error's root
+    high, low = (F.round(c * 1e9).cast("decimal(18,0)") for c in (F.col("tpr"), before))
+    steps = roc.withColumns({"d1": high - low, "d2": high * high - low * low})
     steps = (steps.groupBy(*keys, "efpr").agg(F.sum("d1").alias("d1"), F.sum("d2").alias("d2"))
              .withColumn("_chunk", F.floor("efpr").cast("bigint")))
     by = ["_all", *keys]
@@ -137,9 +143,9 @@ def psds(roc: DataFrame, n_classes, alpha_st: float = 1.0, max_efpr: float = 100
         sums, n = sums.withColumn("_n_classes", n_classes.scalar()), F.col("_n_classes")
     else:
         n = F.lit(n_classes)
-    mean = F.col("s1") / n
-    var = F.greatest(F.col("s2") / n - mean * mean, F.lit(0.0))
-    value = F.greatest(mean - F.lit(float(alpha_st)) * F.sqrt(var), F.lit(0.0))
+    s1, s2, count = F.col("s1").cast("decimal(38,0)"), F.col("s2").cast("decimal(38,0)"), n.cast("decimal(18,0)")
+    spread = F.sqrt((s2 * count - s1 * s1).cast("double"))
+    value = F.greatest(s1.cast("double") - F.lit(float(alpha_st)) * spread, F.lit(0.0)) / (n * F.lit(1e9))
     width = F.coalesce(F.col("_next"), F.lit(float(max_efpr))) - F.col("efpr")
     return sums.groupBy(*keys).agg((F.sum(value * width) / F.lit(float(max_efpr))).alias("psds"))
 
@@ -147,27 +153,27 @@ def psds(roc: DataFrame, n_classes, alpha_st: float = 1.0, max_efpr: float = 100
 def approximate_psds(scores: DataFrame, ground_truth: DataFrame, seconds: DataFrame, dtc_threshold: float,
                      gtc_threshold: float, cttc_threshold: float | None = None, alpha_ct: float = 0.0,
                      alpha_st: float = 0.0, max_efpr: float = 100.0, thresholds=None, keys=(),
-                     unit: float = HOUR, bin_width: float | None = None):
+                     unit: float = HOUR):
     """``(psds, class areas)`` of a score table on a threshold grid (default: 50 points .01 to .99)."""
     keys = list(keys)
     thresholds = thresholds or linspace(0.01, 0.99, 50)
     # intervals are few next to scores and are read several times
     det = cut_lineage(score_intervals(scores, thresholds, series=[*keys, "clip_id", "label"]))
     return psds_from_detections(det, ground_truth, seconds, dtc_threshold, gtc_threshold, cttc_threshold,
-                                alpha_ct, alpha_st, max_efpr, keys, unit, bin_width)
+                                alpha_ct, alpha_st, max_efpr, keys, unit)
 
 
 def psds_from_detections(detections: DataFrame, ground_truth: DataFrame, seconds: DataFrame,
                          dtc_threshold: float, gtc_threshold: float, cttc_threshold: float | None = None,
                          alpha_ct: float = 0.0, alpha_st: float = 0.0, max_efpr: float = 100.0, keys=(),
-                         unit: float = HOUR, bin_width: float | None = None):
+                         unit: float = HOUR):
     """Same, from detections ``(threshold, clip_id, label, onset, offset)``; runs of one series never overlap."""
     keys = list(keys)
     by = [*keys, "threshold"]
     if "det_id" not in detections.columns:
         detections = detections.withColumn("det_id", F.col("onset"))
     counts, crossed = intersection_counts(
-        detections, ground_truth, dtc_threshold, gtc_threshold, cttc_threshold, by, bin_width)
+        detections, ground_truth, dtc_threshold, gtc_threshold, cttc_threshold, by)
     # one row per threshold and class, read by everything below
     rates = cut_lineage(effective_rates(counts, crossed, ground_truth, seconds, alpha_ct, by, unit))
     roc = psd_roc(rates, max_efpr, keys)

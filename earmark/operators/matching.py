@@ -1,22 +1,32 @@
-"""Interval joins between detections and ground truth.
+"""Interval joins, covered lengths and one-to-one matching of detections and ground truth.
 
-Both joins add a time bin to the equi key, so a clip with very many events spreads over bins.
+The joins add a time bin to the equi key, so a clip with very many events spreads over bins. Covered lengths need no pairs at
+all: they are differences of a running sum along the time line. Matching runs along the time line too.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from earmark.scale import cut_lineage
+from earmark.scale import cut_lineage, running
+
+TICK = 1_000_000      # covered lengths are whole millionths, so sums do not depend on their order
+POINTS = 100_000      # ends of intervals that one piece of the time line holds, if they are spread evenly
+
+
+def ticks(t: Column) -> Column:
+    return F.round(t * F.lit(float(TICK))).cast("bigint")
 
 
 def _bin(t: Column, width) -> Column:
     return F.floor(t / (width if isinstance(width, Column) else F.lit(float(width)))).cast("bigint")
 
 
-GROW = 16.0           # each level of bins is so many times wider than the one before
+GROW = 4.0            # each level of bins is so many times wider than the one before
 
 
 def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, same_label: bool = True,
@@ -27,8 +37,9 @@ def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, same_label: bo
     ``same_label=False`` the labels differ.
 
     Bins come in levels. An interval belongs to the first level whose bins are as long as itself, so it touches two bins
-    there however long it is; it also stands in the bins of coarser levels, of which there are a few. A pair meets at the
-    coarser of its two levels, in the first bin both touch, so rows follow the number of intervals and no pair comes twice.
+    there however long it is; it also stands in the bins of coarser levels, as far as the other side has intervals of that
+    length. A pair meets at the coarser of its two levels, in the first bin both touch, so rows follow the number of intervals
+    and no pair comes twice.
     The finest bins are ``bin_width`` wide, by default twice the mean ground-truth length.
     """
     length = F.col("offset") - F.col("onset")
@@ -40,14 +51,15 @@ def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, same_label: bo
     def level(span):
         return F.greatest(F.lit(0), F.ceil(F.log(span / width) / math.log(GROW)).cast("int"))
 
-    top = level(some["high"] - some["low"])
+    span = F.col("offset") - F.col("onset")
+    top = F.least(level(some["high"] - some["low"]), level(detections.where(span > 0).agg(F.max(span)).scalar()))
 
     def binned(df, name, highest):
         """``df`` in the bins of its own level ``_own_<name>`` and of all coarser ones up to ``highest``."""
         # what lies outside the ground truth overlaps nothing: it needs no bins
         on, off = F.greatest(F.col(f"{name}_onset"), some["low"]), F.least(F.col(f"{name}_offset"), some["high"])
         df = df.withColumns({"_on": on, "_off": off}).where("_off > _on")
-        own = F.least(level(F.col("_off") - F.col("_on")), top)
+        own = level(F.col("_off") - F.col("_on"))
         df = df.withColumn(f"_own_{name}", own)
         df = df.withColumn("_level", F.explode(F.sequence(F.col(f"_own_{name}"), F.greatest(F.col(f"_own_{name}"), highest))))
         size = width * F.pow(F.lit(GROW), F.col("_level"))
@@ -62,7 +74,7 @@ def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, same_label: bo
     else:
         gt = gt.withColumnRenamed("label", "gt_label")
         on = [*keys, "_level", "_bin"]
-    pairs = binned(det, "det", F.least(level(some["longest"]), top)).join(binned(gt, "gt", top), on)
+    pairs = binned(det, "det", level(some["longest"])).join(binned(gt, "gt", top), on)
     keep = ((F.col("det_onset") < F.col("gt_offset")) & (F.col("gt_onset") < F.col("det_offset"))
             & (F.col("_level") == F.greatest("_own_det", "_own_gt")) & (F.col("_bin") == F.greatest("_first_det", "_first_gt")))
     if not same_label:
@@ -100,29 +112,88 @@ def unique_pairs(pairs: DataFrame, det_id, gt_id) -> DataFrame:
     return pairs.join(by_det, list(det_id), "left_semi").join(by_gt, list(gt_id), "left_semi")
 
 
-def one_to_one(pairs: DataFrame, det_id, gt_id, rank=None) -> DataFrame:
-    """Each event used once: greedy over pairs, closest first.
+def covered(intervals: DataFrame, ground_truth: DataFrame, by, ids, points: int = POINTS) -> DataFrame:
+    """``ids`` and ``cover``: for every interval the summed overlaps, in ticks, with ground truth that is equal in ``by``.
 
-    A pair that ranks first for both its events is final; such pairs are taken in rounds until no
-    candidate is left, which equals the sequential greedy choice. Per-event minima combine before
-    the shuffle, so no group is ever gathered in one task. Rounds are materialised.
+    ``ids`` are columns of ``intervals`` that tell them apart and include ``by``, ``onset`` and ``offset``. The length covered
+    up to a time is a running sum over the ends of events; an interval reads it at both its ends. No pair is written, and long
+    series are summed in pieces of the time line.
+    """
+    by, ids = list(by), list(ids)
+    gt = ground_truth.select(*by, ticks(F.col("onset")).alias("_on"), ticks(F.col("offset")).alias("_off")).where("_off > _on")
+    ends = gt.select(*by, F.explode(F.array(F.struct(F.col("_on").alias("x"), F.lit(1).alias("n")),
+                                            F.struct(F.col("_off").alias("x"), F.lit(-1).alias("n")))).alias("_e"))
+    ends = ends.select(*by, "_e.x", F.col("_e.n").cast("bigint").alias("n"), (F.col("_e.x") * F.col("_e.n")).alias("m"))
+    asks = intervals.select(*by, F.struct(*ids).alias("_id"), F.explode(F.array(
+        F.struct(ticks(F.col("onset")).alias("x"), F.lit(-1).alias("sign")),
+        F.struct(ticks(F.col("offset")).alias("x"), F.lit(1).alias("sign")))).alias("_e")).select(*by, "_id", "_e.*")
+    width = gt.agg(F.greatest(F.lit(1.0), (F.max("_off") - F.min("_on")) * F.lit(float(points)) / F.count(F.lit(1)))).scalar()
+    rows = ends.unionByName(asks, allowMissingColumns=True).na.fill(0, ["n", "m"])
+    rows = rows.withColumn("_piece", F.floor(F.col("x") / F.coalesce(width, F.lit(1.0))))
+    rows = running(rows, by, "_piece", ["x"], {"_n": ("sum", "n"), "_m": ("sum", "m")}).where("_id is not null")
+    cover = F.sum((F.col("x") * F.col("_n") - F.col("_m")) * F.col("sign"))
+    return rows.groupBy("_id").agg(cover.alias("cover")).select("_id.*", "cover")
+
+
+def one_to_one(pairs: DataFrame, det_id, gt_id, series=("clip_id", "label"), points: int = POINTS) -> DataFrame:
+    """Each event used once: detections in order of time take the free candidate with the earliest deadline.
+
+    A candidate's deadline is its last candidate detection; ties go by ground-truth onset, offset and id. Detections go by onset,
+    offset and id. Where the detections of a series do not overlap this is a largest possible matching: every event can be met by
+    a stretch of successive detections.
+
+    ``series`` are columns that all pairs of an event share; NULLs are equal there. Pairs are matched in sessions, chains of
+    pairs whose times overlap; sessions are found by running maxima in pieces of the time line. A session is one pass over its
+    pairs that remembers only events that can still be met, so the number of jobs does not depend on the length of a chain.
     """
-    det_id, gt_id = list(det_id), list(gt_id)
-    rank = rank or [(F.abs("onset_dist") + F.abs("offset_dist")), F.abs("onset_dist"),
-                    F.col("gt_onset"), F.col("gt_offset"), F.col("det_onset"), F.col("det_offset")]
-    order = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)],
-                     *[F.col(c).alias(f"k{i}") for i, c in enumerate(gt_id + det_id)])
-    left = cut_lineage(pairs.withColumn("_rank", order))
-    done = []
-    while not left.isEmpty():
-        best_det = left.groupBy(*det_id).agg(F.min("_rank").alias("_best_det"))
-        best_gt = left.groupBy(*gt_id).agg(F.min("_rank").alias("_best_gt"))
-        won = cut_lineage(left.join(best_det, det_id).join(best_gt, gt_id)
-                          .where((F.col("_rank") == F.col("_best_det")) & (F.col("_rank") == F.col("_best_gt")))
-                          .select(*left.columns))
-        done.append(won)
-        left = cut_lineage(left.join(won.select(*det_id), det_id, "left_anti")
-                           .join(won.select(*gt_id), gt_id, "left_anti"))
-    for part in done:
-        left = left.unionByName(part)
-    return left.drop("_rank")
+    det_id, gt_id, series = list(det_id), list(gt_id), list(series)
+    names = pairs.columns
+    pairs = cut_lineage(pairs.withColumns({"_start": F.least("det_onset", "gt_onset"), "_stop": F.greatest("det_onset", "gt_onset")}))
+    last = pairs.groupBy(*gt_id).agg(F.max(F.struct("det_onset", "det_offset", *[F.col(c).alias(f"d{i}") for i, c in enumerate(det_id)]))
+                                     .alias("_deadline"))
+    rows = pairs.join(last.withColumnsRenamed({c: f"_k_{c}" for c in gt_id}),
+                      [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in gt_id]).drop(*[f"_k_{c}" for c in gt_id])
+    rows = sessions(rows, series, points)
+    order = [F.col(c) for c in (*series, "_session", "det_onset", "det_offset", *det_id, "_deadline", "gt_onset", "gt_offset", *gt_id)]
+    rows = rows.withColumns({"_det": F.xxhash64(*det_id), "_gt": F.xxhash64(*gt_id), "_new": F.xxhash64(*series, "_session"),
+                             "_until": F.col("_deadline.det_onset")})
+    rows = rows.repartition(*series, "_session").sortWithinPartitions(*order)
+    rows = rows.select(*names, "_new", "_det", "_gt", "_until")
+    return rows.mapInArrow(_matcher(len(names), names.index("det_onset")), rows.select(*names).schema)
+
+
+def sessions(rows: DataFrame, series, points: int = POINTS) -> DataFrame:
+    """``_session``: the start of the chain of overlapping ``_start`` to ``_stop`` a row belongs to."""
+    span = rows.agg(F.greatest(F.lit(1e-9), (F.max("_stop") - F.min("_start")) * F.lit(float(points)) / F.count(F.lit(1)))).scalar()
+    rows = rows.withColumn("_piece", F.floor(F.col("_start") / F.coalesce(span, F.lit(1.0))).cast("bigint"))
+    rows = running(rows, series, "_piece", ["_start", "_stop"], {"_reach": ("max", "_stop")}, strict=True)
+    fresh = F.when(F.col("_reach").isNull() | (F.col("_start") > F.col("_reach")), F.col("_start"))
+    return running(rows, series, "_piece", ["_start", "_stop"], {"_session": ("max", fresh)}).drop("_reach", "_piece")
+
+
+def _matcher(width: int, onset: int):
+    """Arrow function: of pairs in order, those that are matched."""
+    def run(batches):
+        session = det = None
+        done, used, ends = False, set(), []
+        for batch in batches:
+            mask = []
+            cols = [batch.column(width + i).to_pylist() for i in range(4)]
+            for s, d, g, until, now in zip(*cols, batch.column(onset).to_pylist()):
+                if s != session:
+                    session, det, used, ends = s, None, set(), []
+                if d != det:
+                    det, done = d, False
+                    while ends and ends[0][0] < now:             # events that no later detection can meet
+                        used.discard(heapq.heappop(ends)[1])
+                won = not done and g not in used
+                if won:
+                    done = True
+                    used.add(g)
+                    heapq.heappush(ends, (until, g))
+                mask.append(won)
+            if True in mask:
+                yield pa.RecordBatch.from_arrays(batch.columns[:width], schema=pa.schema(list(batch.schema)[:width])).filter(
+                    pa.array(mask))
+
+    return run

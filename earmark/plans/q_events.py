@@ -18,17 +18,24 @@ pairs AS (SELECT d.clip_id, d.label, det_id, gt_id, d.onset - g.onset AS od, d."
             AND abs(d."offset" - g."offset") <= greatest({c}e0, {rate}e0 * (g."offset" - g.onset)))"""
 
 
-def _greedy_sql(collar_, rate, rounds=8):
-    """Closest pairs first, in rounds; more rounds than the data needs."""
-    parts = [_PAIRS.format(c=collar_, rate=rate),
-             "p0 AS (SELECT *, row_number() OVER (ORDER BY abs(od) + abs(fd), abs(od), g_on, g_off, d_on, d_off, gt_id, det_id) AS rk FROM pairs)"]
-    for i in range(rounds):
-        parts.append(f"""w{i} AS (SELECT * FROM p{i} WHERE rk = (SELECT min(x.rk) FROM p{i} x WHERE x.det_id = p{i}.det_id)
-                       AND rk = (SELECT min(x.rk) FROM p{i} x WHERE x.gt_id = p{i}.gt_id))""")
-        parts.append(f"""p{i + 1} AS (SELECT * FROM p{i} WHERE det_id NOT IN (SELECT det_id FROM w{i})
-                       AND gt_id NOT IN (SELECT gt_id FROM w{i}))""")
-    parts.append("m AS (" + " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(rounds)) + ")")
-    return ",\n".join(parts)
+def _timed_sql(pairs, series, det, gt, kind):
+    """Detections in order of time take the free candidate with the earliest deadline, one detection of every series a step."""
+    order = f"d_on, d_off, {det}"
+    same = " AND ".join(f"mr.{c} = cd.{c}" for c in series)
+    by = ", ".join(series)
+    return f"""
+dk AS (SELECT *, dense_rank() OVER (PARTITION BY {by} ORDER BY {order}) AS k FROM {pairs}),
+dl AS (SELECT *, max(k) OVER (PARTITION BY {by}, {gt}) AS deadline FROM dk),
+cd AS (SELECT {by}, k, list({gt} ORDER BY deadline, g_on, g_off, {gt}) AS gts FROM dl GROUP BY {by}, k),
+mr AS (SELECT DISTINCT {by}, 0::BIGINT AS k, CAST([] AS {kind}[]) AS used, NULL::{kind} AS pick FROM {pairs}
+       UNION ALL SELECT {by}, k, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, p FROM (
+         SELECT {", ".join("mr." + c for c in series)}, mr.k + 1 AS k, mr.used, list_filter(cd.gts, lambda x: NOT list_contains(mr.used, x))[1] AS p
+         FROM mr JOIN cd ON {same} AND cd.k = mr.k + 1)),
+m AS (SELECT cd.* FROM dl cd JOIN mr ON {same} AND cd.k = mr.k AND cd.{gt} = mr.pick)"""
+
+
+def _greedy_sql(collar_, rate):
+    return _PAIRS.format(c=collar_, rate=rate).strip() + "," + _timed_sql("pairs", ("clip_id", "label"), "det_id", "gt_id", "BIGINT")
 
 
 @query("j13_collar_pairs", f"""WITH {_PAIRS.format(c=2, rate=0.2)}
@@ -47,14 +54,14 @@ def collar_unique_pairs(spark, sf_dir):
     return tidy(matching.unique_pairs(p, ["det_id"], ["gt_id"]).select("clip_id", "label", "det_id", "gt_id"))
 
 
-@query("j13_collar_one_to_one", f"""WITH {_greedy_sql(12, 0.2)}
+@query("j13_collar_one_to_one", f"""WITH RECURSIVE {_greedy_sql(12, 0.2)}
 SELECT clip_id, label, det_id, gt_id FROM m""", "v_gt", "v_det")
 def collar_one_to_one(spark, sf_dir):
     p = matching.collar_pairs(v.detections(spark, sf_dir), v.ground_truth(spark, sf_dir), 12.0, 12.0, 0.2)
     return tidy(matching.one_to_one(p, ["det_id"], ["gt_id"]).select("clip_id", "label", "det_id", "gt_id"))
 
 
-@query("a24_collar_fscore", f"""WITH {_greedy_sql(12, 0.2)},
+@query("a24_collar_fscore", f"""WITH RECURSIVE {_greedy_sql(12, 0.2)},
 t AS (SELECT label, count(*) AS tp, sum(od) AS os, sum(fd) AS fs FROM m GROUP BY 1),
 c AS (SELECT label, coalesce(tp, 0) AS tp, n_sys, n_ref, coalesce(os, 0e0) AS os, coalesce(fs, 0e0) AS fs
       FROM (SELECT label, count(*) AS n_sys FROM v_det GROUP BY 1) JOIN (SELECT label, count(*) AS n_ref FROM v_gt GROUP BY 1) USING (label)
@@ -76,20 +83,12 @@ def collar_fscore(spark, sf_dir):
 _THRESHOLDS = [0.2, 0.4, 0.6]
 
 
-def _frame_greedy_sql(det, key, collar_, rate, rounds=6):
-    """Closest-first matching of ``det`` with the frame ground truth, separately for each ``key``."""
-    parts = [f"""p0 AS (SELECT *, row_number() OVER (PARTITION BY {key}, clip_id, label ORDER BY abs(od) + abs(fd), abs(od), g_on, g_off, d_on, d_off) AS rk FROM (
-        SELECT d.{key}, d.clip_id, d.label, d.onset - g.onset AS od, d."offset" - g."offset" AS fd, d.onset AS d_on, d."offset" AS d_off,
+def _frame_greedy_sql(det, key, collar_, rate):
+    """Matching of ``det`` with the frame ground truth, separately for each ``key``."""
+    pairs = f"""p0 AS (SELECT d.{key}, d.clip_id, d.label, d.onset - g.onset AS od, d."offset" - g."offset" AS fd, d.onset AS d_on, d."offset" AS d_off,
                g.onset AS g_on, g."offset" AS g_off FROM {det} d JOIN v_frame_gt g ON d.clip_id = g.clip_id AND d.label = g.label
-        WHERE abs(d.onset - g.onset) <= {collar_}e0 AND abs(d."offset" - g."offset") <= greatest({collar_}e0, {rate}e0 * (g."offset" - g.onset))))"""]
-    by = f"{key}, clip_id, label"
-    for i in range(rounds):
-        parts.append(f"""w{i} AS (SELECT * EXCLUDE (md, mg) FROM (SELECT *, min(rk) OVER (PARTITION BY {by}, d_on) AS md,
-            min(rk) OVER (PARTITION BY {by}, g_on) AS mg FROM p{i}) WHERE rk = md AND rk = mg)""")
-        parts.append(f"""p{i + 1} AS (SELECT p.* FROM p{i} p ANTI JOIN w{i} w ON p.{key} = w.{key} AND p.clip_id = w.clip_id AND p.label = w.label
-            AND (p.d_on = w.d_on OR p.g_on = w.g_on))""")
-    parts.append("m AS (" + " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(rounds)) + ")")
-    return ",\n".join(parts)
+        WHERE abs(d.onset - g.onset) <= {collar_}e0 AND abs(d."offset" - g."offset") <= greatest({collar_}e0, {rate}e0 * (g."offset" - g.onset)))"""
+    return pairs + "," + _timed_sql("p0", (key, "clip_id", "label"), "d_on", "g_on", "DOUBLE")
 
 
 _BEST_COLLAR = """
@@ -106,7 +105,7 @@ td AS (SELECT clip_id, label, threshold, min(onset) AS onset, max("offset") AS "
 tgrid AS (SELECT DISTINCT label, threshold FROM v_scores, (VALUES (0.2e0), (0.4e0), (0.6e0)) t(threshold))"""
 
 
-@query("a25_collar_best_fscore", f"""WITH {_THR3}, {_frame_greedy_sql('td', 'threshold', 0.02, 0.2)}, {_BEST_COLLAR.format(key='threshold', grid='tgrid', det='td')}
+@query("a25_collar_best_fscore", f"""WITH RECURSIVE {_THR3}, {_frame_greedy_sql('td', 'threshold', 0.02, 0.2)}, {_BEST_COLLAR.format(key='threshold', grid='tgrid', det='td')}
 SELECT label, threshold, round(f, 6) AS fscore, round(p, 6) AS precision, round(r, 6) AS recall,
        round(os / greatest(tp, 1), 6) AS onset_bias, round(fs / greatest(tp, 1), 6) AS offset_bias FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY f DESC, threshold DESC) AS rn FROM fc) WHERE rn = 1""", "v_scores", "v_frame_gt")
@@ -388,7 +387,7 @@ roc AS (SELECT candidate_id, label, efpr, max(tpr) OVER (PARTITION BY candidate_
 au AS (SELECT candidate_id, label, sum(tpr * (until - efpr)) / 100e0 AS value FROM roc GROUP BY 1, 2)"""
 
 
-@query("j16_tune_events", f"""WITH {_WS}, {_MED}, {_TUNE_DET}, {_frame_greedy_sql('td', 'threshold', 0.02, 0.2)},
+@query("j16_tune_events", f"""WITH RECURSIVE {_WS}, {_MED}, {_TUNE_DET}, {_frame_greedy_sql('td', 'threshold', 0.02, 0.2)},
 {_BEST_COLLAR.format(key='threshold', grid='tgrid', det='td')}, {_stats_sql('td', 'v_frame_gt', 0.5, 0.5, 2)}, {_TUNE_AUC},
 bf AS (SELECT *, CAST(floor(threshold / 10) AS INTEGER) AS candidate_id, threshold % 10 AS x, row_number() OVER (
        PARTITION BY CAST(floor(threshold / 10) AS INTEGER), label ORDER BY f DESC, threshold DESC) AS rn FROM fc),

@@ -259,6 +259,17 @@ VIEWS: dict = {
         SELECT label, threshold, ((n_pos - tps) + (n_ref - tps)) / greatest(n_ref, 1e0) AS error_rate,
                (n_pos - tps) / greatest(n_ref, 1e0) AS insertion_rate,
                (n_ref - tps) / greatest(n_ref, 1e0) AS deletion_rate FROM v_curve"""),
+    "v_runs": (("v_scores",), """
+        SELECT n.clip_id, n.label, coalesce(l + 1, 0) * 2e-2 AS onset, coalesce(r - 1, top) * 2e-2 + 2e-2 AS "offset",
+               greatest(coalesce(x.score, '-inf'::DOUBLE), coalesce(y.score, '-inf'::DOUBLE)) AS low, high
+        FROM (SELECT a.clip_id, a.label, a.frame, a.score AS high, max(b.frame) AS top,
+                     max(b.frame) FILTER (b.frame < a.frame AND b.score < a.score) AS l,
+                     min(b.frame) FILTER (b.frame > a.frame AND b.score < a.score) AS r,
+                     max(b.frame) FILTER (b.frame < a.frame AND b.score = a.score) AS e
+              FROM v_scores a JOIN v_scores b ON a.clip_id = b.clip_id AND a.label = b.label GROUP BY 1, 2, 3, 4) n
+        LEFT JOIN v_scores x ON x.clip_id = n.clip_id AND x.label = n.label AND x.frame = n.l
+        LEFT JOIN v_scores y ON y.clip_id = n.clip_id AND y.label = n.label AND y.frame = n.r
+        WHERE e IS NULL OR e < coalesce(l, -1)"""),
     "v_clip_scores": (("v_scores",), """
         SELECT clip_id, label, max(score) AS score FROM v_scores GROUP BY 1, 2"""),
 }

@@ -19,30 +19,99 @@ def intervals(seed, n, clips=2, labels="ab", span=40):
     return out
 
 
-def greedy(det, gt, c, oc, rate):
-    pairs = []
+def candidates(det, gt, c, oc, rate):
+    out = {}
     for d in det:
-        for g in gt:
-            if d[:2] == g[:2]:
-                od, fd = d[2] - g[2], d[3] - g[3]
-                if abs(od) <= c and abs(fd) <= max(oc, rate * (g[3] - g[2])):
-                    pairs.append((abs(od) + abs(fd), abs(od), g[2], g[3], d[2], d[3], g[4], d[4]))
-    used_g, used_d, out = set(), set(), set()
-    for *_, g, d in sorted(pairs):
-        if g not in used_g and d not in used_d:
-            used_g.add(g), used_d.add(d), out.add((d, g))
+        near = [g for g in gt if d[:2] == g[:2] and abs(d[2] - g[2]) <= c and abs(d[3] - g[3]) <= max(oc, rate * (g[3] - g[2]))]
+        if near:
+            out[d] = near
     return out
 
 
+def in_time(pairs):
+    """Detections in order of time take the free event that has the earliest last candidate."""
+    last, used, out = {}, set(), set()
+    for d, near in pairs.items():
+        for g in near:
+            last[g] = max(last.get(g, (0,)), (d[2], d[3], d[4]))
+    for d in sorted(pairs, key=lambda d: (d[2], d[3], d[4])):
+        free = [g for g in pairs[d] if g not in used]
+        if free:
+            g = min(free, key=lambda g: (last[g], g[2], g[3], g[4]))
+            used.add(g), out.add((d[4], g[4]))
+    return out
+
+
+def largest(pairs):
+    """Size of a largest matching by augmenting paths."""
+    owner = {}
+
+    def place(d, seen):
+        for g in pairs[d]:
+            if g not in seen:
+                seen.add(g)
+                if g not in owner or place(owner[g], seen):
+                    owner[g] = d
+                    return True
+        return False
+
+    return sum(place(d, set()) for d in pairs)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_one_to_one_equals_greedy(spark, seed):
+def test_one_to_one_in_order_of_time(spark, seed):
     det, gt = intervals(seed, 120), intervals(seed + 50, 120)
     d = spark.createDataFrame(det, IV + "det_id int")
     g = spark.createDataFrame(gt, IV + "gt_id int")
     pairs = matching.collar_pairs(d, g, 2.0, 1.5, .5)
-    got = {(r.det_id, r.gt_id) for r in matching.one_to_one(pairs, ["det_id"], ["gt_id"]).collect()}
-    want = greedy(det, gt, 2.0, 1.5, .5)
-    assert got == want and len(want) > 20
+    want = in_time(candidates(det, gt, 2.0, 1.5, .5))
+    for points in (matching.POINTS, 5):
+        got = matching.one_to_one(pairs, ["det_id"], ["gt_id"], points=points)
+        assert got.columns == pairs.columns and {(r.det_id, r.gt_id) for r in got.collect()} == want
+    assert len(want) > 20
+
+
+def test_one_to_one_is_largest_without_overlaps(spark):
+    rng = random.Random(4)
+    det, gt, n = [], [], 0
+    for clip in range(60):
+        for out in (det, gt):
+            t = 0.0
+            for _ in range(rng.randint(0, 25)):
+                t += rng.choice([0, 0, .3, 1.0])
+                end = t + rng.choice([.1, .2, .5, 1.5])
+                out.append((f"c{clip}", "a", round(t, 3), round(end, 3), n := n + 1))
+                t = end
+    d, g = spark.createDataFrame(det, IV + "det_id int"), spark.createDataFrame(gt, IV + "gt_id int")
+    got = matching.one_to_one(matching.collar_pairs(d, g, .6, .5, .3), ["det_id"], ["gt_id"])
+    assert got.count() == largest(candidates(det, gt, .6, .5, .3)) > 100
+    assert matching.one_to_one(matching.collar_pairs(d.where("false"), g, .6, .5, .3), ["det_id"], ["gt_id"]).count() == 0
+
+
+def test_long_chains_take_no_more_jobs(spark):
+    """Every detection lies between two events, so one chain joins them all."""
+    def matched(n):
+        det = spark.range(n).selectExpr("'c' clip_id", "'a' label", "id + 0.5 onset", "id + 1.5 offset", "id det_id")
+        gt = spark.range(n + 1).selectExpr("'c' clip_id", "'a' label", "cast(id as double) onset", "cast(id + 1 as double) offset", "id gt_id")
+        group = f"chain-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        size = matching.one_to_one(matching.collar_pairs(det, gt, .6, .6), ["det_id"], ["gt_id"], points=1000).count()
+        spark.sparkContext.setJobGroup("other", "other")
+        return size, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    (small, few), (large, many) = matched(10), matched(10_000)
+    assert (small, large) == (10, 10_000) and many <= few + 6        # adaptive execution may split off a job or two
+
+
+def test_covered_lengths(spark):
+    det, gt = intervals(8, 90), intervals(9, 70) + [("c0", "a", 1.0, 1.0, 99)]
+    d = spark.createDataFrame(det + [("c9", "a", 0.0, 1.0, 100), ("c0", "a", 3.0, 3.0, 101)], IV + "det_id int")
+    g = spark.createDataFrame(gt, IV + "gt_id int")
+    for points in (matching.POINTS, 3):
+        got = {r.det_id: r.cover for r in matching.covered(d, g, ["clip_id", "label"], d.columns, points).collect()}
+        want = {x[4]: round(sum(max(0.0, min(x[3], y[3]) - max(x[2], y[2])) for y in gt if y[:2] == x[:2]) * matching.TICK) for x in det}
+        assert got == want | {100: 0, 101: 0}
+    assert {r.cover for r in matching.covered(d, g.where("false"), ["clip_id", "label"], d.columns).collect()} == {0}
 
 
 @pytest.mark.parametrize("width", [None, .5, 3.0, 100.0])
@@ -139,4 +208,4 @@ def test_long_runs_stay_in_few_bins(spark):
     # rows that the join reads: at most three bins on each level, whatever the length of a run
     levels = math.ceil(math.log(1000 / .2, matching.GROW)) + 1
     spread = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "Generate" in spread and levels <= 5
+    assert "Generate" in spread and levels <= 8
