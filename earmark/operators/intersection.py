@@ -31,33 +31,45 @@ def intersection_counts(detections: DataFrame, ground_truth: DataFrame, dtc_thre
     truth is found if passing detections cover the share ``gtc_threshold``; a false detection crosses
     into another class if that class covers the share ``cttc_threshold`` of it.
 
-    Covered lengths are differences of running sums along the time line, once from the detections' view and once from the
-    events'; no pairs are formed, so work follows the number of intervals however many of them overlap.
+    Lengths are whole ticks, so equal shares are equal whatever the order of the sums. Detections of one threshold do not
+    overlap each other, so overlapping pairs are about as many as intervals; they and the passing detections are written once.
     """
     if dtc_threshold <= 0 or gtc_threshold <= 0:
         raise ValueError("tolerance thresholds must be positive")
     keys = list(keys)
     det_id = list(det_id) if det_id else [*keys, "clip_id", "label", "det_id"]
-    series = ["clip_id", "label"]
-    ids = list(dict.fromkeys([*det_id, *keys, *series, "onset", "offset"]))
-    judged = cut_lineage(matching.covered(detections, ground_truth, series, ids).withColumn("passed", covers(dtc_threshold)))
-    passed = judged.where("passed")
-    n_sys = judged.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_sys"), F.count(F.when(F.col("passed"), 1)).alias("n_passed"))
-    # events are looked at once for every key under which some detection passes in their clip and class
-    asked = ground_truth.join(passed.select(*keys, *series).distinct(), series)
-    by = [*keys, *series]
-    found = matching.covered(asked, passed.drop("cover", "passed"), by, list(dict.fromkeys([*by, *gt_id, "onset", "offset"])))
-    tp = found.where(covers(gtc_threshold)).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("tp"))
+    by_det, by_gt = list(dict.fromkeys([*det_id, *keys, "label"])), list(dict.fromkeys([*keys, *gt_id, "label"]))
+    pairs = cut_lineage(matching.overlap_pairs(detections, ground_truth, True).select(
+        *dict.fromkeys([*by_det, *by_gt]), "det_onset", "det_offset", "gt_onset", "gt_offset", _shared().alias("cover")))
+    passed = cut_lineage(_covered(pairs, by_det, "det", dtc_threshold).select(*by_det))
+    n_passed = passed.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_passed"))
+    n_sys = detections.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_sys"))
+    found = _covered(pairs.join(passed.select(*det_id), det_id, "left_semi"), by_gt, "gt", gtc_threshold)
+    tp = found.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("tp"))
     n_ref = ground_truth.groupBy("label").agg(F.count(F.lit(1)).alias("n_ref"))
-    counts = (n_sys.join(tp, [*keys, "label"], "left").join(n_ref, "label", "left").na.fill(0, ["tp", "n_ref"])
+    counts = (n_sys.join(n_passed, [*keys, "label"], "left").join(tp, [*keys, "label"], "left").join(n_ref, "label", "left")
+              .na.fill(0, ["tp", "n_ref", "n_passed"])
               .select(*keys, "label", "tp", (F.col("n_sys") - F.col("n_passed")).alias("fp"), "n_ref"))
     crossed = None
     if cttc_threshold is not None:
-        crossed = crossing(judged.where("not passed").drop("cover", "passed"), ground_truth, cttc_threshold)
-        crossed = crossed.groupBy(*keys, "label", "gt_label").agg(F.count(F.lit(1)).alias("ct"))
+        failed = detections.join(passed.select(*det_id), det_id, "left_anti")
+        other = matching.overlap_pairs(failed, ground_truth, False).withColumn("cover", _shared())
+        crossed = _covered(other, [*by_det, "gt_label"], "det", cttc_threshold).groupBy(*keys, "label", "gt_label").agg(
+            F.count(F.lit(1)).alias("ct"))
     return counts, crossed
 
 
+def _shared() -> Column:
+    return matching.ticks(F.least("det_offset", "gt_offset")) - matching.ticks(F.greatest("det_onset", "gt_onset"))
+
+
+def _covered(pairs: DataFrame, by, side: str, share: float) -> DataFrame:
+    """Intervals of one side of which the pairs cover a share."""
+    on, off = f"{side}_onset", f"{side}_offset"
+    whole = pairs.groupBy(*by, on, off).agg(F.sum("cover").alias("cover"))
+    return whole.withColumnsRenamed({on: "onset", off: "offset"}).where(covers(share))
+
+
 def crossing(failed: DataFrame, ground_truth: DataFrame, cttc_threshold: float) -> DataFrame:
     """Rows of ``failed`` once for every other class, as ``gt_label``, that covers the share ``cttc_threshold`` of them."""
     there = ground_truth.select("clip_id", F.col("label").alias("gt_label")).distinct()

@@ -10,7 +10,7 @@ import heapq
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from earmark.scale import cut_lineage, running
 
@@ -128,11 +128,17 @@ def covered(intervals: DataFrame, ground_truth: DataFrame, by, ids, points: int
         F.struct(ticks(F.col("onset")).alias("x"), F.lit(-1).alias("sign")),
         F.struct(ticks(F.col("offset")).alias("x"), F.lit(1).alias("sign")))).alias("_e")).select(*by, "_id", "_e.*")
     width = gt.agg(F.greatest(F.lit(1.0), (F.max("_off") - F.min("_on")) * F.lit(float(points)) / F.count(F.lit(1)))).scalar()
-    rows = ends.unionByName(asks, allowMissingColumns=True).na.fill(0, ["n", "m"])
+    rows = ends.unionByName(asks, allowMissingColumns=True)
     rows = rows.withColumn("_piece", F.floor(F.col("x") / F.coalesce(width, F.lit(1.0))))
-    rows = running(rows, by, "_piece", ["x"], {"_n": ("sum", "n"), "_m": ("sum", "m")}).where("_id is not null")
-    cover = F.sum((F.col("x") * F.col("_n") - F.col("_m")) * F.col("sign"))
-    return rows.groupBy("_id").agg(cover.alias("cover")).select("_id.*", "cover")
+    # what is open or covered before a piece stands at its head, in a row of its own
+    across = W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    heads = rows.groupBy(*by, "_piece").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    heads = heads.select(*by, "_piece", F.sum("n").over(across).alias("n"), F.sum("m").over(across).alias("m"))
+    rows = rows.unionByName(heads.where("n <> 0 or m <> 0"), allowMissingColumns=True)
+    inside = W.partitionBy(*by, "_piece").orderBy(F.col("x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    n, m = (F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in ("n", "m"))
+    rows = rows.withColumn("_upto", F.col("x") * n - m).where("_id is not null")
+    return rows.groupBy("_id").agg(F.sum(F.col("_upto") * F.col("sign")).alias("cover")).select("_id.*", "cover")
 
 
 def one_to_one(pairs: DataFrame, det_id, gt_id, series=("clip_id", "label"), points: int = POINTS) -> DataFrame:
