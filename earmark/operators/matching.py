@@ -43,27 +43,28 @@ def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, same_label: bo
     The finest bins are ``bin_width`` wide, by default twice the mean ground-truth length.
     """
     length = F.col("offset") - F.col("onset")
-    some = ground_truth.where(length > 0).agg(F.struct(
-        F.avg(length).alias("mean"), F.max(length).alias("longest"), F.min("onset").alias("low"), F.max("offset").alias("high")
-    ).alias("s")).scalar()
-    width = F.lit(float(bin_width)) if bin_width is not None else some["mean"] * 2
+    # two rows of bounds, fetched first: as literals they keep the plan small
+    some = ground_truth.where(length > 0).agg(F.avg(length).alias("mean"), F.max(length).alias("longest"), F.min("onset").alias("low"),
+                                              F.max("offset").alias("high")).first()
+    mean, longest, lowest, highest = (float(x or 0.0) for x in some)
+    width = float(bin_width) if bin_width is not None else mean * 2 or 1.0
 
     def level(span):
-        return F.greatest(F.lit(0), F.ceil(F.log(span / width) / math.log(GROW)).cast("int"))
+        return F.greatest(F.lit(0), F.ceil(F.log(span / F.lit(width)) / math.log(GROW)).cast("int"))
 
-    span = F.col("offset") - F.col("onset")
-    top = F.least(level(some["high"] - some["low"]), level(detections.where(span > 0).agg(F.max(span)).scalar()))
+    reach = detections.where(length > 0).agg(F.max(length)).first()[0]
+    top = level(F.lit(min(highest - lowest, float(reach or 0.0))))
 
-    def binned(df, name, highest):
-        """``df`` in the bins of its own level ``_own_<name>`` and of all coarser ones up to ``highest``."""
+    def binned(df, name, top):
+        """``df`` in the bins of its own level ``_own_<name>`` and of all coarser ones up to ``top``."""
         # what lies outside the ground truth overlaps nothing: it needs no bins
-        on, off = F.greatest(F.col(f"{name}_onset"), some["low"]), F.least(F.col(f"{name}_offset"), some["high"])
+        on, off = F.greatest(F.col(f"{name}_onset"), F.lit(lowest)), F.least(F.col(f"{name}_offset"), F.lit(highest))
         df = df.withColumns({"_on": on, "_off": off}).where("_off > _on")
         own = level(F.col("_off") - F.col("_on"))
         df = df.withColumn(f"_own_{name}", own)
-        df = df.withColumn("_level", F.explode(F.sequence(F.col(f"_own_{name}"), F.greatest(F.col(f"_own_{name}"), highest))))
-        size = width * F.pow(F.lit(GROW), F.col("_level"))
-        first, last = (F.floor((F.col(c) - some["low"]) / size).cast("bigint") for c in ("_on", "_off"))
+        df = df.withColumn("_level", F.explode(F.sequence(F.col(f"_own_{name}"), F.greatest(F.col(f"_own_{name}"), top))))
+        size = F.lit(width) * F.pow(F.lit(GROW), F.col("_level"))
+        first, last = (F.floor((F.col(c) - F.lit(lowest)) / size).cast("bigint") for c in ("_on", "_off"))
         return df.withColumn(f"_first_{name}", first).withColumn("_bin", F.explode(F.sequence(first, last))).drop("_on", "_off")
 
     det = detections.withColumnsRenamed({"onset": "det_onset", "offset": "det_offset"}).where("det_offset > det_onset")
@@ -74,7 +75,7 @@ def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, same_label: bo
     else:
         gt = gt.withColumnRenamed("label", "gt_label")
         on = [*keys, "_level", "_bin"]
-    pairs = binned(det, "det", level(some["longest"])).join(binned(gt, "gt", top), on)
+    pairs = binned(det, "det", level(F.lit(longest))).join(binned(gt, "gt", top), on)
     keep = ((F.col("det_onset") < F.col("gt_offset")) & (F.col("gt_onset") < F.col("det_offset"))
             & (F.col("_level") == F.greatest("_own_det", "_own_gt")) & (F.col("_bin") == F.greatest("_first_det", "_first_gt")))
     if not same_label:
