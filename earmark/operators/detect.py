@@ -21,7 +21,7 @@ def linspace(first: float, last: float, n: int) -> list[float]:
 
 def score_intervals(scores: DataFrame, thresholds, series=SERIES, value: str = "score",
                     frame: str = "frame", chunk: int = CHUNK) -> DataFrame:
-    """Maximal runs with ``score > threshold`` as ``(threshold, *series, onset, offset)``.
+    """Maximal runs of successive frames with ``score > threshold`` as ``(threshold, *series, onset, offset)``.
 
     ``thresholds`` is one number, a list of numbers (one result per threshold), a
     ``{label: threshold}`` dict, or a DataFrame ``(label, threshold)``. All thresholds are handled
@@ -51,7 +51,10 @@ def score_intervals(scores: DataFrame, thresholds, series=SERIES, value: str = "
     def edges(part):
         part = with_halo(part, 1, 1, chunk, frame)
         w = chunk_window(series, frame)
-        part = own_rows(part.withColumns({"_prev": F.lag("_s").over(w), "_next": F.lead("_s").over(w)}), chunk, frame)
+        # a missing frame has no score: it ends a run
+        part = part.withColumns({"_prev": F.when(F.lag(frame).over(w) == F.col(frame) - 1, F.lag("_s").over(w)),
+                                 "_next": F.when(F.lead(frame).over(w) == F.col(frame) + 1, F.lead("_s").over(w))})
+        part = own_rows(part, chunk, frame)
         found = F.filter(F.transform(F.filter("_thr", lambda t: s > t), edge), lambda e: e.starts | e.ends)
         return (part.select(*series, frame, "onset", "offset", F.explode(found).alias("_e"))
                 .select(*series, frame, "onset", "offset", "_e.*")

@@ -29,7 +29,7 @@ def _steps(rows: DataFrame, keys, amounts: dict) -> DataFrame:
 
 def _sums(steps: DataFrame, keys, names) -> DataFrame:
     """Running sums of steps from the highest threshold down."""
-    rows = value_buckets(steps, keys, "x")
+    rows = value_buckets(steps, keys, "x", written=True)
     return running(rows, keys, "_bucket", ["x"], {n: ("sum", F.col(n)) for n in names}, backward=True).drop("_bucket")
 
 
@@ -41,8 +41,8 @@ def _found_steps(passed: DataFrame, ground_truth: DataFrame, gtc_threshold: floa
     cover = matching.ticks(F.least("det_offset", "gt_offset")) - matching.ticks(F.greatest("det_onset", "gt_onset"))
     length = matching.ticks(F.col("gt_offset")) - matching.ticks(F.col("gt_onset"))
     by = [*keys, "clip_id", "label", "gt_id", "_length"]
-    steps = _steps(pairs.withColumn("_length", length), by, {"cover": cover})
-    sums = _sums(cut_lineage(steps), by, ["cover"])
+    steps = cut_lineage(_steps(pairs.withColumn("_length", length), by, {"cover": cover}))
+    sums = _sums(steps, by, ["cover"])
     now = (F.col("cover") >= F.lit(float(gtc_threshold)) * F.col("_length")).cast("bigint")
     # a change against the step above: the state above is the running sum without the own step
     rows = sums.join(steps.withColumnRenamed("cover", "_own"), [*by, "x"]).withColumn("_now", now).withColumn(
@@ -95,7 +95,7 @@ def exact_psd_roc(points: DataFrame, max_efpr: float = 100.0, keys=()) -> DataFr
     height left of the step. Classes may have any number of points: windows hold pieces of equal size."""
     by = [*keys, "label"]
     best = points.where(F.col("efpr") <= float(max_efpr)).groupBy(*by, "efpr").agg(F.max("tpr").alias("tpr"))
-    rows = running(value_buckets(cut_lineage(best), by, "efpr"), by, "_bucket", ["efpr"], {"before": ("max", "tpr")}, strict=True)
+    rows = running(value_buckets(best, by, "efpr"), by, "_bucket", ["efpr"], {"before": ("max", "tpr")}, strict=True)
     rows = cut_lineage(rows.withColumn("before", F.coalesce("before", F.lit(0.0))).where("tpr > before"))
     rows = running(rows, by, "_bucket", ["efpr"], {"until": ("min", "efpr")}, backward=True, strict=True)
     return cut_lineage(rows.select(*by, "efpr", "tpr", F.coalesce("until", F.lit(float(max_efpr))).alias("until"), "before"))
@@ -257,7 +257,7 @@ def exact_collar_curve(scores: DataFrame, ground_truth: DataFrame, onset_collar:
     steps = _steps(runs, by, {"n_sys": F.lit(1)}).unionByName(
         collar_steps(runs, ground_truth, onset_collar, offset_collar, offset_collar_rate, keys, gt_id), allowMissingColumns=True)
     steps = cut_lineage(steps.groupBy(*by, "x").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]))
-    rows = value_buckets(steps, by, "x")
+    rows = value_buckets(steps, by, "x", written=True)
     rows = running(rows, by, "_bucket", ["x"], {"_above": ("max", "x")}, strict=True)
     rows = running(rows, by, "_bucket", ["x"], {n: ("sum", F.col(n)) for n in names}, backward=True)
     none = rows.groupBy(*by).agg(F.max("x").alias("_above")).withColumn("x", F.lit(float("inf")))

@@ -1,5 +1,7 @@
 """Time-series filters over long score tables, zero padded at the ends of a series.
 
+Windows count frame numbers, not rows: a missing frame counts as 0 like those outside a series, whatever the size of chunks.
+
 A filter is a pair ``(reach, column)``: how many earlier and later frames it looks at, and the
 Column over an ordered window. User filters can be passed the same way. All filters asked for in
 one call share one shuffle and one sort.
@@ -37,7 +39,7 @@ def _even(n):
 
 
 def _window_sum(value, window, first, last):
-    return F.coalesce(F.sum(value).over(window.rowsBetween(first, last)), F.lit(0.0))
+    return F.coalesce(F.sum(value).over(window.rangeBetween(first, last)), F.lit(0.0))
 
 
 def _mean(value, n, window):
@@ -49,7 +51,7 @@ def _median(value, n, window):
     if n == 1:
         return F.col(value)
     h = (n - 1) // 2
-    seen = F.collect_list(value).over(window.rowsBetween(-h, h))
+    seen = F.collect_list(value).over(window.rangeBetween(-h, h))
     padded = F.concat(seen, F.array_repeat(F.lit(0.0), F.lit(n) - F.size(seen)))
     return F.element_at(F.sort_array(padded), h + 1)
 
@@ -57,7 +59,7 @@ def _median(value, n, window):
 def _max(value, n, window):
     _odd(n)
     h = (n - 1) // 2
-    frame = window.rowsBetween(-h, h)
+    frame = window.rangeBetween(-h, h)
     outside = F.when(F.count(value).over(frame) < n, F.lit(0.0))
     return F.greatest(F.max(value).over(frame), outside)
 
@@ -128,28 +130,42 @@ def filter_series(scores: DataFrame, specs: dict, series=SERIES, value: str = "s
 
 
 def _long_median(scores, out, n, series, value, frame, chunk):
-    """Median over many frames: numpy on chunks of at most ``chunk + n`` rows.
+    """Median over many frames, in numpy."""
+    h = (n - 1) // 2
+
+    def medians(x: np.ndarray, there: np.ndarray) -> np.ndarray:
+        views = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(h), x, np.zeros(h)]), n)
+        views = views[there]
+        parts = np.array_split(views, max(1, views.size // 4_000_000))
+        return np.concatenate([np.partition(p, h, axis=-1)[:, h] for p in parts]), None
+
+    return _dense_chunks(scores, out, h, h, medians, series, value, frame, chunk)
+
+
+def _dense_chunks(scores, out, before, after, work, series, value, frame, chunk):
+    """Add ``out``: what ``work(values, there)`` gives for the frames ``there`` of a dense array of at most
+    ``before + chunk + after`` values, in which missing frames and NULLs are 0; and which of these frames stay (None: all).
 
-    Chunks arrive sorted; complete ones of an Arrow batch are filtered, the last waits for the next batch.
+    Chunks arrive sorted; complete ones of an Arrow batch are worked on, the last waits for the next batch.
     """
-    h = (n - 1) // 2
-    rows = with_halo(scores, h, h, chunk, frame)
-    # as in short medians, no value counts as 0 and NaN as the largest value
+    rows = with_halo(scores, before, after, chunk, frame)
     rows = rows.withColumn("_x", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
     rows = rows.repartition(*series, "_chunk").sortWithinPartitions(*series, "_chunk", frame)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scores.schema) + f", `{out}` double"
     key = [*series, "_chunk"]
 
-    def medians(x: np.ndarray) -> np.ndarray:
-        views = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(h), x, np.zeros(h)]), n)
-        parts = np.array_split(views, max(1, views.size // 4_000_000))
-        return np.concatenate([np.partition(p, h, axis=-1)[:, h] for p in parts])
-
     def finish(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        x = pdf["_x"].to_numpy(dtype="float64")
-        med = np.concatenate([medians(part) for part in np.split(x, starts[1:])])
-        own = (pdf[frame] // chunk == pdf["_chunk"]).to_numpy()
-        return pdf.assign(**{out: med}).loc[own].drop(columns=["_chunk", "_x"])
+        values, frames = pdf["_x"].to_numpy(dtype="float64"), pdf[frame].to_numpy()
+        parts, keep = [], []
+        for x, f in zip(np.split(values, starts[1:]), np.split(frames, starts[1:])):
+            at = f - f[0]
+            dense = np.zeros(int(at[-1]) + 1)
+            dense[at] = x
+            found, stays = work(dense, at)
+            parts.append(found)
+            keep.append(np.ones(len(at), bool) if stays is None else stays)
+        own = (pdf[frame] // chunk == pdf["_chunk"]).to_numpy() & np.concatenate(keep)
+        return pdf.assign(**{out: np.concatenate(parts)}).loc[own].drop(columns=["_chunk", "_x"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []
@@ -159,7 +175,8 @@ def _long_median(scores, out, n, series, value, frame, chunk):
             if waiting:
                 pdf = pd.concat([*waiting, pdf], ignore_index=True)
             ids = pdf[key]
-            starts = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy())
+            starts = np.flatnonzero(((ids != ids.shift()) & ~(ids.isna() & ids.shift().isna())).any(axis=1).to_numpy())
+            starts = np.union1d([0], starts)
             last = starts[-1]
             if last:
                 yield finish(pdf.iloc[:last], starts[:-1])
@@ -201,47 +218,34 @@ def _one(scores, kind, n, out, value="score", **kw):
 
 def correlate(scores: DataFrame, kernel, mode: str = "same", series=SERIES, value: str = "score",
               out: str = "score", frame: str = "frame", chunk: int = CHUNK) -> DataFrame:
-    """Cross-correlation with a literal kernel; returns series, frame and ``out``.
+    """Cross-correlation with a kernel; returns series, frame and ``out``.
 
-    ``same`` keeps the frames, ``valid`` drops the last n-1, ``full`` adds n-1. A series shorter
-    than the kernel raises.
+    ``same`` keeps the frames, ``valid`` those from which on as many frames as the kernel has taps follow each other, ``full``
+    adds n-1 frames at the end. What is not there counts as 0, so a series shorter than the kernel has a result too; in
+    ``valid`` it has no frames. Chunks are convolved as arrays: the plan does not grow with the kernel.
     """
     if mode not in ("same", "valid", "full"):
         raise ValueError(mode)
-    kernel = [float(c) for c in kernel]
+    kernel = np.array([float(c) for c in kernel])
     n, series = len(kernel), list(series)
-    chunk = max(chunk, 2 * n)
-    rows = scores.select(*series, frame, value)
-    if mode == "full":
+    rows = scores.select(*series, F.col(frame).cast("bigint").alias(frame), F.col(value).cast("double").alias("_value"))
+    if mode == "full" and n > 1:
         tail = (rows.groupBy(*series).agg(F.max(frame).alias("_last"))
                 .select(*series, F.explode(F.sequence(F.col("_last") + 1, F.col("_last") + n - 1)).alias(frame)))
-        if n > 1:
-            rows = rows.unionByName(tail.withColumn(value, F.lit(None).cast("double")))
+        rows = rows.unionByName(tail.withColumn("_value", F.lit(None).cast("double")))
     base = {"same": -(n // 2), "valid": 0, "full": -(n - 1)}[mode]
-    rows = with_halo(rows, -base, max(base + n - 1, 0), chunk, frame)
-    window = chunk_window(series, frame)
-    real = F.count(value).over(window.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    terms = []
-    for k, c in enumerate(kernel):
-        shift = base + k
-        x = F.col(value) if shift == 0 else (
-            F.lead(value, shift).over(window) if shift > 0 else F.lag(value, -shift).over(window))
-        terms.append(F.coalesce(x, F.lit(0.0)) * F.lit(c))
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    rows = rows.withColumn(out if out != value else "_out", total).withColumn("_real", real)
-    if mode == "valid":
-        complete = F.count(F.lit(1)).over(window.rowsBetween(0, n - 1)) == n
-        rows = rows.withColumn("_complete", complete)
-    else:
-        rows = rows.withColumn("_complete", F.lit(True))
-    result = F.col(out if out != value else "_out")
-    checked = F.when((F.col("_chunk") == 0) & (F.col("_real") < n),
-                     F.raise_error(F.lit("kernel is longer than the series"))).otherwise(result)
-    rows = own_rows(rows, chunk, frame).where(
-        F.col("_complete") | ((F.col("_chunk") == 0) & (F.col("_real") < n)))
-    return rows.select(*series, frame, checked.cast("double").alias(out))
+
+    def convolved(x: np.ndarray, there: np.ndarray) -> np.ndarray:
+        sums = np.correlate(np.concatenate([np.zeros(n), x, np.zeros(n)]), kernel, "valid")[there + n + base]
+        if mode == "valid":
+            present = np.zeros(len(x) + n)
+            present[there] = 1
+            whole = np.convolve(present, np.ones(n), "full")[n - 1:][there] == n
+            return sums, whole
+        return sums, None
+
+    done = _dense_chunks(rows, "_out", -base, max(base + n - 1, 0), convolved, series, "_value", frame, max(chunk, 2 * n))
+    return done.select(*series, frame, F.col("_out").alias(out))
 
 
 def filter_by_length(scores: DataFrame, kind: str, lengths, series=SERIES, value: str = "score",

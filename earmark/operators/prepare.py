@@ -111,7 +111,7 @@ def shuffled_index(rows: DataFrame, ids, seed: int = 0, epoch: int = 0, keys=(),
 
 def ordered_index(rows: DataFrame, order: str, ids=(), keys=("dataset",), name: str = "index", **kw) -> DataFrame:
     """Position of each row per ``keys`` in the order of a numeric column."""
-    rows = value_buckets(rows, keys, order, name="_b", **kw)
+    rows = value_buckets(rows, keys, order, name="_b", ties=ids, **kw)
     return running_index(rows, keys, "_b", [order, *ids], name).drop("_b")
 
 

@@ -29,35 +29,24 @@ def _corr(kernel, base):
 _KERNEL = [0.5, -1.0, 2.0, 0.25]
 
 
-# the kernel must fit every series
-_FIT = f"""fit AS (SELECT * FROM v_scores WHERE (clip_id, label) IN (
-  SELECT (clip_id, label) FROM v_scores WHERE frame >= {len(_KERNEL) - 1}))"""
-
-
-def _long_enough(scores):
-    n = scores.groupBy("clip_id", "label").agg(F.max("frame").alias("_last")).where(f"_last >= {len(_KERNEL) - 1}")
-    return scores.join(n.select("clip_id", "label"), ["clip_id", "label"], "left_semi")
-
-
-@query("w1_correlate_same", f"""WITH {_FIT}
-SELECT clip_id, label, frame, round({_corr(_KERNEL, -2)}, 6) AS score FROM fit""", "v_scores")
+@query("w1_correlate_same", f"""
+SELECT clip_id, label, frame, round({_corr(_KERNEL, -2)}, 6) AS score FROM v_scores""", "v_scores")
 def correlate_same(spark, sf_dir):
-    return _out(filters.correlate(_long_enough(v.scores(spark, sf_dir)), _KERNEL, "same"))
+    return _out(filters.correlate(v.scores(spark, sf_dir), _KERNEL, "same"))
 
 
-@query("w1_correlate_valid", f"""WITH {_FIT}
+@query("w1_correlate_valid", f"""
 SELECT clip_id, label, frame, round(s, 6) AS score FROM (
-  SELECT clip_id, label, frame, {_corr(_KERNEL, 0)} AS s, lead(score, 3) OVER {_W}) IS NOT NULL AS ok FROM fit) WHERE ok""", "v_scores")
+  SELECT clip_id, label, frame, {_corr(_KERNEL, 0)} AS s, lead(score, 3) OVER {_W}) IS NOT NULL AS ok FROM v_scores) WHERE ok""", "v_scores")
 def correlate_valid(spark, sf_dir):
-    return _out(filters.correlate(_long_enough(v.scores(spark, sf_dir)), _KERNEL, "valid"))
+    return _out(filters.correlate(v.scores(spark, sf_dir), _KERNEL, "valid"))
 
 
-@query("w1_correlate_full", f"""WITH {_FIT},
-terms AS (SELECT clip_id, label, frame + 3 - k AS frame, score * c AS t
-          FROM fit, (VALUES {", ".join(f"({k}, {c}e0)" for k, c in enumerate(_KERNEL))}) z(k, c))
+@query("w1_correlate_full", f"""WITH terms AS (SELECT clip_id, label, frame + 3 - k AS frame, score * c AS t
+          FROM v_scores, (VALUES {", ".join(f"({k}, {c}e0)" for k, c in enumerate(_KERNEL))}) z(k, c))
 SELECT clip_id, label, frame, round(sum(t), 6) AS score FROM terms GROUP BY 1, 2, 3""", "v_scores")
 def correlate_full(spark, sf_dir):
-    return _out(filters.correlate(_long_enough(v.scores(spark, sf_dir)), _KERNEL, "full"))
+    return _out(filters.correlate(v.scores(spark, sf_dir), _KERNEL, "full"))
 
 
 @query("w2_meanfilt", f"""

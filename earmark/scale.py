@@ -7,14 +7,15 @@ across, so the largest unit of work is a chunk, not a key.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 CHUNK = 8192          # frames of one series handled together
-ROWS_PER_BUCKET = 1_000_000  # a key with more rows is cut at its own quantiles
-SPLIT = 16            # a hot key is cut into SPLIT * SPLIT value ranges
+ROWS_PER_BUCKET = 1_000_000  # more rows are cut into ranges of their values
+BUCKETS_PER_LIMIT = 4  # bounds come from a sample, so ranges aim at a part of the limit
 
 
 # ---------------------------------------------------------------- shared storage
@@ -166,31 +167,18 @@ def hash_bucket(key: Column, bits: int = 12) -> Column:
 # ---------------------------------------------------------------- value buckets
 
 def value_buckets(df: DataFrame, keys, value: str, rows_per_bucket: int = ROWS_PER_BUCKET,
-                  name: str = "_bucket") -> DataFrame:
-    """Add a bucket number that is monotone in ``value`` within ``keys``.
+                  name: str = "_bucket", ties=(), written: bool = False) -> DataFrame:
+    """Add a bucket number that is monotone in ``value`` within ``keys``; buckets are about equally large.
 
-    Keys with at most ``rows_per_bucket`` rows keep one bucket. Larger keys are cut at their own
-    quantiles, so any distribution of values spreads evenly.
+    Rows are written once (unless ``written`` says they are) and counted. If they need more than one bucket, Spark deals them
+    out by ranges of ``keys, value, ties``: as many ranges as the count asks for, with bounds from a sample. Columns in ``ties``
+    spread rows of one value over several buckets, so an order by ``value`` and ``ties`` has no piece that cannot be cut.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("value_buckets needs at least one key column")
-    cuts = SPLIT * SPLIT
-    quantiles = [i / cuts for i in range(1, cuts)]
-    # cut points may come from a part of the values: every row is kept, only the sizes of the pieces vary
-    every = max(1, rows_per_bucket // (4 * cuts))
-    looked_at = F.when(F.pmod(F.xxhash64(value), F.lit(every)) == 0, F.col(value))
-    bounds = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(looked_at, quantiles, 4 * cuts).alias("_q"))
-    # one head per SPLIT bounds: two short searches replace one long search
-    heads = F.filter("_q", lambda _, i: (i > 0) & (i % SPLIT == 0))
-    hot = F.col("_n") > rows_per_bucket
-    bounds = bounds.where(hot).select(*keys, "_q", heads.alias("_heads"))
-    x = F.col(value)
-    # separate columns, so that neither search is evaluated twice
-    rows = join_same(df, bounds, keys, "left").withColumn("_head", F.size(F.filter("_heads", lambda b: b <= x)))
-    rows = rows.withColumn("_tail", F.size(F.filter(
-        F.slice("_q", F.col("_head") * SPLIT + 1, F.lit(SPLIT)), lambda b: b <= x)))
-    bucket = F.when(F.col("_q").isNull(), F.lit(0)).otherwise(F.col("_head") * SPLIT + F.col("_tail"))
-    return rows.withColumn(name, bucket).drop("_q", "_heads", "_head", "_tail")
+    rows = df if written else cut_lineage(df)
+    pieces = math.ceil(BUCKETS_PER_LIMIT * rows.count() / rows_per_bucket)
+    if pieces <= BUCKETS_PER_LIMIT:
+        return rows.withColumn(name, F.lit(0))
+    return cut_lineage(rows.repartitionByRange(pieces, *keys, value, *ties).withColumn(name, F.spark_partition_id()))

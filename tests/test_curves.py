@@ -5,6 +5,7 @@ import pytest
 
 from earmark.operators import curves, instance
 
+# fixed values: published example
 TARGETS = [1, 1, 0, 1, 0, 0, 0, 0, 0]
 SCORES = [0.6, 0.2, 0.5, 0.4, 0.3, 0.1, 0.7, 0.0, 0.0]
 INF = math.inf

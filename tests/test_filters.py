@@ -83,9 +83,50 @@ def test_correlate(spark, mode, n, chunk):
         assert got[k] == pytest.approx(np.correlate(x, kernel, mode=mode).tolist(), abs=1e-9)
 
 
-def test_correlate_refuses_short_series(spark):
-    with pytest.raises((PySparkException, Py4JError), match="longer than the series"):
-        filters.correlate(frames(spark, {("x", "a"): [1.0, 2.0]}), [1, 1, 1]).collect()
+@pytest.mark.parametrize("mode", ["same", "valid", "full"])
+def test_correlate_short_series_and_long_kernels(spark, mode):
+    rng = np.random.default_rng(5)
+    series = {("x", "a"): [1.0, 2.0], ("y", "a"): rng.normal(size=3000).tolist()}
+    kernel = rng.normal(size=1001)
+    df = filters.correlate(frames(spark, series), kernel, mode, chunk=2048)
+    got = back(df)
+    assert got[("y", "a")] == pytest.approx(np.correlate(series[("y", "a")], kernel, mode=mode).tolist(), abs=1e-6)
+    base = {"same": -500, "valid": 0, "full": -1000}[mode]
+    x = series[("x", "a")]
+    short = [sum(kernel[i - f - base] * x[i] for i in range(2) if 0 <= i - f - base < 1001) for f in range(2 + 1000 * (mode == "full"))]
+    assert got.get(("x", "a"), []) == ([] if mode == "valid" else pytest.approx(short))
+    small = filters.correlate(frames(spark, series), [1.0, 2.0], mode, chunk=2048)
+    nodes = [d._jdf.queryExecution().optimizedPlan().toString().count("\n") for d in (df, small)]
+    assert nodes[0] == nodes[1]
+
+
+def test_missing_frames_do_not_depend_on_chunks(spark):
+    """A missing frame counts as 0 and ends a run."""
+    there = [5, 6, 7, 9, 10, 30, 31]
+    value = {f: float(f % 7 + 1) for f in there}
+    rows = [("c", "a", f, f * .02, f * .02 + .02, value[f]) for f in there]
+    df = spark.createDataFrame(rows, "clip_id string, label string, frame bigint, onset double, offset double, score double")
+    x = [value.get(f, 0.0) for f in range(-60, 100)]
+
+    def window(f, a, b):
+        return x[60 + f + a:60 + f + b + 1]
+
+    want = {
+        "mean": lambda f: sum(window(f, -2, 2)) / 5, "median": lambda f: sorted(window(f, -2, 2))[2], "max": lambda f: max(window(f, -2, 2)),
+        "long": lambda f: sorted(window(f, -27, 27))[27], "step": lambda f: (sum(window(f, 0, 1)) - sum(window(f, -2, -1))) / 2}
+    for chunk in (8, 8192):
+        done = filters.filter_series(df, {"mean": ("mean", 5), "median": ("median", 5), "max": ("max", 5), "long": ("median", 55), "step": ("step", 4)},
+                                     chunk=chunk).collect()
+        assert sorted(r.frame for r in done) == there
+        for r in done:
+            for name, fn in want.items():
+                assert r[name] == pytest.approx(fn(r.frame)), (chunk, name, r.frame)
+        same = {r.frame: r.score for r in filters.correlate(df, [1.0, 10.0, 100.0], "same", chunk=chunk).collect()}
+        assert same == {f: pytest.approx(sum(w * v for w, v in zip((1, 10, 100), window(f, -1, 1)))) for f in there}
+        valid = filters.correlate(df, [1.0, 10.0], "valid", chunk=chunk).collect()
+        assert sorted(r.frame for r in valid) == [5, 6, 9, 30]
+        runs = detect.score_intervals(df, .5, chunk=chunk).collect()
+        assert sorted((round(r.onset / .02), round(r.offset / .02)) for r in runs) == [(5, 8), (9, 11), (30, 32)]
 
 
 def test_lengths_are_checked():

@@ -76,6 +76,22 @@ def test_index_with_hot_key_cut_into_buckets(spark):
     assert sizes.agg(F.max("count")).first()[0] <= 100
 
 
+def test_buckets_cut_ties_and_many_values(spark):
+    tied = spark.range(20_000).select(F.lit("hot").alias("dataset"), F.lit(1.0).alias("x"), "id").unionByName(
+        spark.range(300).select(F.lit("cold").alias("dataset"), F.rand(1).alias("x"), "id")).withColumn(
+        "x", F.when(F.col("id") % 50 == 7, None).otherwise(F.col("x")))
+    cut = value_buckets(tied, ["dataset"], "x", 1000, ties=["id"])
+    assert cut.groupBy("dataset", "_bucket").count().agg(F.max("count")).first()[0] <= 1000 and cut.count() == 20_300
+    ranges = cut.groupBy("_bucket").agg(F.min(F.struct("dataset", "x", "id")).alias("low"), F.max(F.struct("dataset", "x", "id")).alias("high"))
+    rows = sorted(ranges.collect(), key=lambda r: r["_bucket"])
+    key = lambda s: (s.dataset, s.x is not None, s.x or 0, s.id)
+    assert all(key(a.high) < key(b.low) for a, b in zip(rows, rows[1:]))
+    many = spark.range(1_000_000).select(F.lit("k").alias("dataset"), F.rand(3).alias("x"))
+    assert value_buckets(many, ["dataset"], "x", 20_000).groupBy("_bucket").count().agg(F.max("count")).first()[0] <= 20_000
+    got = prepare.ordered_index(tied, "x", ["id"], rows_per_bucket=1000).where("dataset = 'hot'").orderBy("index").collect()
+    assert [r["index"] for r in got] == list(range(20_000)) and [key(r) for r in got] == sorted(map(key, got))
+
+
 def test_batches(spark):
     df = spark.range(403).select(F.col("id").cast("string").alias("clip_id"), (F.col("id") % 50 + 100).alias("seq_len"))
     rows = prepare.batches(df, 16, max_padding_rate=.1).collect()
