@@ -90,6 +90,10 @@ def test_windows_match_brute_force(spark):
             for _ in range(rng.randint(0, 2)):
                 own[rng.randrange(len(own))] = "changed"
             text[rng.randint(0, len(text)):0] = own
+        elif d % 3 == 1:                                     # copies of long items that stay similar: edits at their ends
+            own = rng.choice([t for _, t in items if len(t.split()) >= 30]).split()
+            own[rng.choice([0, -1])] = rng.choice(["changed", own[0]])
+            text[rng.randint(0, len(text)):0] = own
         docs.append((d, " ".join(text)))
     docs += [(100, None), (101, ""), (102, items[0][1]), (None, items[3][1]), (0, docs[0][1])]
     documents = spark.createDataFrame([(d, t, 1.0) for d, t in docs], "doc_id long, text string, similarity double")
