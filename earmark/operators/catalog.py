@@ -59,6 +59,17 @@ def ontology_lists(nodes: DataFrame, closure: DataFrame, descendants: DataFrame
     return rows.withColumns({c: F.coalesce(F.col(c), none) for c in ("ancestor_names", "descendant_names")})
 
 
+def ontology_members(nodes: DataFrame, closure: DataFrame) -> DataFrame:
+    """``name, ancestor_names, descendant``: a row per descendant of every node, one with NULL for a leaf.
+
+    Ancestors are as many as the ontology is deep and fit an array; descendants may be data, so they stay rows.
+    """
+    above = closure.groupBy(F.col("node").alias("name")).agg(F.sort_array(F.collect_set("ancestor")).alias("ancestor_names"))
+    below = closure.select(F.col("ancestor").alias("name"), F.col("node").alias("descendant"))
+    rows = nodes.select("name").join(above, "name", "left").join(below, "name", "left")
+    return rows.withColumn("ancestor_names", F.coalesce("ancestor_names", F.array().cast("array<string>")))
+
+
 def add_ancestor_events(events: DataFrame, closure: DataFrame, classes: DataFrame) -> DataFrame:
     """Add every ancestor in ``classes`` of each event in ``classes``, with the same times and type."""
     wanted = classes.select("label")

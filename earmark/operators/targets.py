@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from earmark.functions.labels import samples_to_frames, seconds_to_samples
+from earmark.scale import CHUNK, chunk_of, running
 
 
-def label_boundaries(events: DataFrame) -> DataFrame:
+def label_boundaries(events: DataFrame, keys=("clip_id",)) -> DataFrame:
     """First start and last stop per clip and class over ``boundaries`` and ``strong`` labels."""
     return (events.where(F.col("label_type").isin("boundaries", "strong"))
-            .groupBy("clip_id", "label").agg(F.min("start").alias("start"), F.max("stop").alias("stop")))
+            .groupBy(*keys, "label").agg(F.min("start").alias("start"), F.max("stop").alias("stop")))
 
 
 def boundaries_from_events(events: DataFrame, mode: str = "last") -> DataFrame:
@@ -32,34 +33,44 @@ def weak_targets(clips: DataFrame, classes, events: str = "events") -> DataFrame
 
 
 def frame_targets(clips: DataFrame, events: DataFrame, classes, kind: str = "strong",
-                  unlabeled: str = "unlabeled") -> DataFrame:
-    """``(clip_id, frame, label, target)`` for ``kind`` ``strong`` or ``boundaries``.
+                  unlabeled: str = "unlabeled", keys=("clip_id",)) -> DataFrame:
+    """``(keys, frame, label, target)`` for ``kind`` ``strong`` or ``boundaries``.
 
-    ``clips (clip_id, seq_len, unlabeled)``; ``events (clip_id, label, label_type, start, stop)`` in
-    frames, half open. A frame is 1 inside a label of the kind. Elsewhere it is .5 when the clip is
-    unlabeled or a coarser label of the class covers it, else 0. Labels are unfolded to the frames they
-    cover and aggregated, so no range join is needed.
+    ``clips (keys, seq_len, unlabeled)``; ``events (keys, label, label_type, start, stop)`` in frames, half open. ``keys`` name a
+    clip, such as ``dataset, clip_id``. A frame is 1 inside a label of the kind. Elsewhere it is .5 when the clip is unlabeled or
+    a coarser label of the class covers it, else 0.
+
+    A sweep over the borders of labels gives stretches of equal targets for every clip and class; they are joined and shuffled
+    as such and unfold to frames last.
     """
     if kind not in ("strong", "boundaries"):
         raise ValueError(kind)
-    fine = F.col("label_type") == "strong" if kind == "strong" else F.col("label_type").isin("boundaries", "strong")
-    bounded = (events.join(clips.select("clip_id", "seq_len"), "clip_id")
-               .withColumns({"start": F.greatest(F.col("start"), F.lit(0)),
-                             "stop": F.least(F.col("stop"), F.col("seq_len"))}))
-    spans = bounded.where("stop > start").select("clip_id", "label", "start", "stop", F.lit(False).alias("_fine"))
+    keys, classes = list(keys), list(classes)
+    by, flag = [*keys, "label"], F.col(unlabeled).alias("_unlabeled")
+    lengths = clips.where("seq_len > 0").select(*keys, F.col("seq_len").cast("bigint").alias("_len"), flag)
+    bounded = (events.where(F.col("label").isin(classes)).join(lengths.select(*keys, "_len"), keys)
+               .withColumns({"start": F.greatest(F.col("start"), F.lit(0)), "stop": F.least(F.col("stop"), F.col("_len"))}))
+    spans = bounded.where("stop > start").select(*by, "start", "stop", F.lit(0).alias("_fine"))
     if kind == "strong":
-        exact = bounded.where(fine).where("stop > start").select("clip_id", "label", "start", "stop")
+        exact = bounded.where("label_type = 'strong' and stop > start").select(*by, "start", "stop")
     else:
-        exact = label_boundaries(bounded).where("stop > start")
-    spans = spans.unionByName(exact.withColumn("_fine", F.lit(True)))
-    frames = spans.select("clip_id", "label", "_fine", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("frame"))
-    covered = frames.groupBy("clip_id", "label", "frame").agg(F.bool_or("_fine").alias("_fine"))
-    grid = (clips.where("seq_len > 0")
-            .select("clip_id", unlabeled, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("seq_len").cast("bigint") - 1)).alias("frame"))
-            .withColumn("label", F.explode(F.array(*[F.lit(c) for c in classes]))))
-    rows = grid.join(covered, ["clip_id", "label", "frame"], "left")
-    target = (F.when(F.col("_fine"), 1.0).when(F.col(unlabeled) | F.col("_fine").isNotNull(), 0.5).otherwise(0.0))
-    return rows.select("clip_id", "frame", "label", target.alias("target"))
+        exact = label_boundaries(bounded, keys).where("stop > start")
+    spans = spans.unionByName(exact.withColumn("_fine", F.lit(1)))
+    border = F.explode(F.array(F.struct(F.col("start").cast("bigint").alias("frame"), F.lit(1).alias("any"), F.col("_fine").alias("fine")),
+                               F.struct(F.col("stop").cast("bigint").alias("frame"), F.lit(-1).alias("any"), (-F.col("_fine")).alias("fine"))))
+    borders = spans.select(*by, border.alias("_b")).select(*by, "_b.*")
+    heads = lengths.select(*keys, "_len", "_unlabeled", F.explode(F.array(*[F.lit(c) for c in classes])).alias("label"),
+                           F.lit(0).cast("bigint").alias("frame"), F.lit(0).alias("any"), F.lit(0).alias("fine"))
+    points = heads.unionByName(borders, allowMissingColumns=True).groupBy(*by, "frame").agg(
+        F.max("_len").alias("_len"), F.max("_unlabeled").alias("_unlabeled"), F.sum("any").alias("any"), F.sum("fine").alias("fine"))
+    # what only the head knows is handed on as a running maximum; the last stretch ends with the clip
+    points = running(points.withColumn("_chunk", chunk_of("frame", CHUNK)), by, "_chunk", ["frame"], {
+        "_in": ("sum", "any"), "_sure": ("sum", "fine"), "_end": ("max", "_len"), "_open": ("max", F.col("_unlabeled").cast("int"))})
+    points = running(points, by, "_chunk", ["frame"], {"_next": ("min", "frame")}, backward=True, strict=True)
+    target = F.when(F.col("_sure") > 0, 1.0).when((F.col("_open") > 0) | (F.col("_in") > 0), 0.5).otherwise(0.0)
+    stretches = points.where("frame < _end").select(
+        *by, target.alias("target"), F.explode(F.sequence("frame", F.coalesce("_next", "_end") - 1)).alias("frame"))
+    return stretches.select(*keys, "frame", "label", "target")
 
 
 def events_to_frames(events: DataFrame, rate: int = 16000, shift: int = 320) -> DataFrame:

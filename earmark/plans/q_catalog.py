@@ -74,19 +74,16 @@ def ontology_closure(spark, sf_dir):
 
 
 @query("j5_ontology_lists", """
-SELECT name, a AS ancestors, d AS descendants FROM (SELECT DISTINCT parent AS name FROM v_ontology UNION SELECT child FROM v_ontology)
+SELECT name, a AS ancestors, node AS descendant FROM (SELECT DISTINCT parent AS name FROM v_ontology UNION SELECT child FROM v_ontology)
 LEFT JOIN (SELECT node AS name, string_agg(ancestor, ',' ORDER BY ancestor) AS a FROM v_closure GROUP BY 1) USING (name)
-LEFT JOIN (SELECT ancestor AS name, string_agg(node, ',' ORDER BY node) AS d FROM v_closure
-           GROUP BY 1) USING (name)""", "v_closure")
+LEFT JOIN (SELECT ancestor AS name, node FROM v_closure) USING (name)""", "v_closure")
 def ontology_lists(spark, sf_dir):
+    """Ancestors of every node, and each of its descendants as a row."""
     edges = cut_lineage(v.ontology(spark, sf_dir))
     nodes = edges.select(F.col("parent").alias("name")).union(edges.select("child")).distinct()
-    closure = catalog.ontology_closure(edges)
-    lists = catalog.ontology_lists(nodes, closure)
-
-    def text(c):
-        return F.when(F.size(c) > 0, F.array_join(c, ","))
-    return lists.select("name", text("ancestor_names").alias("ancestors"), text("descendant_names").alias("descendants"))
+    rows = catalog.ontology_members(nodes, catalog.ontology_closure(edges))
+    names = F.when(F.size("ancestor_names") > 0, F.array_join("ancestor_names", ","))
+    return rows.select("name", names.alias("ancestors"), "descendant")
 
 
 @query("j6_ancestor_events", """

@@ -298,12 +298,13 @@ def label_boundaries(spark, sf_dir):
 
 
 _STRONG_WHERE = "WHERE label_type = 'strong'"
-_SUMMARY = "SELECT clip_id, label, target, count(*) AS n, CAST(sum(frame) AS BIGINT) AS frames FROM ({}) GROUP BY 1, 2, 3"
+_SUMMARY = "SELECT clip_id, label, target, count(*) AS n, CAST(sum(frame) AS BIGINT) AS frames, CAST(sum(1::BIGINT << frame) AS BIGINT) AS mask FROM ({}) GROUP BY 1, 2, 3"
 
 
 def _summary(rows):
-    """Frames per clip, class and target value: number and sum of positions."""
-    return tidy(rows.groupBy("clip_id", "label", "target").agg(F.count(F.lit(1)).alias("n"), F.sum("frame").alias("frames")))
+    """Frames per clip, class and target value: number, sum of positions, and a bit for every frame."""
+    bit = F.expr("shiftleft(1L, cast(frame as int))")
+    return tidy(rows.groupBy("clip_id", "label", "target").agg(F.count(F.lit(1)).alias("n"), F.sum("frame").alias("frames"), F.sum(bit).alias("mask")))
 
 
 @query("f5_boundary_targets", f"WITH {_LINES} {_SUMMARY.format(_TARGET.format(fine='lb', where=''))}")

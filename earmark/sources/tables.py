@@ -57,6 +57,32 @@ def write_wide_scores(scores: DataFrame, path: str, classes) -> None:
      .write.mode("overwrite").partitionBy("clip_id").csv(path, sep="\t", header=True))
 
 
+def read_wide_scores(spark: SparkSession, path: str, frame_length: float | None = None) -> DataFrame:
+    """Wide score files back as ``clip_id, onset, offset, label, score`` (and ``frame`` where ``frame_length`` is given).
+
+    Files are TSV, one folder ``clip_id=...`` per clip; each has a header of its own, ``onset, offset`` and any classes in any
+    order. Lines are read as text, so files are split as Spark likes; only headers are looked up, by their file. Empty cells are
+    left out. A clip may have several files. Files without lines below the header give nothing.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=False).select(
+        F.col("value"), F.col("_metadata.file_path").alias("_file"),
+        *(["clip_id"] if _partitioned(spark, path) else [F.lit(None).cast("string").alias("clip_id")]))
+    is_head = F.col("value").startswith("onset\t")
+    heads = lines.where(is_head).select("_file", F.split("value", "\t").alias("_names")).dropDuplicates(["_file"])
+    rows = lines.where(~is_head & (F.col("value") != "")).join(heads, "_file").withColumn("_cells", F.split("value", "\t"))
+    cell = F.explode(F.arrays_zip(F.slice("_names", 3, 1 << 20).alias("label"), F.slice("_cells", 3, 1 << 20).alias("score")))
+    rows = rows.select(F.col("clip_id").cast("string").alias("clip_id"), F.get("_cells", F.lit(0)).cast("double").alias("onset"),
+                       F.get("_cells", F.lit(1)).cast("double").alias("offset"), cell.alias("_c"))
+    rows = rows.select("clip_id", "onset", "offset", "_c.label", F.col("_c.score").try_cast("double").alias("score")).where("score is not null")
+    if frame_length is not None:
+        rows = rows.withColumn("frame", F.round(F.col("onset") / F.lit(float(frame_length))).cast("bigint"))
+    return rows
+
+
+def _partitioned(spark: SparkSession, path: str) -> bool:
+    return "clip_id" in spark.read.text(path).columns
+
+
 # ---------------------------------------------------------------- detections
 
 def write_threshold_detections(scores: DataFrame, path: str, thresholds=None) -> None:
@@ -75,6 +101,10 @@ def write_detections(detections: DataFrame, path: str) -> None:
     detections.select("clip_id", "onset", "offset", "label").write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
+def read_detections(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", header=True, schema="clip_id string, onset double, offset double, label string")
+
+
 def pseudo_label_rows(clips: DataFrame, detections: DataFrame) -> DataFrame:
     """``filename, onset, offset, event_label``; a clip without events keeps one row of empty cells."""
     return clips.select("clip_id").distinct().join(detections, "clip_id", "left").select(

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -155,6 +156,31 @@ def test_unlabeled_and_coarse_targets(spark):
     assert got == {("w", "a"): .5, ("w", "b"): 0.0, ("u", "a"): .5, ("u", "b"): .5}
 
 
+@pytest.mark.parametrize("kind", ["strong", "boundaries"])
+def test_every_frame_of_random_labels(spark, kind):
+    rng = random.Random(1)
+    clips = [(d, str(c), rng.choice([0, 1, 7, 40]), rng.random() < .3) for d in "xy" for c in range(12)]
+    ev = [(d, c, rng.choice("abz"), rng.choice(["weak", "boundaries", "strong"]), s := rng.randint(-3, 45), s + rng.randint(-1, 12))
+          for d, c, *_ in clips for _ in range(rng.randint(0, 7))]
+    df = spark.createDataFrame(clips, "dataset string, clip_id string, seq_len int, unlabeled boolean")
+    labels = spark.createDataFrame(ev, "dataset string, clip_id string, label string, label_type string, start int, stop int")
+    out = targets.frame_targets(df, labels, ["a", "b"], kind, keys=("dataset", "clip_id"))
+    got = {(r.dataset, r.clip_id, r.frame, r.label): r.target for r in out.collect()}
+    want = {}
+    for d, c, n, unlabeled in clips:
+        for label in "ab":
+            own = [(t, max(s, 0), min(e, n)) for dd, cc, l, t, s, e in ev if (dd, cc, l) == (d, c, label)]
+            fine = [(s, e) for t, s, e in own if t == "strong" or (t == "boundaries" and kind == "boundaries")]
+            if kind == "boundaries" and fine:
+                fine = [(min(s for s, _ in fine), max(e for _, e in fine))]
+            for f in range(n):
+                want[d, c, f, label] = (1.0 if any(s <= f < e for s, e in fine) else
+                                        .5 if unlabeled or any(s <= f < e for _, s, e in own) else 0.0)
+    assert got == want and out.count() == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[:plan.index("Generate explode(sequence")]
+
+
 def test_label_counting_keeps_null_and_empty_apart(spark):
     clips = spark.createDataFrame([("d", "n", None), ("d", "e", []), ("d", "x", [(0.0, 1.0, "a", "weak")] * 2)],
                                   f"dataset string, clip_id string, events {EVENTS}").withColumn("dataset_reps", F.lit(3))
