@@ -48,28 +48,26 @@ def frame_targets(clips: DataFrame, events: DataFrame, classes, kind: str = "str
     keys, classes = list(keys), list(classes)
     by, flag = [*keys, "label"], F.col(unlabeled).alias("_unlabeled")
     lengths = clips.where("seq_len > 0").select(*keys, F.col("seq_len").cast("bigint").alias("_len"), flag)
-    bounded = (events.where(F.col("label").isin(classes)).join(lengths.select(*keys, "_len"), keys)
+    bounded = (events.where(F.col("label").isin(classes)).join(lengths, keys)
                .withColumns({"start": F.greatest(F.col("start"), F.lit(0)), "stop": F.least(F.col("stop"), F.col("_len"))}))
-    spans = bounded.where("stop > start").select(*by, "start", "stop", F.lit(0).alias("_fine"))
+    spans = bounded.where("stop > start").select(*by, "_unlabeled", "start", "stop", F.lit(0).alias("_fine"))
     if kind == "strong":
-        exact = bounded.where("label_type = 'strong' and stop > start").select(*by, "start", "stop")
+        exact = bounded.where("label_type = 'strong' and stop > start").select(*by, "_unlabeled", "start", "stop")
     else:
-        exact = label_boundaries(bounded, keys).where("stop > start")
+        exact = label_boundaries(bounded, [*keys, "_unlabeled"]).where("stop > start")
     spans = spans.unionByName(exact.withColumn("_fine", F.lit(1)))
     border = F.explode(F.array(F.struct(F.col("start").cast("bigint").alias("frame"), F.lit(1).alias("any"), F.col("_fine").alias("fine")),
                                F.struct(F.col("stop").cast("bigint").alias("frame"), F.lit(-1).alias("any"), (-F.col("_fine")).alias("fine"))))
-    borders = spans.select(*by, border.alias("_b")).select(*by, "_b.*")
-    heads = lengths.select(*keys, "_len", "_unlabeled", F.explode(F.array(*[F.lit(c) for c in classes])).alias("label"),
-                           F.lit(0).cast("bigint").alias("frame"), F.lit(0).alias("any"), F.lit(0).alias("fine"))
-    points = heads.unionByName(borders, allowMissingColumns=True).groupBy(*by, "frame").agg(
-        F.max("_len").alias("_len"), F.max("_unlabeled").alias("_unlabeled"), F.sum("any").alias("any"), F.sum("fine").alias("fine"))
-    # what only the head knows is handed on as a running maximum; the last stretch ends with the clip
+    borders = spans.select(*by, "_unlabeled", border.alias("_b")).select(*by, "_unlabeled", "_b.*")
+    ends = [F.struct(F.lit(c).alias("label"), at.alias("frame")) for c in classes for at in (F.lit(0).cast("bigint"), F.col("_len"))]
+    ends = lengths.select(*keys, "_unlabeled", F.explode(F.array(*ends)).alias("_b")).select(
+        *keys, "_unlabeled", "_b.*", F.lit(0).alias("any"), F.lit(0).alias("fine"))
+    points = ends.unionByName(borders).groupBy(*by, "_unlabeled", "frame").agg(F.sum("any").alias("any"), F.sum("fine").alias("fine"))
+    # a border closes the stretch since the one before it
     points = running(points.withColumn("_chunk", chunk_of("frame", CHUNK)), by, "_chunk", ["frame"], {
-        "_in": ("sum", "any"), "_sure": ("sum", "fine"), "_end": ("max", "_len"), "_open": ("max", F.col("_unlabeled").cast("int"))})
-    points = running(points, by, "_chunk", ["frame"], {"_next": ("min", "frame")}, backward=True, strict=True)
-    target = F.when(F.col("_sure") > 0, 1.0).when((F.col("_open") > 0) | (F.col("_in") > 0), 0.5).otherwise(0.0)
-    stretches = points.where("frame < _end").select(
-        *by, target.alias("target"), F.explode(F.sequence("frame", F.coalesce("_next", "_end") - 1)).alias("frame"))
+        "_in": ("sum", "any"), "_sure": ("sum", "fine"), "_from": ("max", "frame")}, strict=True).where("_from is not null")
+    target = F.when(F.col("_sure") > 0, 1.0).when(F.coalesce("_unlabeled", F.lit(False)) | (F.col("_in") > 0), 0.5).otherwise(0.0)
+    stretches = points.select(*by, target.alias("target"), F.explode(F.sequence("_from", F.col("frame") - 1)).alias("frame"))
     return stretches.select(*keys, "frame", "label", "target")
 
 
