@@ -46,36 +46,43 @@ def _smooth(t: Column, eps: float) -> Column:
 def fwd_bwd_log_loss(frames: DataFrame, label_smoothing: float = 0.0, chunk: int = CHUNK) -> DataFrame:
     """Frame loss against cumulative boundary targets, mean of both directions, as ``strong_loss``.
 
-    ``frames`` has ``clip_id, label, frame, fwd, bwd, boundary_target``.
+    ``frames`` has ``clip_id, label, frame, fwd, bwd, boundary_target``; without ``bwd`` the loss is that of ``fwd``.
     """
     smooth = frames.withColumn("_t", _smooth(F.col("boundary_target"), label_smoothing))
     cum = cumulative_targets(smooth, value="_t", chunk=chunk)
-    loss = (binary_log_loss(F.col("fwd"), F.col("target_fwd"))
-            + binary_log_loss(F.col("bwd"), F.col("target_bwd"))) / 2
+    loss = binary_log_loss(F.col("fwd"), F.col("target_fwd"))
+    if "bwd" in frames.columns:
+        loss = (loss + binary_log_loss(F.col("bwd"), F.col("target_bwd"))) / 2
     return cum.withColumn("strong_loss", loss).drop("_t", "target_fwd", "target_bwd")
 
 
 def weak_log_loss(frames: DataFrame, weak_targets: DataFrame, label_smoothing: float = 0.0,
                   class_weights: dict | None = None, strong_fwd_bwd_loss_weight: float = 0.0,
-                  chunk: int = CHUNK) -> DataFrame:
+                  chunk: int = CHUNK, weak_as_boundaries: bool = False) -> DataFrame:
     """One-row mean loss: frame mean of each (clip, class), then weighted mean over known targets.
 
     ``frames``: ``clip_id, label, frame, fwd, bwd`` (valid frames only), and ``boundary_target`` if
     ``strong_fwd_bwd_loss_weight`` > 0; where all boundary targets of a positive class are known, the
-    forward/backward loss replaces the weak loss in that proportion.
+    forward/backward loss replaces the weak loss in that proportion. ``weak_as_boundaries`` takes the weak target of a clip and
+    class for all its boundary targets. Without ``bwd`` the weak loss is that of ``fwd`` at the last frame.
     """
     w = mask_targets(weak_targets.select("clip_id", "label", F.col("target").alias("weak")), "weak")
-    rows = frames
+    both = "bwd" in frames.columns
+    rows = frames.join(w, ["clip_id", "label"])
+    if weak_as_boundaries:
+        rows = rows.withColumn("boundary_target", F.when(F.col("known"), F.col("weak")).otherwise(F.lit(0.5)))
     if strong_fwd_bwd_loss_weight > 0:
         rows = fwd_bwd_log_loss(rows, label_smoothing, chunk)
-    rows = rows.join(w, ["clip_id", "label"])
-    weak = binary_log_loss(F.greatest("fwd", "bwd"), _smooth(F.col("weak"), label_smoothing))
-    weak = weak * F.col("known").cast("double")
-    rows = rows.withColumn("weak_loss", weak)
+
+    def weak_loss(score):
+        return binary_log_loss(score, _smooth(F.col("weak"), label_smoothing)) * F.col("known").cast("double")
+
+    rows = rows.withColumn("weak_loss", weak_loss(F.greatest("fwd", "bwd") if both else F.col("fwd")))
+    weak_mean = (F.avg("weak_loss") if both else F.max_by("weak_loss", "frame")).alias("weak_mean")
     if strong_fwd_bwd_loss_weight > 0:
         # the share applies to a whole (clip, class), so frame means can be mixed afterwards
         per = rows.groupBy("clip_id", "label").agg(
-            F.avg("weak_loss").alias("weak_mean"),
+            weak_mean,
             F.avg(F.when(known("boundary_target"), F.col("strong_loss")).otherwise(F.col("weak_loss"))).alias("mixed"),
             F.avg(known("boundary_target").cast("double")).alias("rate"),
             F.max("weak").alias("weak"), F.bool_and("known").alias("known"))
@@ -84,7 +91,7 @@ def weak_log_loss(frames: DataFrame, weak_targets: DataFrame, label_smoothing: f
         loss = F.when(use, F.lit(s) * F.col("mixed") + F.lit(1.0 - s) * F.col("weak_mean")).otherwise(F.col("weak_mean"))
     else:
         per = rows.groupBy("clip_id", "label").agg(
-            F.avg("weak_loss").alias("weak_mean"), F.bool_and("known").alias("known"))
+            weak_mean, F.bool_and("known").alias("known"))
         loss = F.col("weak_mean")
     weight = F.col("known").cast("double")
     if class_weights:

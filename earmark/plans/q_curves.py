@@ -292,6 +292,23 @@ def weak_loss_with_boundaries(spark, sf_dir):
                                      strong_fwd_bwd_loss_weight=0.7))
 
 
+@query("a17_weak_loss_forward", f"""WITH {_LOSS},
+lt AS (SELECT clip_id, label, max_by(fwd, frame) AS p, max(t) AS t, max(known) AS k FROM sm GROUP BY 1, 2)
+SELECT round(sum(-(t * ln(p) + (1 - t) * ln(1 - p)) * k) / sum(k), 6) AS loss FROM lt""", "v_frame_targets", "v_weak")
+def weak_loss_forward(spark, sf_dir):
+    """Scores of one direction: the last frame of a clip counts."""
+    return tidy(losses.weak_log_loss(_loss_frames(spark, sf_dir).drop("bwd"), v.weak_truth(spark, sf_dir), 0.1))
+
+
+@query("a17_weak_targets_as_boundaries", f"""WITH {_LOSS},
+per AS (SELECT clip_id, label, avg(-(t * ln(p) + (1 - t) * ln(1 - p)) * known) AS w, avg(-(t * ln(fwd) + (1 - t) * ln(1 - fwd)) / 2
+               - (t * ln(bwd) + (1 - t) * ln(1 - bwd)) / 2) AS s, max(known) AS k, max(weak) AS weak FROM sm GROUP BY 1, 2)
+SELECT round(sum(CASE WHEN weak > 0.99e0 THEN 0.7e0 * s + 0.3e0 * w ELSE w END * k) / sum(k), 6) AS loss FROM per""", "v_frame_targets", "v_weak")
+def weak_targets_as_boundaries(spark, sf_dir):
+    return tidy(losses.weak_log_loss(_loss_frames(spark, sf_dir).drop("boundary_target"), v.weak_truth(spark, sf_dir), 0.1,
+                                     strong_fwd_bwd_loss_weight=0.7, weak_as_boundaries=True))
+
+
 @query("a18_strong_loss", """
 SELECT round(sum(CASE WHEN k THEN -(soft * ln(p) + (1 - soft) * ln(1 - p)) END) / greatest(count(*) FILTER (k), 1), 6) AS loss
 FROM (SELECT soft, score * 0.98e0 + 0.01e0 AS p, soft < 0.01e0 OR soft > 0.99e0 AS k FROM v_frame_targets)""", "v_frame_targets")
@@ -310,6 +327,14 @@ def fwd_bwd_loss(spark, sf_dir):
     return tidy(out.select("clip_id", "label", "frame", "strong_loss"))
 
 
+@query("a18_fwd_loss", f"""WITH {_LOSS},
+c AS (SELECT *, max(bt) OVER (PARTITION BY clip_id, label ORDER BY frame) AS tf FROM lf)
+SELECT clip_id, label, frame, round(-(tf * ln(fwd) + (1 - tf) * ln(1 - fwd)), 6) AS strong_loss FROM c""", "v_frame_targets", "v_weak")
+def fwd_loss(spark, sf_dir):
+    out = losses.fwd_bwd_log_loss(_loss_frames(spark, sf_dir).drop("bwd"))
+    return tidy(out.select("clip_id", "label", "frame", "strong_loss"))
+
+
 @query("a19_segment_max", """
 SELECT clip_id, label, frame // 5 AS segment, round(max(score), 6) AS score, max(target) AS target
 FROM v_frame_targets GROUP BY 1, 2, 3""", "v_frame_targets")
