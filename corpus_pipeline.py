@@ -25,15 +25,33 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates on five-word shingles the document with the smallest id stays, once."""
-    found = near_dups.near_duplicates(docs, shingle=5, percent=80)
-    gone = settle(found.where("doc_id is not null and not kept").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = settle(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not twice.isEmpty():
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(
-            kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """Of each component of near duplicates on five-word shingles the document with the smallest id stays, once.
+
+    Rows that share an id but not the text are documents of their own: the one whose text has the smallest hash goes by the
+    id, the others by numbers above all usual ids. Of rows equal in id and text the one stays whose columns are smallest as
+    JSON. Rows with a NULL id all stay.
+    """
+    columns = docs.columns
+    content = F.coalesce(F.xxhash64("text"), F.lit(0))
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min(content).alias("low"), F.max(content).alias("high"), F.count(F.lit(1)).alias("rows"))
+    again = settle(ids.where("rows > 1"))
+    if again.isEmpty():
+        gone = near_dups.near_duplicates(docs, shingle=5, percent=80).where("doc_id is not null and not kept")
+        return docs.join(settle(gone.select("doc_id")), "doc_id", "left_anti").select(*columns)
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])          # no column can clash
+    key, text = (f"c{columns.index(c)}" for c in ("doc_id", "text"))
+    own = F.coalesce(F.xxhash64(text), F.lit(0))
+    other = F.shiftrightunsigned(F.xxhash64(key, own), 2).bitwiseOR(F.lit(1 << 62))
+    marked = settle(renamed.join(again.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left").withColumn(
+        "_node", F.when(F.col("low").isNull() | (own == F.col("low")), F.col(key).cast("bigint")).otherwise(other))
+        .drop("_id", "low", "high"))
+    gone = near_dups.near_duplicates(marked, shingle=5, percent=80, id_col="_node", text_col=text)
+    gone = settle(gone.where("_node is not null and not kept").select("_node").distinct())
+    kept = marked.join(gone, "_node", "left_anti")
+    row = F.struct(*renamed.columns)
+    twice = kept.where("rows > 1").groupBy("_node").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return kept.where("rows is null").select(*renamed.columns).unionByName(twice).toDF(*columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
