@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from earmark.llm.pretokens import BatchEncoder
-from earmark.llm.text import pieces
+from earmark.llm.text import give_back, pieces
 
 NONE = np.int64(1) << 62
 #: Bytes that stand for themselves in a byte-level vocabulary; others follow from code point 256 on.
@@ -179,6 +179,8 @@ def round_trip(documents: DataFrame, path: str, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32())),
                 pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+        del codec             # the vocabulary and the cache; they refer to each other
+        give_back()
 
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {source.schema['id'].dataType.simpleString()}, ids array<int>, decoded string"

@@ -6,11 +6,14 @@ not follow the number of rows in a batch; a single longer document is a piece of
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: ASCII white space as in the pattern [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -41,13 +44,15 @@ _POWERS: dict = {}
 
 def _powers(n: int):
     """Powers of an odd base and of its inverse, modulo 2**64."""
-    have = _POWERS.get("n", 0)
-    if have < n:
-        size = max(n, PIECE + 64)
-        up, down = np.full(size, _ODD), np.full(size, _INVERSE)
-        up[0] = down[0] = 1
-        _POWERS.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    if _POWERS.get("n", 0) >= n:
+        return _POWERS["up"][:n], _POWERS["down"][:n]
+    size = max(n, PIECE + 64)
+    up, down = np.full(size, _ODD), np.full(size, _INVERSE)
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if size <= 8 * PIECE:     # those of a very long text go with it
+        _POWERS.update(n=size, up=up, down=down)
+    return up[:n], down[:n]
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -70,8 +75,19 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return what earlier tasks of this Python worker have freed to the system; workers live on through later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):      # other C libraries
+        pass
+
+
 def pieces(batches, text: str = "text", limit: int = PIECE):
     """``(batch, bytes, offsets)`` with about ``limit`` bytes of text or 4096 rows each, whole documents only."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -83,6 +99,7 @@ def pieces(batches, text: str = "text", limit: int = PIECE):
             low, high = offsets[first], offsets[last]
             yield batch.slice(first, last - first), data[low:high], offsets[first:last + 1] - low
             first = last
+    give_back()
 
 
 class Words:
