@@ -36,13 +36,14 @@ def linked_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_classes(classes: DataFrame, sets_of, percent: int, may_link=None, known: DataFrame | None = None,
-                 bands: list[list[int]] | None = None) -> DataFrame:
+                 bands: list[str] | None = None, spare: bool = False) -> DataFrame:
     """``(node, component)`` of all classes with a link.
 
     ``classes``: ``rep`` (long), ``bands`` (array of bucket keys) and what ``may_link`` looks at. ``sets_of(ids)`` gives
     ``id, set`` for a table of ``id``; sets link when they overlap in ``percent`` of their union. ``may_link(p, q)`` gives a
     condition that all links fulfil, from two functions that name columns of either side. ``known``: links that hold in any
-    case. ``bands``: which bands are handled together, all by default; more groups need less disk at a time.
+    case. ``bands``: columns with one bucket key each, in place of the array; they are handled one at a time, which needs less
+    disk. ``spare``: ``classes`` is a table of ``settle`` that nobody needs once its buckets are found, and goes then.
     """
     looked_at = [c for c in classes.columns if c not in ("rep", "bands")] if may_link is not None else []
 
@@ -63,6 +64,8 @@ def link_classes(classes: DataFrame, sets_of, percent: int, may_link=None, known
         return out
 
     shared = _shared(classes, bands)
+    if spare:
+        forget(classes)
     links = [x for x in (confirmed(_chosen(shared.where("rep != hub"), 1)), known) if x is not None]
     found = _components(links, shared)
     for r in range(ROUNDS + 1):
@@ -91,15 +94,11 @@ def _chosen(pairs: DataFrame, n: int) -> DataFrame:
     return best.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
 
 
-def _shared(classes: DataFrame, bands: list[list[int]] | None) -> DataFrame:
+def _shared(classes: DataFrame, bands: list[str] | None) -> DataFrame:
     """``key, rep, hub, members`` of all buckets with two members or more."""
     out = None
-    for group in bands or [None]:
-        if group is None:
-            entries = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-        else:
-            entries = classes.select("rep", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.get("bands", F.lit(b)).alias("key"))
-                                                                for b in group])).alias("e")).select("rep", "e.*")
+    for band in bands or [None]:
+        entries = classes.select("rep", F.explode("bands").alias("key") if band is None else F.col(band).alias("key"))
         # the salt follows from the key, so that all members of a bucket have the same
         salt = F.get(F.array(*[F.lit(s) for s in SALTS]), F.pmod("key", F.lit(len(SALTS))).cast("int"))
         hubs = entries.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(salt)).alias("hub"), F.count(F.lit(1)).alias("members"))

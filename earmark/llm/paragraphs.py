@@ -28,6 +28,7 @@ MIN_WORDS = 8         # shorter paragraphs go only between two that go
 MIN_RUN = 16
 SHINGLE = 5
 PERCENT = 80
+BANDS, RECALL = 10, .994   # ten bands of four rows: at similarity .3 a pair shares a bucket in 8 % of cases, at .2 in 2 %
 PIECE, BLOCK = 1, 2   # levels of a paragraph
 
 
@@ -95,7 +96,8 @@ def _shingles(words, first, end):
 
 
 def _classes(documents: DataFrame, bands: int, rows: int) -> DataFrame:
-    """A row per distinct paragraph text: ``rep`` (hash of its words), ``bands``, ``doc`` (smallest id), ``copies``."""
+    """A row per distinct paragraph text: ``rep`` (hash of its words), ``doc`` (smallest id), ``copies``, a key ``b0``, ``b1``
+    ... for every band."""
     seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     factor, shift = seeds[::2] | np.uint64(1), seeds[1::2]
 
@@ -120,8 +122,7 @@ def _classes(documents: DataFrame, bands: int, rows: int) -> DataFrame:
         run, "id long, rep long, " + ", ".join(f"{b} long" for b in names))
     # equal words have equal bands, so any of them will do
     return found.groupBy("rep").agg(F.min("id").alias("doc"), F.count(F.lit(1)).alias("copies"),
-                                    *[F.min(b).alias(b) for b in names]).select(
-        "rep", "doc", "copies", F.array(*names).alias("bands"))
+                                    *[F.min(b).alias(b) for b in names])
 
 
 def _sets(documents: DataFrame) -> DataFrame:
@@ -198,7 +199,7 @@ def _later(places: DataFrame) -> DataFrame:
     return parts.select(*columns).unionByName(rest.select("component", *key, "gap.*", "kept"))
 
 
-def repeated_paragraphs(documents: DataFrame, min_run: int = MIN_RUN, recall: float = .99, id_col: str = "doc_id",
+def repeated_paragraphs(documents: DataFrame, min_run: int = MIN_RUN, recall: float = RECALL, id_col: str = "doc_id",
                         text_col: str = "text") -> DataFrame:
     """Paragraphs to remove: ``id_col``, ``copy`` (hash of the row's text), ``start``, ``end`` (characters), ``n_words``,
     ``kept_id``, ``kept_start`` (where the component's first occurrence stays) and ``component``.
@@ -207,8 +208,9 @@ def repeated_paragraphs(documents: DataFrame, min_run: int = MIN_RUN, recall: fl
     paragraphs. Rows equal in id and text are one; rows that share only the id are told apart by ``copy``.
     """
     texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    bands, rows = tune_bands(PERCENT / 100, recall)
-    classes = settle(_classes(texts, bands, rows))
+    bands, rows = tune_bands(PERCENT / 100, recall, BANDS)
+    keys = settle(_classes(texts, bands, rows))
+    classes = settle(keys.select("rep", "doc", "copies"))      # stays when the keys are deleted
 
     def sets_of(ids):
         # each set from one document, and no others
@@ -217,7 +219,7 @@ def repeated_paragraphs(documents: DataFrame, min_run: int = MIN_RUN, recall: fl
         return _sets(texts.join(wanted, "id")).dropDuplicates(["id"])
 
     # a band at a time: there are many paragraphs
-    found = link_classes(classes.select("rep", "bands"), sets_of, PERCENT, bands=[[b] for b in range(bands)])
+    found = link_classes(keys, sets_of, PERCENT, bands=[f"b{b}" for b in range(bands)], spare=True)
     repeated = classes.where("copies > 1").select(F.col("rep").alias("node")).join(found, "node", "full_outer").select(
         F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
     repeated = settle(repeated)
