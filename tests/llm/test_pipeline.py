@@ -49,3 +49,19 @@ def test_stages_on_planted_documents(spark, tmp_path):
         assert final[d].n_tokens == len(ids)
         assert final[d].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert final[d].decoded_sha256 == hashlib.sha256((kept[d].text or "").encode()).hexdigest()
+
+
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(1)
+    p, q, r, own = (" ".join(f"w{rng.randrange(80)}" for _ in range(40)) for _ in range(4))
+    rows = [(1, p, "a"), (1, q, "b"), (2, r, "c"), (5, p, "d"), (5, r + " x", "e"), (5, own, "g"), (5, own, "f"),
+            (9, None, "n"), (9, None, "n"), (None, p, "z"), (None, p, "z"), (10, "", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rows string")
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert out.dtypes == docs.dtypes
+    left = [tuple(x) for x in out.collect()]
+    known = [t for d, t, _ in left if d is not None]
+    assert sum(t == p for t in known) == 1 and sum(t == q for t in known) == 1 and sum(t == own for t in known) == 1
+    assert sum(t in (r, r + " x") for t in known) == 1
+    assert (5, own, "f") in left and (9, None, "n") in left and (10, "", "q") in left
+    assert left.count((None, p, "z")) == 2 and len(left) == 8
