@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from earmark.llm.store import files_dir, settle
+from earmark.llm.store import file_tasks, files_dir, settle, spread_join
 from earmark.llm.token_codes import open_shared
 
 FILE_BYTES = 16 << 20
@@ -236,7 +236,7 @@ def arc_records(manifest: DataFrame) -> DataFrame:
 
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string()]
     names = ["path", "offset", "key", "digest", "payload_bytes", "is_http", "id", "url", "date"]
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(
+    return manifest.select("path").repartition(file_tasks(manifest)).mapInArrow(
         run, "path string, offset long, key long, digest string, payload_bytes long, is_http boolean, id string, url string, "
              "date string")
 
@@ -254,7 +254,8 @@ def arc_to_warc(manifest: DataFrame, min_revisit: int = MIN_REVISIT, compress: b
     groups = records.where(F.col("is_http") & (F.col("payload_bytes") >= min_revisit))
     groups = groups.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
     groups = settle(groups.where("copies > 1").select("digest", "first"))
-    revisits = records.where(F.col("is_http") & (F.col("payload_bytes") >= min_revisit)).join(groups, "digest").where(
+    copies = records.where(F.col("is_http") & (F.col("payload_bytes") >= min_revisit)).select("digest", "path", "offset")
+    revisits = spread_join(copies, groups, "digest", F.struct("path", "offset")).where(
         F.struct("path", "offset") != F.struct("first.path", "first.offset")).select(
         "path", "offset", F.col("first.id").alias("to_id"), F.col("first.url").alias("to_url"), F.col("first.date").alias("to_date"))
     none = manifest.select("path", *[F.lit(None).cast(t).alias(n) for n, t in (
@@ -278,6 +279,7 @@ def arc_to_warc(manifest: DataFrame, min_revisit: int = MIN_REVISIT, compress: b
 
     # decisions for the records of one file, which has a bounded size; every file takes part, with or without revisits
     rows = settle(revisits.unionByName(none))
+    rows = rows.repartition(2 * file_tasks(manifest), "path")       # twice, as hashes deal files unevenly
     return settle(rows.groupBy("path").applyInArrow(convert, "path string, records long"))
 
 
@@ -329,6 +331,6 @@ def read_warc(manifest: DataFrame) -> DataFrame:
 
     types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = ["record_id", "record_type", "uri", "date", "key", "payload_bytes", "payload_digest", "refers_to_id"]
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(
+    return manifest.select("path").repartition(file_tasks(manifest)).mapInArrow(
         run, "record_id string, record_type string, uri string, date string, key long, payload_bytes long, "
              "payload_digest string, refers_to_id string")

@@ -114,12 +114,15 @@ FROM pages""")
 def op10(spark, sf_dir):
     """Pages as read back from WARC files that were converted from ARC files."""
     from earmark.llm.archives import arc_to_warc, read_warc, write_arc
-    from earmark.llm.store import settle
+    from earmark.llm.store import settle, spread_join
     arc = write_arc(table(spark, sf_dir, "pages"))
     found = settle(read_warc(arc_to_warc(arc)))
-    first = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to"))
-    return found.join(first, "refers_to_id", "left").select(
-        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = [F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type"]
+    revisits = found.where("refers_to_id is not null")
+    first = found.select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to")).join(
+        revisits.select("refers_to_id").distinct(), "refers_to_id")
+    others = found.where("refers_to_id is null").select(*columns, F.lit(None).cast("bigint").alias("refers_to"))
+    return spread_join(revisits, first, "refers_to_id", F.col("record_id")).select(*columns, "refers_to").unionByName(others)
 
 
 @query("op11_source_mixing", oracles.MIXING)

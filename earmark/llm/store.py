@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from earmark.scale import cut_lineage, scratch_path, shared_dir
 
@@ -33,3 +33,20 @@ def release(spark: SparkSession) -> None:
 def files_dir(spark: SparkSession, name: str) -> str:
     """A fresh shared folder for files that tasks write themselves."""
     return scratch_path(spark, name)
+
+
+MOST_TASKS = 20_000
+
+
+def file_tasks(manifest: DataFrame) -> int:
+    """Tasks for the files of a manifest, one each up to ``MOST_TASKS``. The rows are small and the files behind them are
+    not, so this number is never left to the size of the rows."""
+    return max(1, min(manifest.count(), MOST_TASKS))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: Column, salts: int = 16) -> DataFrame:
+    """Inner join in which the ``left`` rows of one ``on`` are dealt over ``salts`` places by the hash of ``by``. ``right``
+    has few rows, each is sent to all places."""
+    many = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    few = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.join(few, [on, "_salt"]).drop("_salt")

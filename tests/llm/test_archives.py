@@ -72,3 +72,18 @@ def test_query_matches_sql(spark):
     name = "op10_arc_to_warc"
     ok, note = compare(spark, connect(sf), sf, QUERIES[name], ORACLES[name])
     assert ok, note
+
+
+def test_tasks_follow_files_and_hot_payloads_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(archives, "FILE_BYTES", 1 << 12)
+    hot = "<p>" + "one payload " * 20
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", hot if i % 3 == 0 else f"{i} " + "z" * 400) for i in range(300)],
+                                  "page_id long, url string, html string").repartition(2)
+    manifest = archives.write_arc(pages, compress=False)
+    files = manifest.count()
+    assert files > 16
+    warc = archives.arc_to_warc(manifest, compress=False)
+    found = archives.read_warc(warc)
+    assert found.rdd.getNumPartitions() == archives.arc_records(manifest).rdd.getNumPartitions() == files
+    kinds = {r.key: r.record_type for r in found.collect()}
+    assert kinds == {i: "revisit" if i % 3 == 0 and i else "response" for i in range(300)}
