@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from earmark.llm.library import LibraryEncoder
-from earmark.llm.store import files_dir, settle
+from earmark.llm.store import file_tasks, files_dir, settle
 from earmark.llm.text import pieces
 
 MAGIC = b"EARDAC01"
@@ -181,5 +181,5 @@ def read_codes(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                         docs[a:b], pa.array(starts[a:b] + base), pa.array(np.diff(starts[a:b + 1])),
                         pa.array(texts, pa.binary())], names=["id", "start", "n_tokens", "ids"])
 
-    files = manifest.select("path", "base").repartition(F.col("path"))
+    files = manifest.select("path", "base").repartition(file_tasks(manifest))
     return files.mapInArrow(run, "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
