@@ -1,7 +1,8 @@
 """Links between members of hash buckets, without all pairs of a bucket.
 
-First every member meets the hub that it shares most buckets with; then, in ``ROUNDS`` rounds, members outside the largest
-component of a very large bucket meet a few members of it. Only members that are still apart meet all others that they can be reached
+Members of small buckets meet at once where the caller asks for it. In the others every member first meets the hub that it
+shares most buckets with; then, in ``ROUNDS`` rounds, members outside the largest component of a very large bucket meet a few
+members of it. Only members that are still apart meet all others that they can be reached
 from through buckets, in blocks that compare full sets and give the links alone: a pair within one component need not be
 compared to find the components.
 """
@@ -36,7 +37,7 @@ def linked_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_classes(classes: DataFrame, sets_of, percent: int, may_link=None, known: DataFrame | None = None,
-                 bands: list[str] | None = None, spare: bool = False) -> DataFrame:
+                 bands: list[str] | None = None, spare: bool = False, few: int = 1) -> DataFrame:
     """``(node, component)`` of all classes with a link.
 
     ``classes``: ``rep`` (long), ``bands`` (array of bucket keys) and what ``may_link`` looks at. ``sets_of(ids)`` gives
@@ -44,16 +45,25 @@ def link_classes(classes: DataFrame, sets_of, percent: int, may_link=None, known
     condition that all links fulfil, from two functions that name columns of either side. ``known``: links that hold in any
     case. ``bands``: columns with one bucket key each, in place of the array; they are handled one at a time, which needs less
     disk. ``spare``: ``classes`` is a table of ``settle`` that nobody needs once its buckets are found, and goes then.
+    ``few``: in buckets of up to so many members all pairs meet, and the rest of the work sees larger buckets only.
     """
-    looked_at = [c for c in classes.columns if c not in ("rep", "bands")] if may_link is not None else []
+    looked_at = [c for c in classes.columns if c not in ("rep", "bands", *(bands or []))] if may_link is not None else []
+    carried = looked_at if few > 1 else []
+    shared = _shared(classes, bands, carried)
+    seen = settle(shared.select("rep", *carried).dropDuplicates(["rep"])) if carried else classes
+    if spare:
+        forget(classes)
 
-    def confirmed(pairs):
+    def confirmed(pairs, checked=None):
+        """Links among ``pairs``, and among the ``checked`` ones, which pass ``may_link``."""
         pairs = pairs.where("a < b").distinct()
         if may_link is not None:
             for end in ("a", "b"):
-                pairs = pairs.join(classes.select(F.col("rep").alias(end),
-                                                  *[F.col(c).alias(f"{end}_{c}") for c in looked_at]), end)
+                pairs = pairs.join(seen.select(F.col("rep").alias(end),
+                                               *[F.col(c).alias(f"{end}_{c}") for c in looked_at]), end)
             pairs = pairs.where(may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b").distinct()
+        if checked is not None:
+            pairs = pairs.unionByName(checked).distinct()
         pairs = settle(pairs)
         if pairs.isEmpty():
             return None
@@ -63,13 +73,12 @@ def link_classes(classes: DataFrame, sets_of, percent: int, may_link=None, known
         forget(sets)
         return out
 
-    shared = _shared(classes, bands)
-    if spare:
-        forget(classes)
-    links = [x for x in (confirmed(_chosen(shared.where("rep != hub"), 1)), known) if x is not None]
+    large = shared.where(F.col("members") > few)
+    small = _small_pairs(shared.where(F.col("members") <= few), carried, may_link) if few > 1 else None
+    links = [x for x in (confirmed(_chosen(large.where("rep != hub"), 1), small), known) if x is not None]
     found = _components(links, shared)
     for r in range(ROUNDS + 1):
-        apart = _apart(shared, found)
+        apart = _apart(large, found)
         largest = apart.agg(F.max("members")).first()[0]
         if largest is None:
             break
@@ -94,16 +103,25 @@ def _chosen(pairs: DataFrame, n: int) -> DataFrame:
     return best.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
 
 
-def _shared(classes: DataFrame, bands: list[str] | None) -> DataFrame:
-    """``key, rep, hub, members`` of all buckets with two members or more."""
+def _small_pairs(small: DataFrame, carried: list[str], may_link) -> DataFrame:
+    """All pairs ``a < b`` of buckets of bounded size that may link; a pair may come from several buckets."""
+    rows = small.groupBy("key").agg(F.collect_list(F.struct("rep", *carried)).alias("all"))
+    pairs = rows.select(F.explode("all").alias("p"), "all").select("p", F.explode("all").alias("q")).where("p.rep < q.rep")
+    if may_link is not None:
+        pairs = pairs.where(may_link(lambda c: F.col(f"p.{c}"), lambda c: F.col(f"q.{c}")))
+    return pairs.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
+
+
+def _shared(classes: DataFrame, bands: list[str] | None, carried: list[str]) -> DataFrame:
+    """``key, rep, hub, members`` and ``carried`` columns of all buckets with two members or more."""
     out = None
     for band in bands or [None]:
-        entries = classes.select("rep", F.explode("bands").alias("key") if band is None else F.col(band).alias("key"))
+        entries = classes.select("rep", *carried, F.explode("bands").alias("key") if band is None else F.col(band).alias("key"))
         # the salt follows from the key, so that all members of a bucket have the same
         salt = F.get(F.array(*[F.lit(s) for s in SALTS]), F.pmod("key", F.lit(len(SALTS))).cast("int"))
         hubs = entries.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(salt)).alias("hub"), F.count(F.lit(1)).alias("members"))
         hubs = settle(hubs.where("members > 1").select("key", F.col("hub").bitwiseXOR(salt).alias("hub"), "members"))
-        part = settle(entries.select("key", "rep").join(hubs, "key"))
+        part = settle(entries.select("key", "rep", *carried).join(hubs, "key"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -30,6 +30,8 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, RECALL = 10, .994   # ten bands of four rows: at similarity .3 a pair shares a bucket in 8 % of cases, at .2 in 2 %
 PIECE, BLOCK = 1, 2   # levels of a paragraph
+FEW = 16              # members of a bucket up to which all its pairs meet
+LANES = 32            # minima with two bits each in a long
 
 
 def tune_bands(similarity: float, recall: float, most: int = 5) -> tuple[int, int]:
@@ -95,9 +97,27 @@ def _shingles(words, first, end):
     return out, first, end - SHINGLE + 1
 
 
+def _least_equal(minima: int, similarity: float) -> int:
+    """Equal two-bit lanes of ``minima`` that a pair of this similarity has but for 4.5 standard deviations."""
+    share = similarity + (1 - similarity) / 4
+    return int(minima * share - 4.5 * (minima * share * (1 - share)) ** .5)
+
+
+def _equal_lanes(minima: int, p, q):
+    """How many two-bit lanes of the packed longs of two sides are equal."""
+    odd = F.lit(int("01" * LANES, 2))
+    apart = [p(c).bitwiseXOR(q(c)) for c in _packed(minima)]
+    differ = [F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(odd)) for x in apart]
+    return F.lit(minima) - sum(differ[1:], differ[0])
+
+
+def _packed(minima: int) -> list[str]:
+    return [f"s{i}" for i in range(-(-minima // LANES))]
+
+
 def _classes(documents: DataFrame, bands: int, rows: int) -> DataFrame:
     """A row per distinct paragraph text: ``rep`` (hash of its words), ``doc`` (smallest id), ``copies``, a key ``b0``, ``b1``
-    ... for every band."""
+    ... for every band and low bits of all minima, packed into ``s0``, ``s1`` ..."""
     seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     factor, shift = seeds[::2] | np.uint64(1), seeds[1::2]
 
@@ -110,14 +130,19 @@ def _classes(documents: DataFrame, bands: int, rows: int) -> DataFrame:
             # of every two borders the first begins a paragraph
             borders = np.column_stack([low, high]).ravel()
             columns = [batch.column(0).take(pa.array(words.doc[first])), pa.array(key.view(np.int64))]
+            packed = np.zeros((len(signs), len(first)), np.uint64)
             for b in range(bands):
                 value = np.full(len(first), mix(np.array([b + 1], np.uint64))[0])
                 for r in range(b * rows, (b + 1) * rows):
-                    value = mix(value + np.minimum.reduceat(hashes * factor[r] + shift[r], borders)[::2])
+                    low = np.minimum.reduceat(hashes * factor[r] + shift[r], borders)[::2]
+                    value = mix(value + low)
+                    packed[r // LANES] |= (mix(low) & np.uint64(3)) << np.uint64(r % LANES * 2)
                 columns.append(pa.array(value.view(np.int64)))
+            columns += [pa.array(p.view(np.int64)) for p in packed]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "rep", *names])
 
-    names = [f"b{b}" for b in range(bands)]
+    signs = _packed(bands * rows)
+    names = [f"b{b}" for b in range(bands)] + signs
     found = documents.where("id is not null").select("id", "text").mapInArrow(
         run, "id long, rep long, " + ", ".join(f"{b} long" for b in names))
     # equal words have equal bands, so any of them will do
@@ -218,8 +243,10 @@ def repeated_paragraphs(documents: DataFrame, min_run: int = MIN_RUN, recall: fl
         wanted = settle(wanted.groupBy("id").agg(F.collect_list("rep").alias("wanted")))
         return _sets(texts.join(wanted, "id")).dropDuplicates(["id"])
 
+    least = _least_equal(bands * rows, PERCENT / 100)
     # a band at a time: there are many paragraphs
-    found = link_classes(keys, sets_of, PERCENT, bands=[f"b{b}" for b in range(bands)], spare=True)
+    found = link_classes(keys.drop("doc", "copies"), sets_of, PERCENT, lambda p, q: _equal_lanes(bands * rows, p, q) >= least,
+                         bands=[f"b{b}" for b in range(bands)], spare=True, few=FEW)
     repeated = classes.where("copies > 1").select(F.col("rep").alias("node")).join(found, "node", "full_outer").select(
         F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
     repeated = settle(repeated)
