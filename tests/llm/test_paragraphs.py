@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from earmark.llm import paragraphs
 
 RNG = random.Random(8)
@@ -119,3 +121,45 @@ def test_removed_spans_keep_lines():
     assert paragraphs.remove_spans("one two\nthree four", [(4, 8)]) == "one \nthree four"
     assert paragraphs.remove_spans("a\nb\nc", [(2, 4)]) == "a\nc"
     assert paragraphs.remove_spans("abc", []) == "abc"
+
+
+def test_pairs_of_small_buckets(spark):
+    """Components are the same whether buckets meet in pairs, through hubs, or partly so, and equal brute force."""
+    from earmark.llm.buckets import link_classes
+
+    rng = random.Random(3)
+    base = [set(rng.sample(range(400), 20)) for _ in range(12)]
+    sets = {}
+    for i in range(120):
+        own = set(base[i % 12])
+        for _ in range(rng.randint(0, 3)):
+            own.discard(rng.choice(sorted(own)))
+            own.add(rng.randint(0, 400))
+        sets[i + 1] = sorted(own)
+    rows = [(i, [1000 + (i - 1) % 12, 5000 + (i - 1) % 6], len(s)) for i, s in sets.items()]
+    classes = spark.createDataFrame(rows, "rep long, bands array<long>, n int")
+    table = spark.createDataFrame(list(sets.items()), "id long, set array<long>")
+
+    def may_link(p, q):
+        return F.least(p("n"), q("n")) * 100 >= F.greatest(p("n"), q("n")) * 80
+
+    got = [sorted(tuple(r) for r in link_classes(classes, lambda ids: table.join(ids, "id", "left_semi"), 80, may_link,
+                                                 few=few).collect()) for few in (1, 12)]
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            both = len(set(sets[a]) & set(sets[b]))
+            if a < b and both * 100 >= 80 * (len(set(sets[a]) | set(sets[b]))):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    groups = {}
+    for i in sets:
+        groups.setdefault(root(i), []).append(i)
+    want = sorted((i, r) for r, members in groups.items() if len(members) > 1 for i in members)
+    assert got[0] == got[1] == want and len(groups) > 12
