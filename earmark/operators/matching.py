@@ -40,26 +40,30 @@ def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, same_label: bo
     there however long it is; it also stands in the bins of coarser levels, as far as the other side has intervals of that
     length. A pair meets at the coarser of its two levels, in the first bin both touch, so rows follow the number of intervals
     and no pair comes twice.
-    The finest bins are ``bin_width`` wide, by default twice the mean ground-truth length.
+    The finest bins are ``bin_width`` wide, by default twice the mean ground-truth length. An interval without length is a point: it
+    meets, with an overlap of 0, what reaches to both sides of it.
     """
-    length = F.col("offset") - F.col("onset")
+    length = F.abs(F.col("offset") - F.col("onset"))
+    first, last = F.least("onset", "offset"), F.greatest("onset", "offset")
+    detections, ground_truth = (df.where("onset is not null and offset is not null") for df in (detections, ground_truth))
     # two rows of bounds, fetched first: as literals they keep the plan small
-    some = ground_truth.where(length > 0).agg(F.avg(length).alias("mean"), F.max(length).alias("longest"), F.min("onset").alias("low"),
-                                              F.max("offset").alias("high")).first()
+    some = ground_truth.agg(F.avg(F.when(length > 0, length)).alias("mean"), F.max(length).alias("longest"), F.min(first).alias("low"),
+                            F.max(last).alias("high")).first()
     mean, longest, lowest, highest = (float(x or 0.0) for x in some)
     width = float(bin_width) if bin_width is not None else mean * 2 or 1.0
 
     def level(span):
         return F.greatest(F.lit(0), F.ceil(F.log(span / F.lit(width)) / math.log(GROW)).cast("int"))
 
-    reach = detections.where(length > 0).agg(F.max(length)).first()[0]
+    reach = detections.agg(F.max(length)).first()[0]
     top = level(F.lit(min(highest - lowest, float(reach or 0.0))))
 
     def binned(df, name, top):
         """``df`` in the bins of its own level ``_own_<name>`` and of all coarser ones up to ``top``."""
         # what lies outside the ground truth overlaps nothing: it needs no bins
-        on, off = F.greatest(F.col(f"{name}_onset"), F.lit(lowest)), F.least(F.col(f"{name}_offset"), F.lit(highest))
-        df = df.withColumns({"_on": on, "_off": off}).where("_off > _on")
+        ends = F.col(f"{name}_onset"), F.col(f"{name}_offset")
+        on, off = F.greatest(F.least(*ends), F.lit(lowest)), F.least(F.greatest(*ends), F.lit(highest))
+        df = df.withColumns({"_on": on, "_off": off}).where("_off >= _on")
         own = level(F.col("_off") - F.col("_on"))
         df = df.withColumn(f"_own_{name}", own)
         df = df.withColumn("_level", F.explode(F.sequence(F.col(f"_own_{name}"), F.greatest(F.col(f"_own_{name}"), top))))
@@ -67,8 +71,8 @@ def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, same_label: bo
         first, last = (F.floor((F.col(c) - F.lit(lowest)) / size).cast("bigint") for c in ("_on", "_off"))
         return df.withColumn(f"_first_{name}", first).withColumn("_bin", F.explode(F.sequence(first, last))).drop("_on", "_off")
 
-    det = detections.withColumnsRenamed({"onset": "det_onset", "offset": "det_offset"}).where("det_offset > det_onset")
-    gt = ground_truth.withColumnsRenamed({"onset": "gt_onset", "offset": "gt_offset"}).where("gt_offset > gt_onset")
+    det = detections.withColumnsRenamed({"onset": "det_onset", "offset": "det_offset"})
+    gt = ground_truth.withColumnsRenamed({"onset": "gt_onset", "offset": "gt_offset"})
     keys = list(keys)
     if same_label:
         on = [*keys, "label", "_level", "_bin"]

@@ -126,6 +126,18 @@ def test_overlap_pairs(spark, width):
         assert len(got) == len(want)
 
 
+def test_intervals_without_length_meet_what_holds_them(spark):
+    det = intervals(3, 40) + [("c0", "a", 5.0, 5.0, 100), ("c1", "b", 20.0, 20.0, 101), ("c0", "a", 200.0, 200.0, 102)]
+    gt = intervals(4, 40) + [("c0", "a", 4.0, 6.0, 200), ("c0", "a", 5.0, 9.0, 201), ("c1", "a", 20.0, 20.0, 202), ("c1", "b", 19.0, 21.0, 203)]
+    gt += [(c, l, float(i), float(i), 300 + i) for i in range(35) for c, l in (("c0", "b"),)]
+    d, g = spark.createDataFrame(det, IV + "det_id int"), spark.createDataFrame(gt, IV + "gt_id int")
+    for same in (True, False):
+        got = {(r.det_id, r.gt_id): pytest.approx(r.overlap) for r in matching.overlap_pairs(d, g, same).collect()}
+        assert got == {(x[4], y[4]): min(x[3], y[3]) - max(x[2], y[2]) for x in det for y in gt
+                       if x[0] == y[0] and (x[1] == y[1]) == same and x[2] < y[3] and y[2] < x[3]}
+        assert {k: v for k, v in got.items() if 99 < k[0] or 299 < k[1]}
+
+
 def psds_brute(series, gt, hours, thresholds, dtc, gtc, cttc, alpha_ct, alpha_st, max_efpr):
     labels = sorted({g[1] for g in gt})
     gt_hours = {l: sum(g[3] - g[2] for g in gt if g[1] == l) for l in labels}
