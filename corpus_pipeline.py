@@ -69,7 +69,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of the token ids of every document that is left, and digest of the decoded text."""
-    coded = bpe.round_trip(docs, tokenizer_file(), cached=150_000)     # beside heaps that earlier stages have grown
+    coded = bpe.round_trip(docs, tokenizer_file(), cached=60_000)     # beside heaps that earlier stages have grown
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

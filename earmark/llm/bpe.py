@@ -34,6 +34,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, to_byte = spec["model"], byte_characters()
+        self.outline = json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}})
         ids = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         size = max([*ids.values(), *self.special.values()]) + 1
@@ -134,7 +135,8 @@ class Codec:
     def __init__(self, path: str, cached: int = 600_000):
         from tokenizers import Tokenizer
         self.vocabulary = Vocabulary(path)
-        self.splitter = Tokenizer.from_file(path).pre_tokenizer     # only for characters that the fast split leaves out
+        # only for characters that the fast split leaves out; it needs no merges, which would take 40 MB of every worker
+        self.splitter = Tokenizer.from_str(self.vocabulary.outline).pre_tokenizer
         self.encoder = BatchEncoder(self.words, self.text, tuple(self.vocabulary.special), cached)
 
     def words(self, words: list[str]):

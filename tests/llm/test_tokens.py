@@ -48,6 +48,13 @@ def test_segment_tree_on_random_texts(library):
         assert ids[borders[i]:borders[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_splitter_carries_no_merges(library):
+    codec = bpe.Codec(PATH)
+    assert len(codec.vocabulary.outline) < 2000
+    for text in filter(None, TEXTS):
+        assert codec.splitter.pre_tokenize_str(text) == library.pre_tokenizer.pre_tokenize_str(text)
+
+
 def test_cache_forgets_without_changing_ids(library):
     codec = bpe.Codec(PATH)
     codec.encoder.cache.limit = 40
