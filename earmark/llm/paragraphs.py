@@ -32,6 +32,7 @@ BANDS, RECALL = 10, .994   # ten bands of four rows: at similarity .3 a pair sha
 PIECE, BLOCK = 1, 2   # levels of a paragraph
 FEW = 16              # members of a bucket up to which all its pairs meet
 LANES = 32            # minima with two bits each in a long
+KEY_BITS = 43         # of a band's key: with a billion paragraphs some 60 000 pairs more share a bucket, and are told apart later
 
 
 def tune_bands(similarity: float, recall: float, most: int = 5) -> tuple[int, int]:
@@ -115,9 +116,47 @@ def _packed(minima: int) -> list[str]:
     return [f"s{i}" for i in range(-(-minima // LANES))]
 
 
+def _fields(bands: int, rows: int) -> dict[str, int]:
+    """Bits of what the words ``w0``, ``w1`` ... of a paragraph hold, one field after another."""
+    minima = bands * rows
+    lanes = {s: 2 * min(LANES, minima - i * LANES) for i, s in enumerate(_packed(minima))}
+    return lanes | {f"b{b}": KEY_BITS for b in range(bands)}
+
+
+def _pack(values: dict[str, np.ndarray], fields: dict[str, int]) -> list[np.ndarray]:
+    """Words of 64 bits that hold the low bits of all fields without gaps."""
+    n = len(next(iter(values.values())))
+    words, at = [np.zeros(n, np.uint64) for _ in range(-(-sum(fields.values()) // 64))], 0
+    for name, bits in fields.items():
+        value = values[name] & np.uint64((1 << bits) - 1)
+        i, shift = divmod(at, 64)
+        words[i] |= value << np.uint64(shift)
+        if shift + bits > 64:
+            words[i + 1] |= value >> np.uint64(64 - shift)
+        at += bits
+    return words
+
+
+def _unpack(fields: dict[str, int]) -> list:
+    """Columns of all fields from the words; keys of different bands differ."""
+    out, at = [], 0
+    for name, bits in fields.items():
+        i, shift = divmod(at, 64)
+        value = F.shiftrightunsigned(f"w{i}", shift)
+        if shift + bits > 64:
+            value = value.bitwiseOR(F.shiftleft(f"w{i + 1}", 64 - shift))
+        if bits < 64:
+            value = value.bitwiseAND(F.lit((1 << bits) - 1))
+        if name.startswith("b"):
+            value = value.bitwiseOR(F.lit(int(name[1:]) << KEY_BITS))
+        out.append(value.cast("bigint").alias(name))
+        at += bits
+    return out
+
+
 def _classes(documents: DataFrame, bands: int, rows: int) -> DataFrame:
-    """A row per distinct paragraph text: ``rep`` (hash of its words), ``doc`` (smallest id), ``copies``, a key ``b0``, ``b1``
-    ... for every band and low bits of all minima, packed into ``s0``, ``s1`` ..."""
+    """A row per distinct paragraph text: ``rep`` (hash of its words), ``doc`` (smallest id), ``copies``, and words ``w0``,
+    ``w1`` ... with a key for every band and low bits of all minima. The table is the largest of all, so it has no bit to spare."""
     seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     factor, shift = seeds[::2] | np.uint64(1), seeds[1::2]
 
@@ -130,19 +169,19 @@ def _classes(documents: DataFrame, bands: int, rows: int) -> DataFrame:
             # of every two borders the first begins a paragraph
             borders = np.column_stack([low, high]).ravel()
             columns = [batch.column(0).take(pa.array(words.doc[first])), pa.array(key.view(np.int64))]
-            packed = np.zeros((len(signs), len(first)), np.uint64)
+            packed = {s: np.zeros(len(first), np.uint64) for s in _packed(bands * rows)}
             for b in range(bands):
                 value = np.full(len(first), mix(np.array([b + 1], np.uint64))[0])
                 for r in range(b * rows, (b + 1) * rows):
                     low = np.minimum.reduceat(hashes * factor[r] + shift[r], borders)[::2]
                     value = mix(value + low)
-                    packed[r // LANES] |= (mix(low) & np.uint64(3)) << np.uint64(r % LANES * 2)
-                columns.append(pa.array(value.view(np.int64)))
-            columns += [pa.array(p.view(np.int64)) for p in packed]
+                    packed[f"s{r // LANES}"] |= (mix(low) & np.uint64(3)) << np.uint64(r % LANES * 2)
+                packed[f"b{b}"] = value
+            columns += [pa.array(w.view(np.int64)) for w in _pack(packed, fields)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "rep", *names])
 
-    signs = _packed(bands * rows)
-    names = [f"b{b}" for b in range(bands)] + signs
+    fields = _fields(bands, rows)
+    names = [f"w{i}" for i in range(-(-sum(fields.values()) // 64))]
     found = documents.where("id is not null").select("id", "text").mapInArrow(
         run, "id long, rep long, " + ", ".join(f"{b} long" for b in names))
     # equal words have equal bands, so any of them will do
@@ -245,7 +284,7 @@ def repeated_paragraphs(documents: DataFrame, min_run: int = MIN_RUN, recall: fl
 
     least = _least_equal(bands * rows, PERCENT / 100)
     # a band at a time: there are many paragraphs
-    found = link_classes(keys.drop("doc", "copies"), sets_of, PERCENT, lambda p, q: _equal_lanes(bands * rows, p, q) >= least,
+    found = link_classes(keys.select("rep", *_unpack(_fields(bands, rows))), sets_of, PERCENT, lambda p, q: _equal_lanes(bands * rows, p, q) >= least,
                          bands=[f"b{b}" for b in range(bands)], spare=True, few=FEW)
     repeated = classes.where("copies > 1").select(F.col("rep").alias("node")).join(found, "node", "full_outer").select(
         F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from earmark.llm import paragraphs
@@ -163,3 +165,18 @@ def test_pairs_of_small_buckets(spark):
         groups.setdefault(root(i), []).append(i)
     want = sorted((i, r) for r, members in groups.items() if len(members) > 1 for i in members)
     assert got[0] == got[1] == want and len(groups) > 12
+
+
+@pytest.mark.parametrize("bands, rows", [(10, 4), (3, 7), (1, 2)])
+def test_keys_and_minima_share_words(spark, bands, rows):
+    """No field of a paragraph loses or lends a bit, and no word of 64 bits is left half empty."""
+    fields, rng = paragraphs._fields(bands, rows), np.random.default_rng(3)
+    values = {f: rng.integers(0, 1 << 64, 50, np.uint64) for f in fields}
+    words = paragraphs._pack(values, fields)
+    assert len(words) == -(-(2 * bands * rows + paragraphs.KEY_BITS * bands) // 64)
+    table = spark.createDataFrame(list(zip(*(w.view(np.int64).tolist() for w in words))), ", ".join(f"w{i} long" for i in range(len(words))))
+    got = table.select(*paragraphs._unpack(fields)).toPandas()
+    for f, bits in fields.items():
+        band = int(f[1:]) << paragraphs.KEY_BITS if f[0] == "b" else 0
+        want = (values[f] & np.uint64((1 << bits) - 1)).view(np.int64) | band
+        assert got[f].tolist() == want.tolist()
