@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from earmark.operators import intersection, matching
 from earmark.operators.runs import score_runs
-from earmark.scale import CHUNK, cut_lineage, running, value_buckets
+from earmark.scale import CHUNK, cut_lineage, join_large, running, value_buckets
 
 WEIGHT = 10 ** 12      # rates of cross triggers are summed as whole numbers, so that sums do not depend on their order
 
@@ -45,7 +45,7 @@ def _found_steps(passed: DataFrame, ground_truth: DataFrame, gtc_threshold: floa
     sums = _sums(steps, by, ["cover"])
     now = (F.col("cover") >= F.lit(float(gtc_threshold)) * F.col("_length")).cast("bigint")
     # a change against the step above: the state above is the running sum without the own step
-    rows = sums.join(steps.withColumnRenamed("cover", "_own"), [*by, "x"]).withColumn("_now", now).withColumn(
+    rows = join_large(sums, steps.withColumnRenamed("cover", "_own"), [*by, "x"]).withColumn("_now", now).withColumn(
         "_above", (F.col("cover") - F.col("_own") >= F.lit(float(gtc_threshold)) * F.col("_length")).cast("bigint"))
     return rows.where("_now <> _above").groupBy(*keys, "label", "x").agg(F.sum(F.col("_now") - F.col("_above")).alias("tp"))
 

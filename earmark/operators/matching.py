@@ -12,7 +12,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from earmark.scale import cut_lineage, running
+from earmark.scale import cut_lineage, join_large, running
 
 TICK = 1_000_000      # covered lengths are whole millionths, so sums do not depend on their order
 POINTS = 100_000      # ends of intervals that one piece of the time line holds, if they are spread evenly
@@ -79,7 +79,7 @@ def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, same_label: bo
     else:
         gt = gt.withColumnRenamed("label", "gt_label")
         on = [*keys, "_level", "_bin"]
-    pairs = binned(det, "det", level(F.lit(longest))).join(binned(gt, "gt", top), on)
+    pairs = join_large(binned(det, "det", level(F.lit(longest))), binned(gt, "gt", top), on)
     keep = ((F.col("det_onset") < F.col("gt_offset")) & (F.col("gt_onset") < F.col("det_offset"))
             & (F.col("_level") == F.greatest("_own_det", "_own_gt")) & (F.col("_bin") == F.greatest("_first_det", "_first_gt")))
     if not same_label:
@@ -102,7 +102,7 @@ def collar_pairs(detections: DataFrame, ground_truth: DataFrame, onset_collar: f
     reach = F.lit(width * 1.001)  # the margin keeps pairs at the very edge of the collar
     gt = (ground_truth.withColumnsRenamed({"onset": "gt_onset", "offset": "gt_offset"})
           .withColumn("_bin", F.explode(F.sequence(_bin(g - reach, width), _bin(g + reach, width)))))
-    pairs = det.join(gt, [*keys, "_bin"]).drop("_bin")
+    pairs = join_large(det, gt, [*keys, "_bin"]).drop("_bin")
     pairs = pairs.withColumns({"onset_dist": F.col("det_onset") - F.col("gt_onset"),
                                "offset_dist": F.col("det_offset") - F.col("gt_offset")})
     collar = F.greatest(F.lit(float(offset_collar)),
@@ -162,7 +162,7 @@ def one_to_one(pairs: DataFrame, det_id, gt_id, series=("clip_id", "label"), poi
     pairs = cut_lineage(pairs.withColumns({"_start": F.least("det_onset", "gt_onset"), "_stop": F.greatest("det_onset", "gt_onset")}))
     last = pairs.groupBy(*gt_id).agg(F.max(F.struct("det_onset", "det_offset", *[F.col(c).alias(f"d{i}") for i, c in enumerate(det_id)]))
                                      .alias("_deadline"))
-    rows = pairs.join(last.withColumnsRenamed({c: f"_k_{c}" for c in gt_id}),
+    rows = join_large(pairs, last.withColumnsRenamed({c: f"_k_{c}" for c in gt_id}),
                       [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in gt_id]).drop(*[f"_k_{c}" for c in gt_id])
     rows = sessions(rows, series, points)
     order = [F.col(c) for c in (*series, "_session", "det_onset", "det_offset", *det_id, "_deadline", "gt_onset", "gt_offset", *gt_id)]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from earmark.operators import collar, detect, intersection, matching, tuning
+from earmark.scale import cut_lineage
 from tests.test_filters import frames, random_series
 
 IV = "clip_id string, label string, onset double, offset double, "
@@ -238,3 +239,14 @@ def test_long_runs_stay_in_few_bins(spark):
     levels = math.ceil(math.log(1000 / .2, matching.GROW)) + 1
     spread = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in spread and levels <= 8
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    """Files of few bytes a row look small to the planner; their joins shuffle all the same."""
+    det = cut_lineage(spark.range(2000).selectExpr("string(id % 7) clip_id", "'a' label", "id * 1d onset", "id * 1d + .5 offset", "id det_id"))
+    gt = cut_lineage(det.withColumnRenamed("det_id", "gt_id"))
+    collar_pairs = matching.collar_pairs(det, gt, 0.2, 0.2)
+    counts, crossed = intersection.intersection_counts(det.withColumn("threshold", F.lit(0.5)), gt, 0.5, 0.5, 0.3)
+    for df in (collar_pairs, matching.overlap_pairs(det, gt), matching.one_to_one(collar_pairs, ["det_id"], ["gt_id"]), crossed):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert collar_pairs.count() == 2000 and [r.tp for r in counts.collect()] == [2000]
