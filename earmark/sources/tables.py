@@ -64,9 +64,10 @@ def read_wide_scores(spark: SparkSession, path: str, frame_length: float | None
     order. Lines are read as text, so files are split as Spark likes; only headers are looked up, by their file. Empty cells are
     left out. A clip may have several files. Files without lines below the header give nothing.
     """
-    lines = spark.read.text(path, recursiveFileLookup=False).select(
+    files = spark.read.text(path, recursiveFileLookup=False)          # lists all folders, once
+    lines = files.select(
         F.col("value"), F.col("_metadata.file_path").alias("_file"),
-        *(["clip_id"] if _partitioned(spark, path) else [F.lit(None).cast("string").alias("clip_id")]))
+        *(["clip_id"] if "clip_id" in files.columns else [F.lit(None).cast("string").alias("clip_id")]))
     is_head = F.col("value").startswith("onset\t")
     heads = lines.where(is_head).select("_file", F.split("value", "\t").alias("_names")).dropDuplicates(["_file"])
     rows = lines.where(~is_head & (F.col("value") != "")).join(heads, "_file").withColumn("_cells", F.split("value", "\t"))
@@ -79,10 +80,6 @@ def read_wide_scores(spark: SparkSession, path: str, frame_length: float | None
     return rows
 
 
-def _partitioned(spark: SparkSession, path: str) -> bool:
-    return "clip_id" in spark.read.text(path).columns
-
-
 # ---------------------------------------------------------------- detections
 
 def write_threshold_detections(scores: DataFrame, path: str, thresholds=None) -> None:

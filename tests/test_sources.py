@@ -124,3 +124,12 @@ def test_wide_scores_and_reports(spark, tmp_path):
     assert back.columns == ["onset", "offset", "b", "a", "clip_id"] and back.count() == 1
     tables.write_text_report(df, str(tmp_path / "r"), "label")
     assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["a", "b"]
+
+
+def test_wide_files_are_listed_once(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("x", 0, 0.0, 1.0, "a", 0.25), ("y", 0, 0.0, 1.0, "a", 0.5)], "clip_id string, frame long, onset double, offset double, label string, score double")
+    tables.write_wide_scores(df, str(tmp_path / "w"), ["a"])
+    calls, text = [], type(spark.read).text
+    monkeypatch.setattr(type(spark.read), "text", lambda self, *a, **k: calls.append(a) or text(self, *a, **k))
+    rows = tables.read_wide_scores(spark, str(tmp_path / "w"))
+    assert sorted((r.clip_id, r.score) for r in rows.collect()) == [("x", 0.25), ("y", 0.5)] and len(calls) == 1
