@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from earmark.functions.labels import samples_to_frames, seconds_to_samples
-from earmark.scale import CHUNK, chunk_of, running
+from earmark.scale import CHUNK, chunk_of, join_large, running
 
 
 def label_boundaries(events: DataFrame, keys=("clip_id",)) -> DataFrame:
@@ -41,33 +41,39 @@ def frame_targets(clips: DataFrame, events: DataFrame, classes, kind: str = "str
     a coarser label of the class covers it, else 0.
 
     A sweep over the borders of labels gives stretches of equal targets for every clip and class; they are joined and shuffled
-    as such and unfold to frames last.
+    as such and unfold to frames last. Clips and labels are dealt out by clip, once; borders are counted and swept where they lie.
+    Clips that are longer than a chunk are swept chunk by chunk.
     """
     if kind not in ("strong", "boundaries"):
         raise ValueError(kind)
     keys, classes = list(keys), list(classes)
     by, flag = [*keys, "label"], F.col(unlabeled).alias("_unlabeled")
-    lengths = clips.where("seq_len > 0").select(*keys, F.col("seq_len").cast("bigint").alias("_len"), flag)
-    bounded = (events.where(F.col("label").isin(classes)).join(lengths, keys)
+    clip = [*by, "_unlabeled", "_len"]
+    lengths = clips.where("seq_len > 0").select(*keys, F.col("seq_len").cast("bigint").alias("_len"), flag).repartition(*keys)
+    bounded = (join_large(events.where(F.col("label").isin(classes)), lengths, keys)
                .withColumns({"start": F.greatest(F.col("start"), F.lit(0)), "stop": F.least(F.col("stop"), F.col("_len"))}))
-    spans = bounded.where("stop > start").select(*by, "_unlabeled", "start", "stop", F.lit(0).alias("_fine"))
-    if kind == "strong":
-        exact = bounded.where("label_type = 'strong' and stop > start").select(*by, "_unlabeled", "start", "stop")
-    else:
-        exact = label_boundaries(bounded, [*keys, "_unlabeled"]).where("stop > start")
-    spans = spans.unionByName(exact.withColumn("_fine", F.lit(1)))
-    border = F.explode(F.array(F.struct(F.col("start").cast("bigint").alias("frame"), F.lit(1).alias("any"), F.col("_fine").alias("fine")),
-                               F.struct(F.col("stop").cast("bigint").alias("frame"), F.lit(-1).alias("any"), (-F.col("_fine")).alias("fine"))))
-    borders = spans.select(*by, "_unlabeled", border.alias("_b")).select(*by, "_unlabeled", "_b.*")
-    ends = [F.struct(F.lit(c).alias("label"), at.alias("frame")) for c in classes for at in (F.lit(0).cast("bigint"), F.col("_len"))]
-    ends = lengths.select(*keys, "_unlabeled", F.explode(F.array(*ends)).alias("_b")).select(
-        *keys, "_unlabeled", "_b.*", F.lit(0).alias("any"), F.lit(0).alias("fine"))
-    points = ends.unionByName(borders).groupBy(*by, "_unlabeled", "frame").agg(F.sum("any").alias("any"), F.sum("fine").alias("fine"))
-    # a border closes the stretch since the one before it
-    points = running(points.withColumn("_chunk", chunk_of("frame", CHUNK)), by, "_chunk", ["frame"], {
-        "_in": ("sum", "any"), "_sure": ("sum", "fine"), "_from": ("max", "frame")}, strict=True).where("_from is not null")
+    fine = F.col("label_type").eqNullSafe("strong").cast("int") if kind == "strong" else F.lit(0)
+    spans = bounded.where("stop > start").select(*clip, "start", "stop", F.lit(1).alias("any"), fine.alias("fine"))
+    if kind == "boundaries":
+        exact = label_boundaries(bounded, [*keys, "_unlabeled", "_len"]).where("stop > start")
+        spans = spans.unionByName(exact.withColumns({"any": F.lit(0), "fine": F.lit(1)}))
+    borders = F.explode(F.array(*[F.struct(F.col(at).cast("bigint").alias("frame"), (F.col("any") * sign).alias("any"),
+                                           (F.col("fine") * sign).alias("fine")) for at, sign in (("start", 1), ("stop", -1))]))
+    borders = spans.select(*clip, borders.alias("_b")).select(*clip, "_b.*")
+    heads = lengths.select(*keys, F.explode(F.array(*[F.lit(c) for c in classes])).alias("label"), "_unlabeled", "_len",
+                           F.lit(0).cast("bigint").alias("frame"), F.lit(0).alias("any"), F.lit(0).alias("fine"))
+    points = heads.unionByName(borders).groupBy(*clip, "frame").agg(F.sum("any").alias("any"), F.sum("fine").alias("fine"))
+    # a border opens a stretch that lasts until the next one or the end of the clip
+    w = W.partitionBy(*by, "_unlabeled", "_len").orderBy("frame")
+    whole = points.where(F.col("_len") <= CHUNK).withColumns({
+        "_in": F.sum("any").over(w), "_sure": F.sum("fine").over(w), "_to": F.lead("frame").over(w)})
+    parts = points.where(F.col("_len") > CHUNK).withColumn("_chunk", chunk_of("frame", CHUNK))
+    parts = running(parts, clip, "_chunk", ["frame"], {"_in": ("sum", "any"), "_sure": ("sum", "fine")})
+    parts = running(parts, clip, "_chunk", ["frame"], {"_to": ("min", "frame")}, backward=True, strict=True).drop("_chunk")
     target = F.when(F.col("_sure") > 0, 1.0).when(F.coalesce("_unlabeled", F.lit(False)) | (F.col("_in") > 0), 0.5).otherwise(0.0)
-    stretches = points.select(*by, target.alias("target"), F.explode(F.sequence("_from", F.col("frame") - 1)).alias("frame"))
+    # the border at the end of a clip opens nothing
+    stretches = whole.unionByName(parts).where("frame < _len").select(*by, target.alias("target"), F.explode(
+        F.sequence("frame", F.coalesce("_to", "_len") - 1)).alias("frame"))
     return stretches.select(*keys, "frame", "label", "target")
 
 

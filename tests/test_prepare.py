@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -181,6 +182,30 @@ def test_every_frame_of_random_labels(spark, kind):
     assert "Join" not in plan[:plan.index("Generate explode(sequence")]
 
 
+@pytest.mark.parametrize("kind", ["strong", "boundaries"])
+def test_targets_deal_clips_out_once(spark, kind):
+    """Clips and labels are shuffled once each; borders, stretches and sums of a clip need no further shuffle."""
+    clips = spark.range(50).selectExpr("cast(id as string) clip_id", "if(id = 7, 20000L, 30L) seq_len", "id % 5 = 0 unlabeled")
+    ev = spark.range(400).selectExpr("cast(id % 50 as string) clip_id", "if(id % 3 = 0, 'a', 'b') label", "if(id % 2 = 0, 'strong', 'weak') label_type",
+                                     "id % 20 start", "if(id % 50 = 7, 9000 + id, id % 20 + 5) stop")
+    short = targets.frame_targets(clips.where("seq_len = 30").withColumn("seq_len", F.lit(30)), ev, ["a", "b"], kind)
+    plan = short.groupBy("clip_id", "label", "target").count()._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(clip_id", plan)) == plan.count("Exchange ") == (3 if kind == "strong" else 5)
+    # a clip of three chunks among short ones
+    got = {(r.clip_id, r.label, r.frame): r.target for r in targets.frame_targets(clips, ev, ["a", "b"], kind).collect()}
+    rows, want = ev.collect(), {}
+    for c, n, unlabeled in clips.collect():
+        for label in "ab":
+            own = [r for r in rows if (r.clip_id, r.label) == (c, label)]
+            fine = [(r.start, r.stop) for r in own if r.label_type == "strong"]
+            if kind == "boundaries" and fine:
+                fine = [(min(s for s, _ in fine), max(e for _, e in fine))]
+            for f in range(n):
+                want[c, label, f] = (1.0 if any(s <= f < e for s, e in fine) else
+                                     .5 if unlabeled or any(r.start <= f < r.stop for r in own) else 0.0)
+    assert got == want
+
+
 def test_label_counting_keeps_null_and_empty_apart(spark):
     clips = spark.createDataFrame([("d", "n", None), ("d", "e", []), ("d", "x", [(0.0, 1.0, "a", "weak")] * 2)],
                                   f"dataset string, clip_id string, events {EVENTS}").withColumn("dataset_reps", F.lit(3))
