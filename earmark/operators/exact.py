@@ -52,30 +52,44 @@ def _found_steps(passed: DataFrame, ground_truth: DataFrame, gtc_threshold: floa
 
 def operating_points(scores: DataFrame, ground_truth: DataFrame, seconds: DataFrame, dtc_threshold: float, gtc_threshold: float,
                      cttc_threshold: float | None = None, alpha_ct: float = 0.0, keys=(), unit: float = intersection.HOUR,
-                     value: str = "score", chunk: int = CHUNK) -> DataFrame:
+                     value: str = "score", chunk: int = CHUNK, points: int = matching.POINTS) -> DataFrame:
     """``(keys, label, below, tp, fp, n_sys, n_ref, tpr, efpr)``: counts and rates at thresholds from the next smaller ``below``
     up to, but without, ``below``. Every score value of a class that changes anything is there.
 
     Meaning of the tolerances and of ``efpr`` as in ``intersection_counts`` and ``effective_rates``; times are compared in whole
     microseconds, so equal shares are equal. ``keys`` are columns of the scores only (such as a candidate). Classes without
-    ground truth count false positives only.
+    ground truth count false positives only. Clips with up to ``points`` events are covered in one pass each, others in pieces.
     """
     if dtc_threshold <= 0 or gtc_threshold <= 0:
         raise ValueError("tolerance thresholds must be positive")
     keys = list(keys)
     by = [*keys, "clip_id", "label"]
     runs = score_runs(scores, by, value, chunk=chunk)
-    runs = matching.covered(runs, ground_truth, ["clip_id", "label"], [*by, "onset", "offset", "low", "high"])
+    cross = cttc_threshold if alpha_ct else None
+    large = cut_lineage(ground_truth.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > points).select("clip_id"))
+    some_large = not large.isEmpty()
+    if some_large:      # the running sums of such clips are cut into pieces; crossed is NULL there
+        names = runs.columns
+        rest = matching.covered(runs.join(large, "clip_id", "left_semi").select(*names), ground_truth, ["clip_id", "label"], names)
+        runs = runs.join(large, "clip_id", "left_anti").select(*names)
+        runs = matching.covered_in_clips(runs, ground_truth.join(large, "clip_id", "left_anti"), cross).unionByName(
+            rest, allowMissingColumns=True)
+    else:
+        runs = matching.covered_in_clips(runs, ground_truth, cross)
     runs = cut_lineage(runs.withColumn("passed", intersection.covers(dtc_threshold)))
     failed = (~F.col("passed")).cast("bigint")
     steps = _steps(runs, [*keys, "label"], {"n_sys": F.lit(1), "fp": failed}).withColumn("tp", F.lit(0).cast("bigint")).withColumn(
         "ct", F.lit(0).cast("bigint"))
     tp = _found_steps(runs.where("passed"), ground_truth, gtc_threshold, keys)
     steps = steps.unionByName(tp, allowMissingColumns=True)
-    if cttc_threshold is not None and alpha_ct:
+    if cross is not None:
         per = ground_truth.groupBy("label").agg((F.sum(F.col("offset") - F.col("onset")) / F.lit(unit)).alias("units"))
         rate = per.select(F.col("label").alias("gt_label"), F.floor(F.lit(float(WEIGHT)) / F.col("units") + 0.5).cast("bigint").alias("ct"))
-        crossed = intersection.crossing(runs.where("not passed").drop("cover", "passed"), ground_truth, cttc_threshold)
+        lost, bounds = runs.where("not passed"), [*keys, "label", "low", "high"]
+        crossed = lost.select(*bounds, F.explode("crossed").alias("gt_label"))
+        if some_large:
+            rest = lost.where("crossed is null").drop("cover", "crossed", "passed")
+            crossed = crossed.unionByName(intersection.crossing(rest, ground_truth, cross).select(*bounds, "gt_label"))
         ct = _steps(crossed.join(rate, "gt_label"), [*keys, "label"], {"ct": F.col("ct")})
         steps = steps.unionByName(ct, allowMissingColumns=True)
     names = ["n_sys", "fp", "tp", "ct"]

@@ -9,8 +9,10 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from earmark.scale import cut_lineage, join_large, running
 
@@ -26,6 +28,18 @@ def _bin(t: Column, width) -> Column:
     return F.floor(t / (width if isinstance(width, Column) else F.lit(float(width)))).cast("bigint")
 
 
+def _piece_width(rows: DataFrame, series, start: str, stop: str, points: int, least: float) -> Column:
+    """Width of pieces of the time line that hold about ``points`` rows of any one series; NULL if every series is smaller. More
+    series do not make pieces narrower."""
+    n = F.count(F.lit(1))
+    width = F.when(n > points, F.greatest(F.lit(least), (F.max(stop) - F.min(start)) * F.lit(float(points)) / n))
+    return rows.groupBy(*series).agg(width.alias("width")).agg(F.min("width")).scalar()
+
+
+def _piece(time: str, width: Column) -> Column:
+    return F.coalesce(F.floor(F.col(time) / width), F.lit(0)).cast("bigint")
+
+
 GROW = 4.0            # each level of bins is so many times wider than the one before
 
 
@@ -132,9 +146,8 @@ def covered(intervals: DataFrame, ground_truth: DataFrame, by, ids, points: int
     asks = intervals.select(*by, F.struct(*ids).alias("_id"), F.explode(F.array(
         F.struct(ticks(F.col("onset")).alias("x"), F.lit(-1).alias("sign")),
         F.struct(ticks(F.col("offset")).alias("x"), F.lit(1).alias("sign")))).alias("_e")).select(*by, "_id", "_e.*")
-    width = gt.agg(F.greatest(F.lit(1.0), (F.max("_off") - F.min("_on")) * F.lit(float(points)) / F.count(F.lit(1)))).scalar()
     rows = ends.unionByName(asks, allowMissingColumns=True)
-    rows = rows.withColumn("_piece", F.floor(F.col("x") / F.coalesce(width, F.lit(1.0))))
+    rows = rows.withColumn("_piece", _piece("x", _piece_width(gt, by, "_on", "_off", points, 1.0)))
     # what is open or covered before a piece stands at its head, in a row of its own
     across = W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     heads = rows.groupBy(*by, "_piece").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
@@ -146,6 +159,79 @@ def covered(intervals: DataFrame, ground_truth: DataFrame, by, ids, points: int
     return rows.groupBy("_id").agg(F.sum(F.col("_upto") * F.col("sign")).alias("cover")).select("_id.*", "cover")
 
 
+def covered_in_clips(intervals: DataFrame, ground_truth: DataFrame, share: float | None = None) -> DataFrame:
+    """``intervals`` with ``cover``, the summed overlaps in ticks with ground truth of their clip and label, and ``crossed``, the other
+    labels of which ground truth covers ``share`` of them or more.
+
+    For clips whose ground truth fits into a task; intervals pass by as a stream. They are shuffled once, for all labels.
+    """
+    names = intervals.columns
+    times = [ticks(F.col("onset")).alias("_on"), ticks(F.col("offset")).alias("_off")]
+    gt = ground_truth.select("clip_id", "label", *times, F.lit(False).alias("_run")).where("_off > _on")
+    rows = gt.unionByName(intervals.select(*names, *times, F.lit(True).alias("_run")), allowMissingColumns=True)
+    rows = rows.select(*names, "_on", "_off", "_run").repartition("clip_id").sortWithinPartitions("clip_id", "_run")
+    clip, label, n = names.index("clip_id"), names.index("label"), len(names)
+
+    def run(batches):
+        held, parts, sums = None, {}, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [pc.dictionary_encode(batch.column(i)) for i in (clip, label)]
+            clips, labels = (c.dictionary.to_pylist() for c in codes)
+            code_of = {None: -1} | {other: i for i, other in enumerate(labels)}
+            at, own = (pc.fill_null(c.indices, -1).to_numpy(zero_copy_only=False) for c in codes)
+            on, off = (pc.fill_null(batch.column(n + i), 0).to_numpy(zero_copy_only=False) for i in (0, 1))
+            runs = batch.column(n + 2).to_numpy(zero_copy_only=False)
+            cover, hits = np.zeros(batch.num_rows, np.int64), []
+            cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                name = (clips[at[a]] if at[a] >= 0 else None,)
+                if name != held:
+                    held, parts, sums = name, {}, {}
+                first = a + int(np.searchsorted(runs[a:b], True))          # ground truth comes first
+                for code in np.unique(own[a:first]):
+                    some = a + np.flatnonzero(own[a:first] == code)
+                    parts.setdefault(labels[code] if code >= 0 else None, []).append((on[some], off[some]))
+                if first == b or not parts:
+                    continue
+                sums = sums or {k: _running_cover(v) for k, v in parts.items()}
+                x = np.concatenate([on[first:b], off[first:b]])
+                length = (off - on)[first:b]
+                for other, upto in sums.items():
+                    c = upto(x)
+                    c = c[b - first:] - c[:b - first]
+                    same = own[first:b] == code_of.get(other, -2)
+                    cover[first:b][same] = c[same]
+                    if share is not None and None not in (other, name[0]):
+                        hit = np.flatnonzero(~same & (own[first:b] >= 0) & (length > 0) & (c >= share * length))
+                        if len(hit):
+                            hits.append((first + hit, [other] * len(hit)))
+            keep = np.flatnonzero(runs)
+            place = np.concatenate([h[0] for h in hits]) if hits else np.zeros(0, np.int64)
+            found = pa.array([o for h in hits for o in h[1]], batch.column(label).type).take(pa.array(np.argsort(place, kind="stable")))
+            sizes = np.bincount(place, minlength=batch.num_rows)[keep]
+            crossed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), found)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(keep)) for i in range(n)), pa.array(cover[keep]), crossed],
+                                             names=[*names, "cover", "crossed"])
+
+    kind = intervals.schema["label"].dataType
+    return rows.mapInArrow(run, T.StructType([*intervals.schema.fields, T.StructField("cover", T.LongType()),
+                                              T.StructField("crossed", T.ArrayType(kind))]))
+
+
+def _running_cover(parts):
+    """Function: length that intervals cover up to each of some times, counted as often as they overlap."""
+    ends = [np.sort(np.concatenate(p)) for p in zip(*parts)]
+    sums = [np.concatenate([[0], np.cumsum(e)]) for e in ends]
+
+    def upto(x):
+        opened, closed = (np.searchsorted(e, x) for e in ends)
+        return (opened - closed) * x - sums[0][opened] + sums[1][closed]
+
+    return upto
+
+
 def one_to_one(pairs: DataFrame, det_id, gt_id, series=("clip_id", "label"), points: int = POINTS) -> DataFrame:
     """Each event used once: detections in order of time take the free candidate with the earliest deadline.
 
@@ -175,8 +261,7 @@ def one_to_one(pairs: DataFrame, det_id, gt_id, series=("clip_id", "label"), poi
 
 def sessions(rows: DataFrame, series, points: int = POINTS) -> DataFrame:
     """``_session``: the start of the chain of overlapping ``_start`` to ``_stop`` a row belongs to."""
-    span = rows.agg(F.greatest(F.lit(1e-9), (F.max("_stop") - F.min("_start")) * F.lit(float(points)) / F.count(F.lit(1)))).scalar()
-    rows = rows.withColumn("_piece", F.floor(F.col("_start") / F.coalesce(span, F.lit(1.0))).cast("bigint"))
+    rows = rows.withColumn("_piece", _piece("_start", _piece_width(rows, series, "_start", "_stop", points, 1e-9)))
     rows = running(rows, series, "_piece", ["_start", "_stop"], {"_reach": ("max", "_stop")}, strict=True)
     fresh = F.when(F.col("_reach").isNull() | (F.col("_start") > F.col("_reach")), F.col("_start"))
     return running(rows, series, "_piece", ["_start", "_stop"], {"_session": ("max", fresh)}).drop("_reach", "_piece")

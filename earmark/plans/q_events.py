@@ -240,7 +240,7 @@ def _frame_gt(spark, sf_dir):
 
 
 def _frame_hours(spark, sf_dir):
-    s = v.scores(spark, sf_dir)
+    s = v.targets(spark, sf_dir)      # as many rows as frames, without their numbers
     return s.agg((F.count(F.lit(1)) * 0.02).alias("seconds"))
 
 

@@ -115,6 +115,35 @@ def test_covered_lengths(spark):
     assert {r.cover for r in matching.covered(d, g.where("false"), ["clip_id", "label"], d.columns).collect()} == {0}
 
 
+def test_clips_are_covered_in_one_shuffle(spark):
+    rng = random.Random(4)
+    gt = [(f"c{rng.randint(0, 5)}", rng.choice("abc"), float(o := rng.randint(0, 40)), o + float(rng.randint(0, 9))) for _ in range(120)]
+    det = [(f"c{rng.randint(0, 7)}", rng.choice("abcd"), float(o := rng.randint(0, 40)), o + float(rng.randint(0, 9)), i) for i in range(150)]
+    g = spark.createDataFrame(gt + [(None, "a", 0.0, 50.0)], "clip_id string, label string, onset double, offset double")
+    d = spark.createDataFrame(det + [(None, "a", 0.0, 3.0, 150), (None, "b", 0.0, 3.0, 151)],
+                              "clip_id string, label string, onset double, offset double, det_id int")
+    out = matching.covered_in_clips(d, g, .5)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = {r.det_id: (r.cover, sorted(r.crossed)) for r in out.collect()}
+    for c, l, a, b, i in det:
+        sums = {o: sum(max(0, min(b, y) - max(a, x)) for cc, ll, x, y in gt if (cc, ll) == (c, o)) for o in "abcd"}
+        assert got[i] == (sums[l] * 10**6, [o for o in "abcd" if o != l and b > a and sums[o] >= .5 * (b - a)])
+    assert got[150] == (3 * 10**6, []) and got[151] == (0, []) and len(got) == 152
+    assert {r.cover for r in matching.covered_in_clips(d, g.where("false"), .5).collect()} == {0}
+
+
+def test_more_series_do_not_narrow_pieces(spark):
+    """Pieces follow the largest series, so that short series stay whole however many there are."""
+    rows = spark.range(3000).selectExpr("id % 300 as clip_id", "cast(id div 300 as double) as _start", "id div 300 + 1.0 as _stop")
+
+    def width(df):
+        return df.select(matching._piece_width(df, ["clip_id"], "_start", "_stop", 10, 1e-9).alias("w")).first().w
+
+    assert width(rows) is None
+    long = spark.range(100).selectExpr("-1L as clip_id", "cast(id as double) as _start", "id + 1.0 as _stop")
+    assert width(rows.unionByName(long)) == 10.0
+
+
 @pytest.mark.parametrize("width", [None, .5, 3.0, 100.0])
 def test_overlap_pairs(spark, width):
     det, gt = intervals(3, 80), intervals(4, 60)

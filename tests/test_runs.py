@@ -85,6 +85,15 @@ def test_exact_psds_equals_every_threshold(spark, alpha_ct, alpha_st, cttc, chun
     assert {r.label: pytest.approx(r.auc, abs=1e-9) for r in auc.collect()} == want_auc
 
 
+def test_points_are_the_same_in_clips_and_in_pieces(spark):
+    series, gt = scored(5, levels=20)
+    g = spark.createDataFrame([(*x, i) for i, x in enumerate(gt)], IV + "gt_id int").where("clip_id > 'c0' or onset < .2")
+    seconds = spark.createDataFrame([(3.2,)], "seconds double")
+    got = [sorted(map(tuple, exact.operating_points(frames(spark, series), g, seconds, .4, .4, .3, .5, unit=1.0, points=n).collect()))
+           for n in (0, 5, 100)]         # all clips, some and none in pieces
+    assert got[0] == got[1] == got[2] and any(r[3] for r in got[0])
+
+
 @pytest.mark.parametrize("min_precision, min_recall", [(0.0, 0.0), (.5, .1), (1.1, 0.0)])
 def test_exact_collar_fscore_equals_every_threshold(spark, min_precision, min_recall):
     series, gt = scored(3, n_clips=3, levels=25)
