@@ -49,8 +49,9 @@ def link_classes(classes: DataFrame, sets_of, percent: int, may_link=None, known
     """
     looked_at = [c for c in classes.columns if c not in ("rep", "bands", *(bands or []))] if may_link is not None else []
     carried = looked_at if few > 1 else []
-    shared = _shared(classes, bands, carried)
-    seen = settle(shared.select("rep", *carried).dropDuplicates(["rep"])) if carried else classes
+    shared = _shared(classes, bands)
+    # what may_link looks at follows once for each member that is left, not with every bucket key
+    seen = settle(classes.select("rep", *carried).join(shared.select("rep").distinct(), "rep", "left_semi")) if carried else classes
     if spare:
         forget(classes)
 
@@ -66,17 +67,23 @@ def link_classes(classes: DataFrame, sets_of, percent: int, may_link=None, known
             pairs = pairs.unionByName(checked).distinct()
         pairs = settle(pairs)
         if pairs.isEmpty():
+            forget(pairs)
             return None
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = settle(sets_of(settle(ends)))
+        ends = settle(ends)
+        sets = settle(sets_of(ends))
         out = settle(linked_sets(pairs, sets, percent))
-        forget(sets)
+        for table in (ends, sets, pairs):
+            forget(table)
         return out
 
     large = shared.where(F.col("members") > few)
-    small = _small_pairs(shared.where(F.col("members") <= few), carried, may_link) if few > 1 else None
+    small = shared.where(F.col("members") <= few).select("key", "rep")
+    small = _small_pairs(small.join(seen, "rep") if carried else small, carried, may_link) if few > 1 else None
     links = [x for x in (confirmed(_chosen(large.where("rep != hub"), 1), small), known) if x is not None]
     found = _components(links, shared)
+    if links and links[0] is not known:
+        forget(links[0])
     for r in range(ROUNDS + 1):
         apart = _apart(large, found)
         largest = apart.agg(F.max("members")).first()[0]
@@ -85,13 +92,17 @@ def link_classes(classes: DataFrame, sets_of, percent: int, may_link=None, known
         # small buckets need no rounds: their members can meet at once
         last = r == ROUNDS or largest <= MANY
         more = _all_members(apart, sets_of, percent) if last else confirmed(_other_hubs(apart, r))
+        if more is not None and not more.isEmpty():
+            # components so far are stars already, and stand for all links before
+            before, found = found, _components([found.toDF("a", "b"), more], shared)
+            forget(before)
         if more is not None:
-            links.append(more)
-            found = _components(links, shared)
+            forget(more)
         forget(apart)
         if last:
             break
-    forget(shared)
+    for table in (shared, *([seen] if carried else [])):
+        forget(table)
     return found
 
 
@@ -112,16 +123,21 @@ def _small_pairs(small: DataFrame, carried: list[str], may_link) -> DataFrame:
     return pairs.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
 
 
-def _shared(classes: DataFrame, bands: list[str] | None, carried: list[str]) -> DataFrame:
-    """``key, rep, hub, members`` and ``carried`` columns of all buckets with two members or more."""
+def _shared(classes: DataFrame, bands: list[str] | None) -> DataFrame:
+    """``key, rep, hub, members`` of all buckets with two members or more.
+
+    Most buckets have one member, so the entries are by far the largest table. They are dealt by key once, as two longs each, and
+    buckets are counted and given to their members where they lie. A large bucket passes through one task as a stream.
+    """
     out = None
     for band in bands or [None]:
-        entries = classes.select("rep", *carried, F.explode("bands").alias("key") if band is None else F.col(band).alias("key"))
+        entries = classes.select("rep", F.explode("bands").alias("key") if band is None else F.col(band).alias("key"))
+        entries = entries.repartition("key")
         # the salt follows from the key, so that all members of a bucket have the same
         salt = F.get(F.array(*[F.lit(s) for s in SALTS]), F.pmod("key", F.lit(len(SALTS))).cast("int"))
         hubs = entries.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(salt)).alias("hub"), F.count(F.lit(1)).alias("members"))
-        hubs = settle(hubs.where("members > 1").select("key", F.col("hub").bitwiseXOR(salt).alias("hub"), "members"))
-        part = settle(entries.select("key", "rep", *carried).join(hubs, "key"))
+        hubs = hubs.where("members > 1").select("key", F.col("hub").bitwiseXOR(salt).alias("hub"), "members")
+        part = settle(entries.join(hubs.hint("shuffle_hash"), "key").select("key", "rep", "hub", "members"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -132,7 +148,14 @@ def _components(links: list[DataFrame], shared: DataFrame) -> DataFrame:
     total = links[0]
     for more in links[1:]:
         total = total.unionByName(more)
-    return settle(connected_components(total))
+    return _named(total)
+
+
+def _named(links: DataFrame) -> DataFrame:
+    stars = connected_components(links)
+    out = settle(stars)
+    forget(stars)
+    return out
 
 
 def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
@@ -142,7 +165,10 @@ def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
     parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top"))
     mixed = settle(parts.where("parts > 1").select("key", F.col("top.component").alias("main")))
-    return settle(named.join(mixed, "key"))
+    out = settle(named.join(mixed, "key"))
+    forget(named)
+    forget(mixed)
+    return out
 
 
 def _other_hubs(apart: DataFrame, r: int) -> DataFrame:
@@ -157,14 +183,16 @@ def _all_members(apart: DataFrame, sets_of, percent: int) -> DataFrame:
     """Links between different components among all members that buckets connect, enough to join the components."""
     first = apart.groupBy("key").agg(F.min("rep").alias("first"))
     ties = apart.join(first, "key").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    clusters = settle(connected_components(ties))
+    clusters = _named(ties)
     named = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     members = settle(apart.select("rep", "component").distinct().join(named, "rep"))
     sets = sets_of(members.select(F.col("rep").alias("id")).distinct())
-    rows = settle(members.join(sets, members.rep == sets.id).select("cluster", "rep", "component", "set"))
+    held = settle(members.join(sets, members.rep == sets.id).select("cluster", "rep", "component", "set"))
+    rows = held
     sizes = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("set")) / BLOCK_SET))
                                         .cast("int").alias("blocks"))
-    rows = rows.join(settle(sizes), "cluster").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(11)), "blocks").cast("int"))
+    sizes = settle(sizes)
+    rows = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(11)), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
                        "rep", "component", "set")
@@ -174,7 +202,10 @@ def _all_members(apart: DataFrame, sets_of, percent: int) -> DataFrame:
         a, b = block_links(table.sort_by("rep"), low, high, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return settle(rows.groupBy("cluster", "low", "high").applyInArrow(meet, "a long, b long"))
+    out = settle(rows.groupBy("cluster", "low", "high").applyInArrow(meet, "a long, b long"))
+    for table in (clusters, members, held, sizes):
+        forget(table)
+    return out
 
 
 def block_links(table: pa.Table, low: int, high: int, percent: int) -> tuple[list, list]:

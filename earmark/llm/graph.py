@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from earmark.llm.store import settle
+from earmark.llm.store import forget, settle
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -19,12 +19,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
     return (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u > v").distinct())
+            .where("u > v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    edges = edges.repartition("u").distinct()          # dealt once, for the minima and for the join with them
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(low.hint("shuffle_hash"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
@@ -39,7 +40,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         x.isNotNull() & y.isNotNull()).where("u > v").distinct()
     edges = settle(edges)
     while not _stars(edges):
-        edges = settle(_small_star(_large_star(edges)))
+        before, edges = edges, settle(_small_star(_large_star(edges)))
+        forget(before)
     # every component is now a star around its smallest node
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from earmark.llm.buckets import link_classes
-from earmark.llm.store import settle
+from earmark.llm.store import forget, settle
 from earmark.llm.text import Words, distinct_sets, mix, pieces
 
 #: At similarity 0.8 a pair shares no bucket with probability (1 - 0.8**5)**32 = 3e-6.
@@ -127,6 +127,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, i
         F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("packed").alias("packed")))
     members = settle(known.select("id", "key1", "key2", "n_shingles").join(
         classes.select("key1", "key2", "n_shingles", "rep"), ["key1", "key2", "n_shingles"]).select("id", "rep"))
+    sizes = settle(rows.select("id", "n_shingles"))
+    forget(rows)                                                # signatures stay in classes only
     near = percent / 100.0 - MARGIN
 
     def may_link(p, q):
@@ -138,11 +140,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, i
     same = members.join(several, "id").where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     found = link_classes(classes.withColumnRenamed("n_shingles", "n").select("rep", "bands", "n", "packed"),
                          lambda ids: shingle_sets(texts.join(ids, "id", "left_semi"), shingle), percent, may_link, same)
+    forget(classes)
 
     named = members.join(found, members.rep == found.node, "left").select(
         "id", F.coalesce("component", "rep").alias("component"))
     named = settle(named.groupBy("id").agg(F.min("component").alias("component")))
-    out = rows.select("id", "n_shingles").join(named, "id", "left")
+    forget(members)
+    forget(found)
+    out = sizes.join(named, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
                       F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

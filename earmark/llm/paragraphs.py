@@ -246,12 +246,17 @@ def _later(places: DataFrame) -> DataFrame:
     key, span = ["id", "copy", "block"], ["at", "until", "start", "end"]
     place = F.struct("id", "copy", "at", "start")
     blocks = places.where(F.col("level").bitwiseAND(BLOCK) != 0)
-    blocks = settle(blocks.join(_firsts(blocks), "component").where(place != F.col("kept")))
+    firsts = _firsts(blocks)
+    blocks = settle(blocks.join(firsts, "component").where(place != F.col("kept")))
+    forget(firsts)
     parts = places.where(F.col("level").bitwiseAND(PIECE) != 0)
-    parts = settle(parts.join(blocks.select(*key, F.lit(True).alias("gone")), key, "left"))
-    parts = parts.join(_firsts(parts.where("gone is null")), "component").where(place > F.col("kept"))
+    marked = settle(parts.join(blocks.select(*key, F.lit(True).alias("gone")), key, "left"))
+    firsts = _firsts(marked.where("gone is null"))
+    parts = marked.join(firsts, "component").where(place > F.col("kept"))
     columns = ["component", *key, *span, "kept"]
     parts = settle(parts.select(*columns, "gone"))
+    forget(marked)
+    forget(firsts)
 
     found = parts.where("gone").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*span))).alias("parts"))
     rest = blocks.join(found, key, "left").withColumn(
@@ -290,9 +295,12 @@ def repeated_paragraphs(documents: DataFrame, min_run: int = MIN_RUN, recall: fl
         F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
     repeated = settle(repeated)
     forget(classes)
+    forget(found)
     places = settle(_places(texts).join(repeated, "rep").distinct())
+    forget(repeated)
 
     others = _later(places)
+    forget(places)
     # runs: neighbours with fewer than MIN_WORDS words between them
     row = W.partitionBy("id", "copy").orderBy("at")
     gap = F.col("at") - F.lag("until").over(row)
@@ -323,13 +331,16 @@ def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str
     runs = spans.groupBy(F.col(id_col).alias("_id"), F.col("copy").alias("_copy"), "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"))
     runs = settle(runs.groupBy("_id", "_copy").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")))
+    forget(spans)
     text = F.col(text_col)
     joined = documents.join(runs, (documents[id_col].cast("bigint") == runs._id) & (F.xxhash64(text) == runs._copy), "left")
 
     @F.pandas_udf("string")
     def cut(texts, spans):
-        return pd.Series([remove_spans(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts, spans)])
+        return pd.Series([None if x is None else remove_spans(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts, spans)])
 
-    changed = joined.where("_spans is not null").withColumn(text_col, cut(text, F.col("_spans")))
-    changed = changed.where(F.col(text_col).rlike(r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"))
-    return joined.where("_spans is null").unionByName(changed).select(*documents.columns)
+    # one pass for all rows, so that texts are shuffled once; those that stay as they are do not travel to Python
+    changed = F.col("_spans").isNotNull()
+    joined = joined.withColumn("_cut", cut(F.when(changed, text), F.col("_spans")))
+    joined = joined.where(~changed | F.col("_cut").rlike(r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"))
+    return joined.withColumn(text_col, F.when(changed, F.col("_cut")).otherwise(text)).select(*documents.columns)

@@ -180,3 +180,37 @@ def test_keys_and_minima_share_words(spark, bands, rows):
         band = int(f[1:]) << paragraphs.KEY_BITS if f[0] == "b" else 0
         want = (values[f] & np.uint64((1 << bits) - 1)).view(np.int64) | band
         assert got[f].tolist() == want.tolist()
+
+
+def test_entries_of_buckets_are_shuffled_once(spark, monkeypatch):
+    """Bucket sizes are counted where the entries lie: one exchange by key, read again for the join, also without broadcasts."""
+    from earmark.llm import buckets
+
+    tables = []
+    monkeypatch.setattr(buckets, "settle", lambda df: tables.append(df) or df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        classes = spark.range(2000).selectExpr("id as rep", "id div 3 as b0", "id * 7 as b1", "id as s0")
+        rows = buckets._shared(classes, ["b0", "b1"]).collect()
+        assert len(rows) == 2000 and {r["members"] for r in rows} == {2, 3}
+        assert set(rows[0].asDict()) == {"key", "rep", "hub", "members"}         # what links are told by does not travel
+        for df in tables:
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+            assert sorted("ReusedExchange" in x for x in dealt) == [False, True], plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tables_between_steps_go(spark):
+    """Only what the result is read from is left in the shared folder."""
+    import os
+
+    from earmark.scale import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = paragraphs.without_repeats(spark.createDataFrame(DOCS, "doc_id long, text string"))
+    n = out.count()
+    assert 0 < n < len(DOCS) and len(set(os.listdir(folder)) - before) <= 8
