@@ -32,8 +32,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of a link; a component is named by its smallest node.
 
-    Links may repeat, in either direction, and join a node to itself; links with a NULL end count for nothing. Minima
-    combine before each shuffle, so a node with very many links is no burden; every round is a written table.
+    Links may repeat, in either direction, and join a node to itself; links with a NULL end count for nothing. Every
+    round is a written table. The small star deals links by node once: those of one node pass through one task, as a stream.
     """
     x, y = F.col(a).cast("bigint"), F.col(b).cast("bigint")
     edges = links.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where(
